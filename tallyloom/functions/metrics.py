@@ -73,7 +73,7 @@ def auc(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     chunked running sum, not from one global sort.
     """
     hist = df.groupBy(*by, pred).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
-    cum = running(hist, list(by), [pred], {"_upto": ("sum", F.col("_p"))})
+    cum = running(hist, list(by), [pred], {"_upto": ("sum", F.col("_p"))}, sample=df)
     # positives above = P - upto, so only per-group sums are left to take
     sums = cum.groupBy(*by).agg(
         F.sum("_p").cast("double").alias("P"), F.sum("_n").cast("double").alias("N"),

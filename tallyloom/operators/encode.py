@@ -24,7 +24,7 @@ def fit_label_encode(df: DataFrame, cols: Sequence[str], scope: str = "all") ->
     tables = {}
     for c in cols:
         domain = source.where(F.col(c).isNotNull()).select(c).distinct()
-        tables[c] = row_index(domain, [], [c], "_code").select(c, (F.col("_code") - 1).alias(f"{c}_code"))
+        tables[c] = row_index(domain, [], [c], "_code", sample=source).select(c, (F.col("_code") - 1).alias(f"{c}_code"))
 
     def apply(rows: DataFrame) -> DataFrame:
         for c in cols:

@@ -74,7 +74,7 @@ def spearman(df: DataFrame, a: str, b: str, fill: float | None = None) -> DataFr
     pairs = pairs.where("_a is not null and _b is not null")
     for c in ("_a", "_b"):
         hist = pairs.groupBy(c).agg(F.count(F.lit(1)).alias("_c"))
-        cum = running(hist, [], [c], {"_hi": ("sum", F.col("_c"))})
+        cum = running(hist, [], [c], {"_hi": ("sum", F.col("_c"))}, sample=pairs)
         pairs = attach(pairs, cum.select(c, (F.col("_hi") - (F.col("_c") - 1) / F.lit(2.0)).alias(f"{c}_rank")), [c])
     return pairs.agg(F.corr("_a_rank", "_b_rank").alias("spearman"))
 

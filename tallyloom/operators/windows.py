@@ -71,9 +71,9 @@ def momentum(df: DataFrame, ids: Sequence[str], order: Sequence[str], col: str,
     ).drop(prev)
 
 
-def _ranks(hist: DataFrame, group: Sequence[str], col: str) -> DataFrame:
+def _ranks(hist: DataFrame, group: Sequence[str], col: str, sample: DataFrame) -> DataFrame:
     """Average rank of each value of a (group, value, ``_c``) histogram, over the largest rank of the group."""
-    cum = running(hist, group, [col], {"_hi": ("sum", F.col("_c"))})
+    cum = running(hist, group, [col], {"_hi": ("sum", F.col("_c"))}, sample=sample)
     ranked = cum.withColumn("_rank", F.col("_hi") - F.col("_c") + (F.col("_c") + 1) / F.lit(2.0))
     top = ranked.groupBy(*group).agg(F.max("_rank").alias("_top"))
     return match(ranked, top, group).withColumn("_p", F.col("_rank") / F.col("_top"))
@@ -91,7 +91,7 @@ def ecdf_band(df: DataFrame, group: str, col: str, k: int, scope: str = "all", n
         group, F.explode(F.sequence(F.col(group) - k, F.col(group) + k)).cast(hist.schema[group].dataType)
     )
     merged = spread.groupBy(group, col).agg(F.sum("_c").alias("_c"), F.max((F.col("_own") == F.col(group)).cast("int")).alias("_mine"))
-    ranks = _ranks(merged, [group], col)
+    ranks = _ranks(merged, [group], col, df)
     if scope == "all":
         table = ranks.where("_mine = 1").select(group, col, F.col("_p").alias(name))
         return df.join(table, [group, col], "left")

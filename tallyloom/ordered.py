@@ -8,8 +8,8 @@ points only balance the work: any choice of them gives the same result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,48 +28,62 @@ def _sortable(df: DataFrame, col: str) -> Column:
     return F.col(col)
 
 
-def chunk_of(df: DataFrame, groups: Sequence[str], order: Sequence[str], chunks: int | None = None) -> Column:
-    """Non-decreasing chunk number along ``order``; ``SAMPLES_PER_CHUNK * chunks`` keys are collected."""
-    spark = df.sparkSession
-    n = chunks or min(MAX_CHUNKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def chunk_of(df: DataFrame, order: Sequence[str], chunks: int | None = None, sample: DataFrame | None = None) -> Column:
+    """Non-decreasing chunk number along ``order``.
+
+    Cut points come from about ``SAMPLES_PER_CHUNK * chunks`` keys picked at random, the way a range
+    shuffle finds its bounds; ``sample`` may name a cheaper table with the same keys.
+    """
+    n = chunks or min(MAX_CHUNKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = F.struct(*[_sortable(df, c).alias(f"k{i}") for i, c in enumerate(order)])
-    picked = (
-        df.select(key.alias("k"), F.xxhash64(*groups, *order).alias("h"))
-        .orderBy("h")
-        .limit(SAMPLES_PER_CHUNK * n)
-        .collect()
-    )
-    none_first = sorted((tuple((v is not None, v) if v is not None else (False, 0) for v in r["k"]), r["k"]) for r in picked)
-    sample = [k for _, k in none_first]
-    cuts = [sample[i * len(sample) // n] for i in range(1, n)] if sample else []
-    cuts = [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
+    source = (df if sample is None else sample).select(key.alias("k"))
+    size, wanted = source.count(), SAMPLES_PER_CHUNK * n
+    if size > 2 * wanted:
+        source = source.sample(wanted / size, seed=17)
+    picked = source.limit(4 * wanted).collect()
+    ranked = sorted((tuple((v is not None, v) if v is not None else (False, 0) for v in r["k"]), tuple(r["k"])) for r in picked)
+    keys = [k for _, k in ranked]
+    cuts = list(dict.fromkeys(keys[i * len(keys) // n] for i in range(1, n))) if keys else []
     if not cuts:
         return F.lit(0)
-    types = [f.dataType for f in df.select(key.alias("k")).schema["k"].dataType]
+    types = [f.dataType for f in source.schema["k"].dataType]
 
     def point(row) -> Column:
-        return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(row, types))])
+        parts = [F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(row, types))]
+        return parts[0] if len(parts) == 1 else F.struct(*parts)
 
-    return search(key, [point(c) for c in cuts])
+    if len(order) > 1:
+        return search(key, [point(c) for c in cuts])
+    alone = _sortable(df, order[0])
+    return F.when(alone.isNull(), 0).otherwise(search(alone, [point(c) for c in cuts]))  # nulls sort first
+
+
+TREE_POINTS = 64
 
 
 def search(key: Column, points: Sequence[Column], strict: bool = False) -> Column:
-    """How many of the sorted ``points`` are <= ``key`` (or < ``key``).
+    """How many of the sorted ``points`` are <= ``key`` (or < ``key``); ``key`` must not be null.
 
-    Two steps, so a row is compared with about ``2 * sqrt(len(points))`` points.
+    A comparison tree for short lists.  Long lists are cut into blocks: the tree finds the block, and
+    only that block's points are compared.
     """
 
-    def below(some: Column) -> Column:
-        return F.size(F.filter(some, (lambda p: p < key) if strict else (lambda p: p <= key)))
+    def passed(p: Column) -> Column:
+        return p < key if strict else p <= key
+
+    def tree(some: Sequence[Column], base: int) -> Column:
+        if not some:
+            return F.lit(base)
+        mid = len(some) // 2
+        return F.when(passed(some[mid]), tree(some[mid + 1 :], base + mid + 1)).otherwise(tree(some[:mid], base))
 
-    width = max(1, math.isqrt(len(points)))
+    if len(points) <= TREE_POINTS:
+        return tree(points, 0)
+    width = -(-len(points) // TREE_POINTS)
     blocks = [points[i : i + width] for i in range(0, len(points), width)]
-    if len(blocks) <= 2:
-        return below(F.array(*points))
-    heads = F.array(*[b[0] for b in blocks[1:]])
+    block = tree([b[0] for b in blocks[1:]], 0)
     inner = F.array(*[F.array(*b) for b in blocks])
-    block = below(heads)
-    return block * width + below(F.element_at(inner, block + 1))
+    return block * width + F.size(F.filter(F.element_at(inner, block + 1), passed))
 
 
 def running(
@@ -79,6 +93,7 @@ def running(
     exprs: dict[str, tuple[str, Column]],
     reverse: bool = False,
     chunks: int | None = None,
+    sample: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running ``sum`` / ``max`` / ``min`` per group along ``order``.
 
@@ -90,7 +105,7 @@ def running(
         "max": lambda a, b: F.greatest(a, b),
         "min": lambda a, b: F.least(a, b),
     }
-    cut = df.withColumn("_chunk", chunk_of(df, groups, order, chunks)).withColumn("_all", F.lit(0))
+    cut = df.withColumn("_chunk", chunk_of(df, order, chunks, sample)).withColumn("_all", F.lit(0))
     owner = [*groups, "_all"]
     for name, (_, column) in exprs.items():
         cut = cut.withColumn(f"_in_{name}", column)
@@ -119,34 +134,48 @@ def running(
     )
 
 
-def row_index(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "rn", chunks: int | None = None) -> DataFrame:
+def row_index(
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = "rn", chunks: int | None = None,
+    sample: DataFrame | None = None,
+) -> DataFrame:
     """1-based position of each row in its group along ``order`` (which must be a total order)."""
-    return running(df, groups, order, {name: ("sum", F.lit(1).cast("bigint"))}, chunks=chunks)
+    return running(df, groups, order, {name: ("sum", F.lit(1).cast("bigint"))}, chunks=chunks, sample=sample)
 
 
 def quantiles(df: DataFrame, groups: Sequence[str], col: str, qs: dict[str, float], chunks: int | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles per group: one row per group.
 
-    Works on the (group, value) histogram; only the rows that hold a wanted rank are kept, so no task
-    ever sees all the values of a group.
+    Works on the (group, value) histogram.  Totals per (group, chunk) tell which chunks hold a wanted
+    rank; only those are scanned in order, so no task ever sees all the values of a group.
     """
-    hist = df.where(F.col(col).isNotNull()).groupBy(*groups, col).agg(F.count(F.lit(1)).alias("_c"))
-    sizes = hist.withColumn("_all", F.lit(0)).groupBy(*groups, "_all").agg(F.sum("_c").alias("_n"))
-    cum = running(hist, groups, [col], {"_hi": ("sum", F.col("_c"))}, chunks=chunks).withColumn("_all", F.lit(0))
-    ranked = match(cum, sizes, [*groups, "_all"])
+    present = df.where(F.col(col).isNotNull())
+    owner = [*groups, "_all"]
+    hist = (
+        present.groupBy(*groups, col).agg(F.count(F.lit(1)).alias("_c"))
+        .withColumns({"_chunk": chunk_of(present, [col], chunks), "_all": F.lit(0)})
+    )
+    totals = hist.groupBy(*owner, "_chunk").agg(F.sum("_c").alias("_held"))
+    whole = Window.partitionBy(*owner)  # at most ``chunks`` rows per group
+    upto = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    placed = totals.select(*owner, "_chunk", (F.sum("_held").over(upto) - F.col("_held")).alias("_start"), "_held", F.sum("_held").over(whole).alias("_n"))
     spots = {name: F.lit(float(q)) * (F.col("_n") - 1) for name, q in qs.items()}
 
-    def holds(rank: Column) -> Column:
-        return (F.col("_hi") - F.col("_c") <= rank) & (rank < F.col("_hi"))
+    def holds(low: Column, high: Column) -> Column:
+        """Any wanted rank r with low <= r < high."""
+        tests = [(low <= r(s)) & (r(s) < high) for s in spots.values() for r in (F.floor, F.ceil)]
+        return reduce(lambda a, b: a | b, tests)
 
-    wanted = None
-    for spot in spots.values():
-        test = holds(F.floor(spot)) | holds(F.ceil(spot))
-        wanted = test if wanted is None else wanted | test
+    needed = placed.where(holds(F.col("_start"), F.col("_start") + F.col("_held"))).drop("_held")
+    kept = match(hist, needed, [*owner, "_chunk"], "inner")
+    inside = Window.partitionBy(*owner, "_chunk").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = kept.withColumn("_hi", F.col("_start") + F.sum("_c").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_c"))
     value = F.col(col).cast("double")
-    picked = ranked.where(wanted).groupBy(*groups, "_n").agg(
-        *[F.max(F.when(holds(F.floor(s)), value)).alias(f"_lo_{n}") for n, s in spots.items()],
-        *[F.max(F.when(holds(F.ceil(s)), value)).alias(f"_up_{n}") for n, s in spots.items()],
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), value))
+
+    picked = ranked.where(holds(F.col("_lo"), F.col("_hi"))).groupBy(*owner, "_n").agg(
+        *[at(F.floor(s)).alias(f"_lo_{n}") for n, s in spots.items()], *[at(F.ceil(s)).alias(f"_up_{n}") for n, s in spots.items()]
     )
     return picked.select(
         *groups,
