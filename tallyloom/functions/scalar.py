@@ -64,7 +64,9 @@ def truncate_level(df: DataFrame, cols: Sequence[str], scale: int, suffix: str =
 
 
 def round_half_even(df: DataFrame, cols: Sequence[str], d: int) -> DataFrame:
-    return df.withColumns({c: F.bround(F.col(c), d) for c in cols})
+    """Round to ``d`` decimals, halves of the scaled value to even."""
+    scale = float(10**d)
+    return df.withColumns({c: F.rint(_d(c) * scale) / scale for c in cols})
 
 
 MATH = {

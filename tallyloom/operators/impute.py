@@ -171,25 +171,30 @@ def quantile_normal(df: DataFrame, cols: Sequence[str], n: int = 1000, scope: st
     probs = [i / (n - 1) for i in range(n)]
     source = in_scope(df, scope)
     grids = source.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 100 * n).alias(c) for c in cols]).first()
-    edge = 1e-7
+    out = df
+    for c in cols:
+        out = _normal_scores(out, c, [float(g) for g in grids[c]], c + suffix)
+    return out
 
-    def placed(c: str) -> Column:
-        grid, x = grids[c], F.col(c).cast("double")
-        points = [F.lit(float(g)) for g in grid]
-        values = F.array(*points)
 
-        def position(i: Column) -> Column:
-            """Fractional grid position when ``i`` grid values lie on the low side of x."""
-            low = F.try_element_at(values, F.greatest(i, F.lit(1)))
-            high = F.try_element_at(values, F.least(i + 1, F.lit(n)))
-            return F.greatest(i - 1, F.lit(0)) + F.coalesce(F.try_divide(x - low, high - low), F.lit(0.0))
+SCORE_EDGE = 1e-7  # probabilities are kept this far from 0 and 1
 
-        right, left = search(x, points), search(x, points, strict=True)
-        p = (F.least(position(right), F.lit(n - 1)) + F.least(F.when(left < right, left).otherwise(position(left)), F.lit(n - 1))) / (2.0 * (n - 1))
-        p = F.when(x <= grid[0], 0.0).when(x >= grid[-1], 1.0).otherwise(p)
-        return inverse_normal(F.greatest(F.least(p, F.lit(1 - edge)), F.lit(edge)))
 
-    return df.withColumns({c + suffix: placed(c) for c in cols})
+def _normal_scores(df: DataFrame, col: str, grid: list[float], out: str) -> DataFrame:
+    """Place values on a quantile grid, interpolate the probability and turn it into a normal score."""
+    n, x = len(grid), F.col(col).cast("double")
+    points, values = [F.lit(g) for g in grid], F.array(*[F.lit(g) for g in grid])
+    # Grid values <= x and < x; staged as columns so that the search is evaluated once per row.
+    placed = df.withColumns({"_right": F.when(x.isNotNull(), search(x, points)), "_left": F.when(x.isNotNull(), search(x, points, strict=True))})
+    low = F.try_element_at(values, F.greatest(F.col("_right"), F.lit(1)))
+    high = F.try_element_at(values, F.least(F.col("_right") + 1, F.lit(n)))
+    between = (F.col("_right") - 1) + F.coalesce(F.try_divide(x - low, high - low), F.lit(0.0))
+    middle = (F.col("_left") + F.col("_right") - 1) / 2.0
+    share = F.when(x <= grid[0], 0.0).when(x >= grid[-1], 1.0).otherwise(
+        F.when(F.col("_left") < F.col("_right"), middle).otherwise(between) / float(n - 1)
+    )
+    staged = placed.withColumn("_p", F.greatest(F.least(share, F.lit(1 - SCORE_EDGE)), F.lit(SCORE_EDGE)))
+    return staged.withColumn(out, F.when(x.isNotNull(), inverse_normal(F.col("_p")))).drop("_right", "_left", "_p")
 
 
 TARGET_PAIRS = {

@@ -88,7 +88,7 @@ def ecdf_band(df: DataFrame, group: str, col: str, k: int, scope: str = "all", n
     name = name or f"{col}_ecdf_{k}"
     hist = in_scope(df, scope).where(F.col(col).isNotNull()).groupBy(group, col).agg(F.count(F.lit(1)).alias("_c"))
     spread = hist.withColumn("_own", F.col(group)).withColumn(
-        group, F.explode(F.sequence(F.col(group) - k, F.col(group) + k)).cast(hist.schema[group].dataType)
+        group, F.explode(F.sequence(F.col(group) - k, F.col(group) + k))
     )
     merged = spread.groupBy(group, col).agg(F.sum("_c").alias("_c"), F.max((F.col("_own") == F.col(group)).cast("int")).alias("_mine"))
     ranks = _ranks(merged, [group], col, df)
