@@ -135,7 +135,9 @@ def gain_edges(combos: DataFrame, edges: Sequence[tuple[str, str]] | None = None
     """Leaderboard positions gained along each move: value(u) - value(v) with value = 100 - mean score in percent."""
     edges = default_edges() if edges is None else edges
     name = F.concat_ws("/", "prep", "hpo", F.col("selection").cast("string"))
-    nodes = combos.groupBy(name.alias("node")).agg(F.round(100 - F.avg(F.col("value") * 100), 1).alias("value"))
+    nodes = combos.groupBy(name.alias("node")).agg(
+        F.round(100 - F.try_divide(F.sum((F.col("value") * 100).cast("decimal(12,2)")).cast("double"), F.count("value")), 1).alias("value")
+    )
     by_source: dict[str, list[Column]] = {}
     for u, v in edges:
         by_source.setdefault(u, []).append(F.lit(v))
