@@ -61,13 +61,13 @@ def q_count_encode(s, d):
 
 # The target sums of the encoders: level totals (l), own-fold totals (f), per-fold totals (p), all training rows (g).
 OOF = f"""{FXO}, x AS (SELECT o_orderkey, split, o_custkey, seg_n, total, y, CASE WHEN split = 'train' THEN hfold END AS fold FROM fxo), tr AS (SELECT * FROM x WHERE split = 'train'),
-g AS (SELECT SUM(total)::DOUBLE AS t, COUNT(*) AS n, SUM(y)::DOUBLE AS yt FROM tr), pf AS (SELECT fold, SUM(y)::DOUBLE AS t, COUNT(*) AS n FROM tr GROUP BY 1)"""
+g AS (SELECT SUM(total) AS t, COUNT(*) AS n, SUM(y) AS yt FROM tr), pf AS (SELECT fold, SUM(y) AS t, COUNT(*) AS n FROM tr GROUP BY 1)"""
 
 
 def _level(c: str, y: str) -> str:
     return (
-        f"l_{c} AS (SELECT {c}, SUM({y})::DOUBLE AS t, COUNT(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY 1), "
-        f"f_{c} AS (SELECT {c}, fold, SUM({y})::DOUBLE AS t, COUNT(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY ALL)"
+        f"l_{c} AS (SELECT {c}, SUM({y}) AS t, COUNT(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY 1), "
+        f"f_{c} AS (SELECT {c}, fold, SUM({y}) AS t, COUNT(*) AS n FROM tr WHERE {c} IS NOT NULL GROUP BY ALL)"
     )
 
 
@@ -76,7 +76,7 @@ def _oof_join(c: str) -> str:
 
 
 def _rest(c: str) -> tuple[str, str]:
-    return f"(l_{c}.t - COALESCE(f_{c}.t, 0))", f"(l_{c}.n - COALESCE(f_{c}.n, 0))"
+    return f"(l_{c}.t - COALESCE(f_{c}.t, 0))::DOUBLE", f"(l_{c}.n - COALESCE(f_{c}.n, 0))"
 
 
 def _oof_rows(s, d):
@@ -87,7 +87,7 @@ def _oof_rows(s, d):
 @query(
     "q_target_mean_oof",
     f"WITH {OOF}, {_level('o_custkey', 'total')}, {_level('seg_n', 'total')} SELECT o_orderkey, "
-    + ", ".join("round(COALESCE({} / NULLIF({}, 0), g.t / g.n), 6) AS {}_target".format(*_rest(c), c) for c in ("o_custkey", "seg_n"))
+    + ", ".join("round(COALESCE({} / NULLIF({}, 0), g.t::DOUBLE / g.n), 6) AS {}_target".format(*_rest(c), c) for c in ("o_custkey", "seg_n"))
     + f" FROM x CROSS JOIN g {_oof_join('o_custkey')} {_oof_join('seg_n')}",
 )
 def q_target_mean_oof(s, d):
@@ -97,7 +97,7 @@ def q_target_mean_oof(s, d):
 
 @query(
     "q_likelihood_smooth",
-    f"WITH {OOF}, {_level('o_custkey', 'y')}, z AS (SELECT x.*, (g.yt - COALESCE(pf.t, 0)) / (g.n - COALESCE(pf.n, 0)) AS prior FROM x CROSS JOIN g LEFT JOIN pf ON pf.fold = x.fold) "
+    f"WITH {OOF}, {_level('o_custkey', 'y')}, z AS (SELECT x.*, (g.yt - COALESCE(pf.t, 0))::DOUBLE / (g.n - COALESCE(pf.n, 0)) AS prior FROM x CROSS JOIN g LEFT JOIN pf ON pf.fold = x.fold) "
     "SELECT o_orderkey, round((COALESCE({0}, 0) + 30.0::DOUBLE * prior) / (COALESCE({1}, 0) + 30.0::DOUBLE), 9) AS o_custkey_likelihood FROM z x {2}".format(*_rest("o_custkey"), _oof_join("o_custkey")),
 )
 def q_likelihood_smooth(s, d):
@@ -106,7 +106,7 @@ def q_likelihood_smooth(s, d):
 
 @query(
     "q_leave_one_out",
-    f"WITH {OOF}, {_level('o_custkey', 'total')} SELECT o_orderkey, round(COALESCE((l_o_custkey.t - CASE WHEN split = 'train' THEN total::DOUBLE ELSE 0 END) / NULLIF(l_o_custkey.n - (split = 'train')::INTEGER, 0), g.t / g.n), 6) AS o_custkey_loo "
+    f"WITH {OOF}, {_level('o_custkey', 'total')} SELECT o_orderkey, round(COALESCE((l_o_custkey.t - CASE WHEN split = 'train' THEN total ELSE 0 END)::DOUBLE / NULLIF(l_o_custkey.n - (split = 'train')::INTEGER, 0), g.t::DOUBLE / g.n), 6) AS o_custkey_loo "
     "FROM x CROSS JOIN g LEFT JOIN l_o_custkey ON l_o_custkey.o_custkey = x.o_custkey",
 )
 def q_leave_one_out(s, d):

@@ -102,11 +102,12 @@ def align_names(df: DataFrame, reference_cols: Sequence[str], rename: dict[str,
 def rare_to_other(
     df: DataFrame, col: str, keep: Sequence | None = None, min_count: int | None = None,
     scope: str = "train", other: str = "Other",
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Keep the listed levels, or the levels seen at least ``min_count`` times in scope."""
     if keep is not None:
         return df.withColumn(col, F.when(F.col(col).isin(list(keep)), F.col(col)).otherwise(F.lit(other)))
-    kept = in_scope(df, scope).groupBy(col).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count)
+    kept = in_scope(df, scope, source).groupBy(col).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count)
     joined = attach(df, kept, [col])
     return joined.withColumn(col, F.when(F.col("_n").isNotNull(), F.col(col)).otherwise(F.lit(other))).drop("_n")
 
@@ -122,9 +123,9 @@ def missing_flags(df: DataFrame, cols: Sequence[str], suffix: str = "_missing")
     return replace_cols(df, {c + suffix: F.col(c).isNull().cast("int") for c in cols})
 
 
-def presence_flags(df: DataFrame, cols: Sequence[str], scope: str = "all") -> DataFrame:
+def presence_flags(df: DataFrame, cols: Sequence[str], scope: str = "all", source: DataFrame | None = None) -> DataFrame:
     """Turn columns that hold one value and nulls into 0/1 presence (one profile job over ``cols``)."""
-    seen = in_scope(df, scope).agg(
+    seen = in_scope(df, scope, source).agg(
         *[F.struct(F.min(c).eqNullSafe(F.max(c)).alias("single"), F.count(c).alias("n")).alias(c) for c in cols]
     ).first()
     flat = [c for c in cols if seen[c]["n"] > 0 and seen[c]["single"]]
@@ -169,10 +170,10 @@ def narrow_types(df: DataFrame) -> DataFrame:
     return replace_cols(df, casts)
 
 
-def restrict_domain(df: DataFrame, cols: Sequence[str], scope: str = "train", null_level: str | None = "nan") -> DataFrame:
+def restrict_domain(df: DataFrame, cols: Sequence[str], scope: str = "train", null_level: str | None = "nan", source: DataFrame | None = None) -> DataFrame:
     """Values not seen in scope become null, then nulls become ``null_level`` when it is given."""
     for c in cols:
-        domain = in_scope(df, scope).where(F.col(c).isNotNull()).select(c).distinct().withColumn("_known", F.lit(1))
+        domain = in_scope(df, scope, source).where(F.col(c).isNotNull()).select(c).distinct().withColumn("_known", F.lit(1))
         known = F.when(F.col("_known") == 1, F.col(c))
         filled = F.coalesce(known, F.lit(null_level)) if null_level is not None else known
         df = attach(df, domain, [c]).withColumn(c, filled).drop("_known")

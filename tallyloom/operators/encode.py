@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from tallyloom.core import attach, levels, small_keys, stat, with_scalars
 from tallyloom.ordered import row_index
-from tallyloom.operators.group import group_count, group_encode
+from tallyloom.operators.group import group_encode, level_counts
 from tallyloom.spec import SPLIT, TEST, TRAIN, Fitted, in_scope
 
 
-def fit_label_encode(df: DataFrame, cols: Sequence[str], scope: str = "all") -> Fitted:
+def fit_label_encode(df: DataFrame, cols: Sequence[str], scope: str = "all", source: DataFrame | None = None) -> Fitted:
     """Codes 0..n-1 by sorted level; the code table may be large, so it is numbered chunk by chunk."""
-    source = in_scope(df, scope)
+    source = in_scope(df, scope, source)
     small = small_keys(source, [[c] for c in cols], 1)
     tables = {}
     for c in cols:
@@ -35,9 +35,9 @@ def fit_label_encode(df: DataFrame, cols: Sequence[str], scope: str = "all") ->
     return Fitted(tables, apply)
 
 
-def label_encode(df: DataFrame, cols: Sequence[str], scope: str = "all") -> DataFrame:
+def label_encode(df: DataFrame, cols: Sequence[str], scope: str = "all", source: DataFrame | None = None) -> DataFrame:
     """Sorted codes; null and unseen levels are -1."""
-    return fit_label_encode(df, cols, scope).transform(df)
+    return fit_label_encode(df, cols, scope, source).transform(df)
 
 
 def align_categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -45,17 +45,17 @@ def align_categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return label_encode(df, cols, "train")
 
 
-def ordinal_encode(df: DataFrame, cols: Sequence[str], scope: str = "train") -> DataFrame:
+def ordinal_encode(df: DataFrame, cols: Sequence[str], scope: str = "train", source: DataFrame | None = None) -> DataFrame:
     """Sorted codes; missing and unseen levels share the extra code n."""
-    coded = with_scalars(label_encode(df, cols, scope), in_scope(df, scope), {c: F.count_distinct(c) for c in cols})
+    coded = with_scalars(label_encode(df, cols, scope, source), in_scope(df, scope, source), {c: F.count_distinct(c) for c in cols})
     return coded.withColumns(
         {f"{c}_code": F.when(F.col(f"{c}_code") < 0, F.col(f"_s.{c}")).otherwise(F.col(f"{c}_code")) for c in cols}
     ).drop("_s")
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], scope: str = "train", max_levels: int = 100) -> DataFrame:
+def one_hot(df: DataFrame, cols: Sequence[str], scope: str = "train", max_levels: int = 100, source: DataFrame | None = None) -> DataFrame:
     """One 0/1 column per level in scope; unknown and missing levels are all zeros."""
-    source = in_scope(df, scope)
+    source = in_scope(df, scope, source)
     new: dict[str, Column] = {}
     for c in cols:
         for v in levels(source, c, max_levels):
@@ -63,84 +63,88 @@ def one_hot(df: DataFrame, cols: Sequence[str], scope: str = "train", max_levels
     return df.withColumns(new)
 
 
-def count_encode(df: DataFrame, cols: Sequence[str], scope: str = "train") -> DataFrame:
+def count_encode(df: DataFrame, cols: Sequence[str], scope: str = "train", source: DataFrame | None = None) -> DataFrame:
     """Rows of the level in scope; unseen levels get 0."""
-    for c in cols:
-        df = group_count(df, [c], scope, f"{c}_count")
-    return df
+    return level_counts(df, cols, scope, "_count", source)
+
+
+def _training(df: DataFrame, source: DataFrame | None) -> DataFrame:
+    return in_scope(df, "train", source)
 
 
 def _target_sums(train: DataFrame, keys: Sequence[str], y: str, prefix: str) -> DataFrame:
-    exact = F.col(y).cast("decimal(18,4)") if str(train.schema[y].dataType).startswith("Decimal") else F.col(y)
-    return train.groupBy(*keys).agg(F.sum(exact).cast("double").alias(f"{prefix}_t"), F.count(y).alias(f"{prefix}_n"))
+    return train.groupBy(*keys).agg(F.sum(y).alias(f"{prefix}_t"), F.count(y).alias(f"{prefix}_n"))
 
 
-def _with_oof_sums(df: DataFrame, c: str, y: str, fold: str, small: bool) -> DataFrame:
-    """Add level totals (``_l``) and, for training rows, the totals of the row's own fold (``_f``)."""
-    train = df.where(F.col(SPLIT) == TRAIN)
+def _with_other_folds(df: DataFrame, train: DataFrame, c: str, y: str, fold: str, small: bool) -> DataFrame:
+    """Add target sum ``_t`` and count ``_n`` of the level over the training rows outside the row's own fold.
+
+    ``fold`` is null on test rows, which therefore see all training rows.  Level totals are rolled up
+    from the (level, fold) sums, so the rows are aggregated once.
+    """
     by_fold = _target_sums(train.where(F.col(c).isNotNull()), [c, fold], y, "_f")
     by_level = by_fold.groupBy(c).agg(F.sum("_f_t").alias("_l_t"), F.sum("_f_n").alias("_l_n"))
-    return attach(attach(df, by_level, [c], small=small), by_fold, [c, fold], small=small).withColumns(
-        {"_f_t": F.coalesce("_f_t", F.lit(0.0)), "_f_n": F.coalesce("_f_n", F.lit(0))}
-    )
+    joined = attach(attach(df, by_level, [c], small=small), by_fold, [c, fold], small=small)
+    return joined.withColumns(
+        {
+            "_t": (F.col("_l_t") - F.coalesce("_f_t", F.lit(0))).cast("double"),
+            "_n": F.col("_l_n") - F.coalesce("_f_n", F.lit(0)),
+        }
+    ).drop("_l_t", "_l_n", "_f_t", "_f_n")
 
 
-def target_mean_oof(df: DataFrame, cols: Sequence[str], y: str, fold: str) -> DataFrame:
+def target_mean_oof(df: DataFrame, cols: Sequence[str], y: str, fold: str, source: DataFrame | None = None) -> DataFrame:
     """Out-of-fold target mean for training rows, full training mean for the others.
 
-    ``fold`` is null on test rows, so the same expression (level total minus own fold) serves both.
-    Levels without other-fold rows get the training mean.
+    Levels without rows in other folds get the training mean.
     """
-    train = df.where(F.col(SPLIT) == TRAIN)
+    train = _training(df, source)
     small = small_keys(train, [[c, fold] for c in cols], 4)
     df = with_scalars(df, train, {"mean": stat(train, y, "mean")}, "_g")
     for c in cols:
-        df = _with_oof_sums(df, c, y, fold, small[(c, fold)])
-        rest = F.try_divide(F.col("_l_t") - F.col("_f_t"), F.col("_l_n") - F.col("_f_n"))
-        df = df.withColumn(f"{c}_target", F.coalesce(rest, F.col("_g.mean"))).drop("_l_t", "_l_n", "_f_t", "_f_n")
+        df = _with_other_folds(df, train, c, y, fold, small[(c, fold)])
+        df = df.withColumn(f"{c}_target", F.coalesce(F.try_divide("_t", "_n"), F.col("_g.mean"))).drop("_t", "_n")
     return df.drop("_g")
 
 
-def likelihood(df: DataFrame, cols: Sequence[str], y: str, fold: str, m: float = 30.0) -> DataFrame:
+def likelihood(df: DataFrame, cols: Sequence[str], y: str, fold: str, m: float = 30.0, source: DataFrame | None = None) -> DataFrame:
     """Smoothed target rate (sum + m * prior) / (n + m), out of fold for training rows.
 
     The prior is the mean of the rows the encoding was learned from.
     """
-    train = df.where(F.col(SPLIT) == TRAIN)
-    small = small_keys(train, [[c, fold] for c in cols], 4)
-    folds = _target_sums(train, [fold], y, "_p")
-    df = attach(with_scalars(df, train, {"t": F.sum(y).cast("double"), "n": F.count(y)}, "_g"), folds, [fold], small=True)
-    df = df.withColumn(
-        "_prior",
-        F.try_divide(F.col("_g.t") - F.coalesce("_p_t", F.lit(0.0)), F.col("_g.n") - F.coalesce("_p_n", F.lit(0))),
-    )
+    train = _training(df, source)
+    small = small_keys(train, [[fold], *[[c, fold] for c in cols]], 4)
+    df = with_scalars(df, train, {"t": F.sum(y), "n": F.count(y)}, "_g")
+    df = attach(df, _target_sums(train, [fold], y, "_p"), [fold], small=small[(fold,)])
+    prior = F.try_divide((F.col("_g.t") - F.coalesce("_p_t", F.lit(0))).cast("double"), F.col("_g.n") - F.coalesce("_p_n", F.lit(0)))
+    df = df.withColumn("_prior", prior)
     for c in cols:
-        df = _with_oof_sums(df, c, y, fold, small[(c, fold)])
-        t, n = F.coalesce(F.col("_l_t") - F.col("_f_t"), F.lit(0.0)), F.coalesce(F.col("_l_n") - F.col("_f_n"), F.lit(0))
-        df = df.withColumn(f"{c}_likelihood", (t + m * F.col("_prior")) / (n + m)).drop("_l_t", "_l_n", "_f_t", "_f_n")
+        df = _with_other_folds(df, train, c, y, fold, small[(c, fold)])
+        t, n = F.coalesce("_t", F.lit(0.0)), F.coalesce("_n", F.lit(0))
+        df = df.withColumn(f"{c}_likelihood", (t + m * F.col("_prior")) / (n + m)).drop("_t", "_n")
     return df.drop("_g", "_prior", "_p_t", "_p_n")
 
 
-def leave_one_out(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
+def leave_one_out(df: DataFrame, cols: Sequence[str], y: str, source: DataFrame | None = None) -> DataFrame:
     """(sum - y) / (n - 1) on training rows, the level mean elsewhere, the training mean as a fallback."""
-    train = df.where(F.col(SPLIT) == TRAIN)
+    train = _training(df, source)
     small = small_keys(train, [[c] for c in cols], 2)
     df = with_scalars(df, train, {"mean": stat(train, y, "mean")}, "_g")
-    own_y = F.when(F.col(SPLIT) == TRAIN, F.col(y).cast("double")).otherwise(F.lit(0.0))
-    own_n = F.when(F.col(SPLIT) == TRAIN, F.lit(1)).otherwise(F.lit(0))
+    own = F.col(SPLIT) == TRAIN
     for c in cols:
         df = attach(df, _target_sums(train.where(F.col(c).isNotNull()), [c], y, "_l"), [c], small=small[(c,)])
-        rest = F.try_divide(F.col("_l_t") - own_y, F.col("_l_n") - own_n)
-        df = df.withColumn(f"{c}_loo", F.coalesce(rest, F.col("_g.mean"))).drop("_l_t", "_l_n")
+        rest = F.col("_l_t") - F.when(own, F.col(y)).otherwise(F.lit(0))
+        count = F.col("_l_n") - F.when(own, F.lit(1)).otherwise(F.lit(0))
+        df = df.withColumn(f"{c}_loo", F.coalesce(F.try_divide(rest.cast("double"), count), F.col("_g.mean"))).drop("_l_t", "_l_n")
     return df.drop("_g")
 
 
-def mean_std_encode(df: DataFrame, key_sets: Sequence[Sequence[str]], y: str, cutoff: Column) -> DataFrame:
+def mean_std_encode(df: DataFrame, key_sets: Sequence[Sequence[str]], y: str, cutoff: Column, source: DataFrame | None = None) -> DataFrame:
     """Mean and std of the target over many key sets; targets where ``cutoff`` holds are nulled first."""
-    hidden = df.withColumn("_y", F.when(~cutoff, F.col(y)))
-    coded = group_encode(hidden, [("_y", list(ks), ["mean", "std"]) for ks in key_sets])
+    hidden = (df if source is None else source).withColumn("_y", F.when(~cutoff, F.col(y)))
+    coded = group_encode(df, [("_y", list(ks), ["mean", "std"]) for ks in key_sets], source=hidden)
     names = {f"_y_{'_'.join(ks)}_{a}": f"enc_{'_'.join(ks)}_{a}" for ks in key_sets for a in ("mean", "std")}
-    return coded.withColumnsRenamed(names).drop("_y")
+    return coded.withColumnsRenamed(names)
 
 
 def binary_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:

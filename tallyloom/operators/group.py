@@ -21,21 +21,23 @@ def _name(*parts: str) -> str:
     return "_".join(parts)
 
 
-def group_transform(df: DataFrame, keys: Sequence[str], col: str, aggs: Sequence[str]) -> DataFrame:
+def group_transform(df: DataFrame, keys: Sequence[str], col: str, aggs: Sequence[str], source: DataFrame | None = None) -> DataFrame:
     """Group statistics of ``col`` on every row."""
-    stats = df.groupBy(*keys).agg(*[stat(df, col, a).alias(_name(col, *keys, a)) for a in aggs])
-    return attach(df, stats, keys, small=small_keys(df, [keys], len(aggs))[tuple(keys)])
+    source = df if source is None else source
+    stats = source.groupBy(*keys).agg(*[stat(source, col, a).alias(_name(col, *keys, a)) for a in aggs])
+    return attach(df, stats, keys, small=small_keys(source, [keys], len(aggs))[tuple(keys)])
 
 
 def fit_group_encode(
     df: DataFrame, triples: Sequence[tuple[str, Sequence[str], Sequence[str]]], scope: str = "all",
     null_value=None, fill=None,
+    source: DataFrame | None = None,
 ) -> Fitted:
     """Statistics for (column, keys, aggregates) requests; requests that share keys share one ``groupBy``.
 
     ``null_value`` is read as missing before aggregating; ``fill`` replaces missing results.
     """
-    source = in_scope(df, scope)
+    source = in_scope(df, scope, source)
     columns = {col for col, _, _ in triples}
     if null_value is not None:
         source = source.withColumns({c: F.when(F.col(c) != null_value, F.col(c)) for c in columns})
@@ -60,36 +62,46 @@ def fit_group_encode(
     return Fitted(tables, apply)
 
 
-def group_encode(df: DataFrame, triples, scope: str = "all", null_value=None, fill=None) -> DataFrame:
-    return fit_group_encode(df, triples, scope, null_value, fill).transform(df)
+def group_encode(df: DataFrame, triples, scope: str = "all", null_value=None, fill=None, source: DataFrame | None = None) -> DataFrame:
+    return fit_group_encode(df, triples, scope, null_value, fill, source).transform(df)
 
 
-def group_nunique(df: DataFrame, keys: Sequence[str], cols: Sequence[str], scope: str = "all") -> DataFrame:
+def group_nunique(df: DataFrame, keys: Sequence[str], cols: Sequence[str], scope: str = "all", source: DataFrame | None = None) -> DataFrame:
     """Distinct values of each column per group, on every row.
 
     Distinct (keys, value) pairs are built first, so a hot group is spread over its values.
     """
-    source = in_scope(df, scope)
+    source = in_scope(df, scope, source)
     stats = source.groupBy(*keys).agg(*[F.count_distinct(c).alias(_name(c, *keys, "nunique")) for c in cols])
     return attach(df, stats, keys, small=small_keys(source, [keys], len(cols))[tuple(keys)])
 
 
-def group_count(df: DataFrame, keys: Sequence[str], scope: str = "all", name: str | None = None) -> DataFrame:
+def _counted(df: DataFrame, key_sets: dict[str, Sequence[str]], source: DataFrame) -> DataFrame:
+    """Add one count column per key set; all key sets are measured in one pass."""
+    small = small_keys(source, list(key_sets.values()), 1)
+    for name, keys in key_sets.items():
+        stats = source.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+        df = attach(df, stats, keys, small=small[tuple(keys)]).withColumn(name, F.coalesce(name, F.lit(0)))
+    return df
+
+
+def group_count(df: DataFrame, keys: Sequence[str], scope: str = "all", name: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """Group size on every row; groups not seen in scope get 0."""
-    name = name or _name(*keys, "count")
-    source = in_scope(df, scope)
-    stats = source.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    joined = attach(df, stats, keys, small=small_keys(source, [keys], 1)[tuple(keys)])
-    return joined.withColumn(name, F.coalesce(name, F.lit(0)))
+    return _counted(df, {name or _name(*keys, "count"): keys}, in_scope(df, scope, source))
+
 
+def level_counts(df: DataFrame, cols: Sequence[str], scope: str, suffix: str, source: DataFrame | None = None) -> DataFrame:
+    """Rows of each column's level in scope; unseen levels get 0."""
+    return _counted(df, {c + suffix: [c] for c in cols}, in_scope(df, scope, source))
 
-def stats_pack(df: DataFrame, targets: Sequence[str], groups: Sequence[str], scope: str = "all", null_std=0.0) -> DataFrame:
+
+def stats_pack(df: DataFrame, targets: Sequence[str], groups: Sequence[str], scope: str = "all", null_std=0.0, source: DataFrame | None = None) -> DataFrame:
     """Size, mean, std, median, max and min of every target by every other group column.
 
     One aggregation per group column covers all targets; medians of all targets come from one exact
     histogram scan over (group, target).
     """
-    source = in_scope(df, scope)
+    source = in_scope(df, scope, source)
     small = small_keys(source, [[g] for g in groups], 6 * len(targets))
     for g in groups:
         wanted = [t for t in targets if t != g]
@@ -117,14 +129,14 @@ def stats_pack(df: DataFrame, targets: Sequence[str], groups: Sequence[str], sco
     return df
 
 
-def stats_by(df: DataFrame, key: str, col: str, scope: str = "all") -> DataFrame:
+def stats_by(df: DataFrame, key: str, col: str, scope: str = "all", source: DataFrame | None = None) -> DataFrame:
     """Mean, median, max, min and std of one column by key; the std of a single row stays null."""
-    return stats_pack(df, [col], [key], scope, null_std=None)
+    return stats_pack(df, [col], [key], scope, None, source)
 
 
-def freq_encode(df: DataFrame, cols: Sequence[str], scope: str = "all") -> DataFrame:
+def freq_encode(df: DataFrame, cols: Sequence[str], scope: str = "all", source: DataFrame | None = None) -> DataFrame:
     """Share of each value among the non-null values in scope; unseen values stay null."""
-    source = in_scope(df, scope)
+    source = in_scope(df, scope, source)
     small = small_keys(source, [[c] for c in cols], 1)
     df = with_scalars(df, source, {c: F.count(c) for c in cols}, "_total")
     for c in cols:
@@ -134,19 +146,18 @@ def freq_encode(df: DataFrame, cols: Sequence[str], scope: str = "all") -> DataF
     return df.drop("_total")
 
 
-def log_count(df: DataFrame, cols: Sequence[str], scope: str = "all") -> DataFrame:
+def log_count(df: DataFrame, cols: Sequence[str], scope: str = "all", source: DataFrame | None = None) -> DataFrame:
     """ln(count + 1) of each value."""
-    for c in cols:
-        df = group_count(df, [c], scope, "_n").withColumn(f"{c}_log_count", F.log1p(F.col("_n").cast("double"))).drop("_n")
-    return df
+    counted = level_counts(df, cols, scope, "_log_count", source)
+    return counted.withColumns({f"{c}_log_count": F.log1p(F.col(f"{c}_log_count").cast("double")) for c in cols})
 
 
-def usage_share(df: DataFrame, keys: Sequence[str], resource: str, scope: str = "all") -> DataFrame:
+def usage_share(df: DataFrame, keys: Sequence[str], resource: str, scope: str = "all", source: DataFrame | None = None) -> DataFrame:
     """count(key, resource) / count(key) for each key column; unseen pairs get 0.
 
     Key counts are rolled up from the pair counts, so the facts are aggregated once per key.
     """
-    source = in_scope(df, scope)
+    source = in_scope(df, scope, source)
     small = small_keys(source, [[k, resource] for k in keys], 1)
     for k in keys:
         pairs = source.groupBy(k, resource).agg(F.count(F.lit(1)).alias("_pair"))
@@ -164,11 +175,10 @@ def first_seen(df: DataFrame, keys: Sequence[str], period: str) -> DataFrame:
     return out.withColumn("first_offset", F.col("first_seen") - F.col("_s.start")).drop("_s")
 
 
-def norm_by(df: DataFrame, keys: Sequence[str], col: str, agg: str) -> DataFrame:
+def norm_by(df: DataFrame, keys: Sequence[str], col: str, agg: str, source: DataFrame | None = None) -> DataFrame:
     """Value divided by its group's max or mean."""
-    source = group_transform(df, keys, col, [agg])
     ref = _name(col, *keys, agg)
-    return source.withColumn(
+    return group_transform(df, keys, col, [agg], source).withColumn(
         _name(col, "over", *keys, agg), F.try_divide(F.col(col).cast("double"), F.col(ref).cast("double"))
     ).drop(ref)
 
@@ -180,10 +190,10 @@ def filtered_count_ratio(df: DataFrame, key: str, predicate: Column, denom: str,
     return joined.withColumn(name, F.try_divide(F.col("_hits").cast("double"), F.col(denom).cast("double"))).drop("_hits")
 
 
-def crosstab_encode(df: DataFrame, cols: Sequence[str], scope: str = "all") -> DataFrame:
+def crosstab_encode(df: DataFrame, cols: Sequence[str], scope: str = "all", source: DataFrame | None = None) -> DataFrame:
     """Count and ln(count + 1) of each unordered pair of columns, on every row; unseen pairs get 0."""
     pairs = [list(p) for p in combinations(cols, 2)]
-    source = in_scope(df, scope)
+    source = in_scope(df, scope, source)
     small = small_keys(source, pairs, 1)
     for a, b in pairs:
         n = f"{a}_{b}_n"
@@ -218,15 +228,16 @@ def fold_summary(scores: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     return scores.groupBy(*by).agg(stat(scores, col, "mean").alias("score_mean"), stat(scores, col, "std_pop").alias("score_std"))
 
 
-def group_median(df: DataFrame, keys: Sequence[str], col: str, name: str | None = None) -> DataFrame:
+def group_median(df: DataFrame, keys: Sequence[str], col: str, name: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """Exact group median on every row."""
-    table = quantiles(df, keys, col, {name or _name(col, *keys, "median"): 0.5})
-    return attach(df, table, keys, small=small_keys(df, [keys], 1)[tuple(keys)])
+    source = df if source is None else source
+    table = quantiles(source, keys, col, {name or _name(col, *keys, "median"): 0.5})
+    return attach(df, table, keys, small=small_keys(source, [keys], 1)[tuple(keys)])
 
 
-def global_stats(df: DataFrame, cols: Sequence[str], aggs: Sequence[str], scope: str = "all") -> DataFrame:
+def global_stats(df: DataFrame, cols: Sequence[str], aggs: Sequence[str], scope: str = "all", source: DataFrame | None = None) -> DataFrame:
     """Global statistics as columns, read from a one-row subquery."""
-    source = in_scope(df, scope)
+    source = in_scope(df, scope, source)
     names = [(c, a) for c in cols for a in aggs]
     out = with_scalars(df, source, {_name(c, a): stat(source, c, a) for c, a in names})
     return out.withColumns({_name(c, a): F.col(f"_s.{_name(c, a)}") for c, a in names}).drop("_s")

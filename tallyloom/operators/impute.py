@@ -17,15 +17,15 @@ from tallyloom.ordered import search
 from tallyloom.spec import SPLIT, in_scope
 
 
-def impute_mean(df: DataFrame, cols: Sequence[str], scope: str = "train") -> DataFrame:
-    source = in_scope(df, scope)
+def impute_mean(df: DataFrame, cols: Sequence[str], scope: str = "train", source: DataFrame | None = None) -> DataFrame:
+    source = in_scope(df, scope, source)
     out = with_scalars(df, source, {c: stat(source, c, "mean") for c in cols})
     return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_s.{c}")) for c in cols}).drop("_s")
 
 
-def impute_mode(df: DataFrame, cols: Sequence[str], scope: str = "train") -> DataFrame:
+def impute_mode(df: DataFrame, cols: Sequence[str], scope: str = "train", source: DataFrame | None = None) -> DataFrame:
     """Most frequent level, the smallest one on ties; levels of all columns are counted in one shuffle."""
-    source = in_scope(df, scope).select(*[F.col(c).cast("string").alias(c) for c in cols])
+    source = in_scope(df, scope, source).select(*[F.col(c).cast("string").alias(c) for c in cols])
     counts = source.unpivot([], list(cols), "_column", "_value").where("_value is not null").groupBy("_column", "_value").agg(
         F.count(F.lit(1)).alias("_n")
     )
@@ -36,11 +36,12 @@ def impute_mode(df: DataFrame, cols: Sequence[str], scope: str = "train") -> Dat
     ).drop("_s")
 
 
-def impute_cascade(df: DataFrame, cols: Sequence[str], keys: Sequence[Sequence[str]]) -> DataFrame:
+def impute_cascade(df: DataFrame, cols: Sequence[str], keys: Sequence[Sequence[str]], source: DataFrame | None = None) -> DataFrame:
     """Fill with the median of the fine group, then of the next coarser group, and so on."""
+    source = df if source is None else source
     for c in cols:
         for i, ks in enumerate(keys):
-            df = group_median(df, ks, c, f"_m{i}")
+            df = group_median(df, ks, c, f"_m{i}", source)
         df = df.withColumn(c, F.coalesce(F.col(c).cast("double"), *[F.col(f"_m{i}") for i in range(len(keys))]))
         df = df.drop(*[f"_m{i}" for i in range(len(keys))])
     return df
@@ -71,9 +72,9 @@ def impute_iterative(df: DataFrame, cols: Sequence[str], rounds: int = 3) -> Dat
     return work.drop(*[f"_was_null_{c}" for c in cols])
 
 
-def standardize(df: DataFrame, cols: Sequence[str], scope: str = "train", suffix: str = "_std") -> DataFrame:
+def standardize(df: DataFrame, cols: Sequence[str], scope: str = "train", suffix: str = "_std", source: DataFrame | None = None) -> DataFrame:
     """(x - mean) / population std; a constant column becomes 0."""
-    source = in_scope(df, scope)
+    source = in_scope(df, scope, source)
     exprs = {f"m_{c}": stat(source, c, "mean") for c in cols} | {f"s_{c}": stat(source, c, "std_pop") for c in cols}
     out = with_scalars(df, source, exprs)
 
@@ -84,9 +85,9 @@ def standardize(df: DataFrame, cols: Sequence[str], scope: str = "train", suffix
     return out.withColumns({c + suffix: scaled(c) for c in cols}).drop("_s")
 
 
-def unstandardize(df: DataFrame, col: str, source: DataFrame, target: str, out: str) -> DataFrame:
+def unstandardize(df: DataFrame, col: str, train: DataFrame, target: str, out: str) -> DataFrame:
     """Undo the scaling of ``target`` for predictions in ``col``."""
-    scaled = with_scalars(df, source, {"m": stat(source, target, "mean"), "s": stat(source, target, "std_pop")})
+    scaled = with_scalars(df, train, {"m": stat(train, target, "mean"), "s": stat(train, target, "std_pop")})
     spread = F.when(F.col("_s.s") == 0, F.lit(1.0)).otherwise(F.col("_s.s"))
     return scaled.withColumn(out, F.col(col) * spread + F.col("_s.m")).drop("_s")
 
@@ -94,9 +95,9 @@ def unstandardize(df: DataFrame, col: str, source: DataFrame, target: str, out:
 AFTER = {"log1p": F.log1p, "sqrt": F.sqrt}
 
 
-def minmax(df: DataFrame, cols: Sequence[str], scope: str = "train", then: str | None = None, suffix: str = "_mm") -> DataFrame:
+def minmax(df: DataFrame, cols: Sequence[str], scope: str = "train", then: str | None = None, suffix: str = "_mm", source: DataFrame | None = None) -> DataFrame:
     """(x - min) / (max - min), clamped at 0 before an optional log1p or sqrt; constant columns give null."""
-    source = in_scope(df, scope)
+    source = in_scope(df, scope, source)
     out = with_scalars(df, source, {f"{e}_{c}": getattr(F, e)(c).cast("double") for c in cols for e in ("min", "max")})
 
     def scaled(c: str) -> Column:
@@ -107,13 +108,13 @@ def minmax(df: DataFrame, cols: Sequence[str], scope: str = "train", then: str |
     return out.withColumns({c + suffix: scaled(c) for c in cols}).drop("_s")
 
 
-def positive_max_scale(df: DataFrame, cols: Sequence[str], scope: str = "train", overflow: float = 9999999999.0) -> DataFrame:
+def positive_max_scale(df: DataFrame, cols: Sequence[str], scope: str = "train", overflow: float = 9999999999.0, source: DataFrame | None = None) -> DataFrame:
     """Divide by the largest value in scope, treating negatives by how many levels they have.
 
     ``overflow`` stands for max + 1 of the other values.  No negative level, or exactly one (which
     becomes -1): only positive values are divided.  Several negative levels: all values are divided.
     """
-    source = in_scope(df, scope)
+    source = in_scope(df, scope, source)
     exprs = {}
     for c in cols:
         v = F.col(c).cast("double")
@@ -162,14 +163,14 @@ def inverse_normal(p: Column) -> Column:
     )
 
 
-def quantile_normal(df: DataFrame, cols: Sequence[str], n: int = 1000, scope: str = "train", suffix: str = "_qn") -> DataFrame:
+def quantile_normal(df: DataFrame, cols: Sequence[str], n: int = 1000, scope: str = "train", suffix: str = "_qn", source: DataFrame | None = None) -> DataFrame:
     """Map each column to normal scores through a grid of at most ``n`` quantiles of the scope.
 
     The grid (``n`` numbers per column) comes from mergeable sketches in one job; rows are placed by a
     two-step search and interpolated.  Repeated grid values take the middle of their range.
     """
     probs = [i / (n - 1) for i in range(n)]
-    source = in_scope(df, scope)
+    source = in_scope(df, scope, source)
     grids = source.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 100 * n).alias(c) for c in cols]).first()
     out = df
     for c in cols:
@@ -220,9 +221,9 @@ def unit_norm(df: DataFrame, cols: Sequence[str], suffix: str = "_unit") -> Data
     ).drop("_s")
 
 
-def shift_nonnegative(df: DataFrame, cols: Sequence[str], scope: str = "all") -> DataFrame:
+def shift_nonnegative(df: DataFrame, cols: Sequence[str], scope: str = "all", source: DataFrame | None = None) -> DataFrame:
     """Subtract the smallest value in scope; nulls stay."""
-    out = with_scalars(df, in_scope(df, scope), {c: F.min(c) for c in cols})
+    out = with_scalars(df, in_scope(df, scope, source), {c: F.min(c) for c in cols})
     return out.withColumns({c: F.col(c) - F.col(f"_s.{c}") for c in cols}).drop("_s")
 
 
@@ -246,9 +247,9 @@ def _project(fit_on: DataFrame, df: DataFrame, cols: Sequence[str], k: int, name
     ).drop("_x", "_p")
 
 
-def pca(df: DataFrame, cols: Sequence[str], k: int = 2, scope: str = "train", prefix: str = "pca") -> DataFrame:
+def pca(df: DataFrame, cols: Sequence[str], k: int = 2, scope: str = "train", prefix: str = "pca", source: DataFrame | None = None) -> DataFrame:
     """First ``k`` principal components of the centred columns."""
-    source = in_scope(df, scope) if SPLIT in df.columns else df
+    source = in_scope(df, scope, source) if SPLIT in df.columns else df
     means = source.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
     return _project(source, df, cols, k, [f"{prefix}_{j}" for j in range(k)], [means[c] for c in cols])
 
@@ -272,10 +273,10 @@ def _standardised(df: DataFrame, names: Sequence[str]) -> DataFrame:
     ).drop("_s")
 
 
-def kmeans_ids(df: DataFrame, cols: Sequence[str], ks: Sequence[int], seed: int = 7, scope: str = "train", max_iter: int = 20) -> DataFrame:
+def kmeans_ids(df: DataFrame, cols: Sequence[str], ks: Sequence[int], seed: int = 7, scope: str = "train", max_iter: int = 20, source: DataFrame | None = None) -> DataFrame:
     """Cluster number for every ``k``; centres are learned on the scope and applied to all rows."""
     packer = VectorAssembler(inputCols=list(cols), outputCol="_x")
-    source = packer.transform(in_scope(df, scope) if SPLIT in df.columns else df).select("_x").persist()
+    source = packer.transform(in_scope(df, scope, source) if SPLIT in df.columns else df).select("_x").persist()
     out = packer.transform(df)
     try:
         for k in ks:

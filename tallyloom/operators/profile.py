@@ -53,10 +53,10 @@ def _profile_rows(df: DataFrame, cols: Sequence[str], exprs: dict[str, Column])
     return df.agg(*[e.alias(c) for c, e in exprs.items()]).first().asDict()
 
 
-def drop_constant(df: DataFrame, scope: str = "all", cols: Sequence[str] | None = None) -> DataFrame:
+def drop_constant(df: DataFrame, scope: str = "all", cols: Sequence[str] | None = None, source: DataFrame | None = None) -> DataFrame:
     """Drop columns with a single non-null value (nulls ignored); min = max decides, no distinct count."""
     cols = _features(df, cols)
-    row = _profile_rows(in_scope(df, scope), cols, {c: (F.count(c) > 0) & F.min(c).eqNullSafe(F.max(c)) for c in cols})
+    row = _profile_rows(in_scope(df, scope, source), cols, {c: (F.count(c) > 0) & F.min(c).eqNullSafe(F.max(c)) for c in cols})
     return df.drop(*[c for c in cols if row[c]])
 
 

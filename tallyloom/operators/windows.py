@@ -79,14 +79,14 @@ def _ranks(hist: DataFrame, group: Sequence[str], col: str, sample: DataFrame) -
     return match(ranked, top, group).withColumn("_p", F.col("_rank") / F.col("_top"))
 
 
-def ecdf_band(df: DataFrame, group: str, col: str, k: int, scope: str = "all", name: str | None = None) -> DataFrame:
+def ecdf_band(df: DataFrame, group: str, col: str, k: int, scope: str = "all", name: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """Percentile rank of a value among the rows whose integer group is within ``k`` of its own.
 
     The (group, value) histogram is copied to its neighbours, never the rows.  With train scope a
     test value takes the percentile of the nearest training value in its band.
     """
     name = name or f"{col}_ecdf_{k}"
-    hist = in_scope(df, scope).where(F.col(col).isNotNull()).groupBy(group, col).agg(F.count(F.lit(1)).alias("_c"))
+    hist = in_scope(df, scope, source).where(F.col(col).isNotNull()).groupBy(group, col).agg(F.count(F.lit(1)).alias("_c"))
     spread = hist.withColumn("_own", F.col(group)).withColumn(
         group, F.explode(F.sequence(F.col(group) - k, F.col(group) + k))
     )

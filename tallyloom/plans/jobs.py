@@ -29,32 +29,34 @@ def standardized(df: DataFrame, spec: TableSpec, scope: str = "train") -> DataFr
 def entity_features(df: DataFrame, scope: str = "all") -> DataFrame:
     """Transactions with a synthetic client key: frequency, mean/std and distinct-count features per key.
 
-    Requests that share a key share one aggregation; every statistics table is measured before it is
-    broadcast.
+    Requests that share a key share one aggregation, and all of them are learned from ``base``, the
+    rows before any feature was joined.
     """
-    out = scalar.entity_id(df, ["o_custkey", "segment"], "day", "age")
-    out = scalar.subtract_elapsed(out, ["age"], "secs")
-    out = scalar.concat_pair(out, "nation", "segment")
-    out = scalar.date_parts(out, "odate", ["month", "weekday"])
-    out = scalar.flag(out, "big_urgent", (F.col("total") > 300000) & (F.col("priority") == "1-URGENT"))
+    base = scalar.entity_id(df, ["o_custkey", "segment"], "day", "age")
+    base = scalar.concat_pair(scalar.subtract_elapsed(base, ["age"], "secs"), "nation", "segment")
+    base = scalar.date_parts(base, "odate", ["month", "weekday"])
+    out = scalar.flag(base, "big_urgent", (F.col("total") > 300000) & (F.col("priority") == "1-URGENT"))
     out = scalar.fraction(out, "total", "cents")
-    out = group.freq_encode(out, ["nation", "nation_segment", "uid"], scope)
+    out = group.freq_encode(out, ["nation", "nation_segment", "uid"], scope, base)
     keys = [["nation"], ["nation_segment"], ["o_custkey"], ["uid"]]
-    out = group.group_encode(out, [("total", ks, ["mean", "std"]) for ks in keys] + [("age", ["o_custkey"], ["mean"])], scope)
-    out = group.group_nunique(out, ["o_custkey"], ["priority", "odate_month"], scope)
-    out = encode.label_encode(out, ["priority", "nation_segment"], scope)
-    return impute.shift_nonnegative(out, ["age"], scope).drop("secs", "day", "nation", "segment", "nation_segment", "priority", "odate", "total")
+    wanted = [("total", ks, ["mean", "std"]) for ks in keys] + [("age", ["o_custkey"], ["mean"])]
+    out = group.group_encode(out, wanted, scope, source=base)
+    out = group.group_nunique(out, ["o_custkey"], ["priority", "odate_month"], scope, base)
+    out = encode.label_encode(out, ["priority", "nation_segment"], scope, base)
+    out = impute.shift_nonnegative(out, ["age"], scope, base)
+    return out.drop("secs", "day", "nation", "segment", "nation_segment", "priority", "odate", "total")
 
 
 def demand_grid(grid: DataFrame, weekly: DataFrame, key_sets: Sequence[Sequence[str]], hide: Column, ranges, first: int) -> DataFrame:
     """Dense period grid: release filter, price ratios, lags, rolling windows, target encodings, time folds."""
     released = weekly.groupBy("sid").agg((F.min("w") + 2).alias("release"))
-    priced = group.norm_by(weekly.withColumn("unit", F.try_divide(F.col("revenue").cast("double"), F.col("sold").cast("double"))), ["sid"], "unit", "max")
+    unit = F.try_divide(F.col("revenue").cast("double"), F.col("sold").cast("double"))
+    priced = group.norm_by(weekly.withColumn("unit", unit), ["sid"], "unit", "max")
     priced = windows.momentum(priced, ["sid"], ["w"], "unit").select("sid", "w", "unit_over_sid_max", "unit_momentum")
     out = windows.lags(grid, ["sid"], ["w"], "sales", [4, 8], dense=True)
     rolled = windows.rolling(grid.select("sid", "w", "sales"), ["sid"], ["w"], "sales", [4], [4, 13], ["mean", "std"], dense=True).drop("sales")
     out = relate.left_join(relate.left_join(out, rolled, ["sid", "w"]), priced, ["sid", "w"])
-    out = encode.mean_std_encode(out, key_sets, "sales", hide)
+    out = encode.mean_std_encode(out, key_sets, "sales", hide, grid)
     out = relate.join_where(out, released, ["sid"], F.col("w") >= F.col("release")).drop("release")
     return folds.time_folds(out, "w", ranges, first)
 
@@ -62,11 +64,11 @@ def demand_grid(grid: DataFrame, weekly: DataFrame, key_sets: Sequence[Sequence[
 def access_counts(df: DataFrame, cats: Sequence[str], resource: str, scope: str = "all") -> DataFrame:
     """All-categorical rows: log counts, shares of a resource, distinct resources, pair counts."""
     owners = [c for c in cats if c != resource]
-    out = group.log_count(df, cats, scope)
-    out = group.usage_share(out, owners, resource, scope)
+    out = group.log_count(df, cats, scope, df)
+    out = group.usage_share(out, owners, resource, scope, df)
     for c in owners:
-        out = group.group_nunique(out, [c], [resource], scope)
-    out = group.crosstab_encode(out, cats, scope)
+        out = group.group_nunique(out, [c], [resource], scope, df)
+    out = group.crosstab_encode(out, cats, scope, df)
     return profile.drop_constant(out, scope, [c for c in out.columns if c.endswith(("_log", "_n", "_share", "_nunique"))])
 
 
@@ -92,14 +94,16 @@ def combo_levels(df: DataFrame, cats: Sequence[str], nums: Sequence[str], y: str
     combined = scalar.concat_r(df, cats, 2)
     pairs = [c for c in combined.columns if c not in df.columns]
     levelled = scalar.truncate_level(scalar.pair_sum(combined, nums), nums, 0.001)
-    coded = encode.label_encode(levelled, [*pairs, *[f"{n}_level" for n in nums]])
-    return encode.target_mean_oof(coded, [*pairs, *[f"{n}_level" for n in nums]], y, fold)
+    levels = [*pairs, *[f"{n}_level" for n in nums]]
+    coded = encode.label_encode(levelled, levels, source=levelled)
+    return encode.target_mean_oof(coded, levels, y, fold, levelled)
 
 
 def group_stats(df: DataFrame, targets: Sequence[str], groups: Sequence[str], token: str, scope: str = "all") -> DataFrame:
     """Statistics of every target by every group, counts of the combined level, products and ratios."""
-    out = group.stats_pack(group.concat_count(df, token, scope), targets, groups, scope)
-    out = encode.count_encode(out, groups, scope)
+    out = group.concat_count(df, token, scope)
+    out = group.stats_pack(out, targets, groups, scope, source=df)
+    out = encode.count_encode(out, groups, scope, df)
     return scalar.pair_product_ratio(out, targets)
 
 
@@ -109,7 +113,7 @@ def property_clean(df: DataFrame, scope: str = "all") -> DataFrame:
     out = clean.repair(out, [("floor", F.col("top") < F.col("floor"), F.col("top")), ("size", F.col("size") > 45, F.lit(None).cast("double"))])
     out = impute.impute_cascade(out, ["size"], [["brand", "kind"], ["brand"]])
     out = scalar.ratios(out, [("price_per_size", "price", "size"), ("floor_share", "floor", "top")], on_bad=None)
-    return group.stats_by(out, "brand", "price", scope)
+    return group.stats_by(out, "brand", "price", scope, df)
 
 
 def chain_lookup(df: DataFrame, series: Sequence[str], key: str, offsets: Sequence[int]) -> DataFrame:

@@ -69,8 +69,13 @@ class Fitted:
         return self.apply(df)
 
 
-def in_scope(df: DataFrame, scope: str) -> DataFrame:
-    """Rows that statistics may look at: training rows only, or training and test together."""
+def in_scope(df: DataFrame, scope: str, source: DataFrame | None = None) -> DataFrame:
+    """Rows that statistics may look at: training rows only, or training and test together.
+
+    ``source`` names another table with the same rows to learn from.  Jobs that add many features pass
+    the table they started with, so that learning one feature does not run the joins of the others.
+    """
+    df = df if source is None else source
     if scope not in SCOPES:
         raise ValueError(f"scope must be one of {SCOPES}, got {scope!r}")
     return df.filter(F.col(SPLIT) == TRAIN) if scope == "train" else df
