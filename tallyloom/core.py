@@ -41,13 +41,22 @@ def stat(df: DataFrame, col: str, fn: str, over: WindowSpec | None = None) -> Co
     if not is_exact(df, col):
         built_in = {"mean": F.avg, "std": F.stddev_samp, "std_pop": F.stddev_pop}
         return on(built_in[fn](c))
-    n = on(F.count(c))
-    total = on(F.sum(c)).cast("double")
+    return from_moments(fn, on(F.count(c)), on(F.sum(c)), on(F.sum(square(df, col))))
+
+
+def square(df: DataFrame, col: str) -> Column:
+    """The square of an integer or decimal column, wide enough not to overflow."""
+    c = F.col(col)
+    wide = c if isinstance(df.schema[col].dataType, T.DecimalType) else c.cast("decimal(18,0)")
+    return wide * wide
+
+
+def from_moments(fn: str, n: Column, total: Column, squares: Column) -> Column:
+    """Mean, sample std or population std from exact count, sum and sum of squares."""
+    total = total.cast("double")
     if fn == "mean":
         return F.try_divide(total, n)
-    wide = c if isinstance(df.schema[col].dataType, T.DecimalType) else c.cast("decimal(18,0)")
-    squares = on(F.sum(wide * wide)).cast("double")
-    spread = F.greatest(squares - F.try_divide(total * total, n), F.lit(0.0))
+    spread = F.greatest(squares.cast("double") - F.try_divide(total * total, n), F.lit(0.0))
     if fn == "std":
         return F.when(n > 1, F.sqrt(F.try_divide(spread, n - 1)))
     if fn == "std_pop":

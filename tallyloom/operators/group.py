@@ -120,7 +120,7 @@ def stats_pack(df: DataFrame, targets: Sequence[str], groups: Sequence[str], sco
             [g], [f"_{t}" for t in wanted], "_t", "_v"
         )
         medians = (
-            quantiles(long, [g, "_t"], "_v", {"m": 0.5})
+            quantiles(long, [g, "_t"], "_v", {"m": 0.5}, few=small[(g,)])
             .groupBy(g)
             .agg(*[F.max(F.when(F.col("_t") == f"_{t}", F.col("m"))).alias(_name(t, "by", g) + "_median") for t in wanted])
         )
@@ -231,8 +231,9 @@ def fold_summary(scores: DataFrame, by: Sequence[str], col: str) -> DataFrame:
 def group_median(df: DataFrame, keys: Sequence[str], col: str, name: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """Exact group median on every row."""
     source = df if source is None else source
-    table = quantiles(source, keys, col, {name or _name(col, *keys, "median"): 0.5})
-    return attach(df, table, keys, small=small_keys(source, [keys], 1)[tuple(keys)])
+    small = small_keys(source, [keys], 4)[tuple(keys)]
+    table = quantiles(source, keys, col, {name or _name(col, *keys, "median"): 0.5}, few=small)
+    return attach(df, table, keys, small=small)
 
 
 def global_stats(df: DataFrame, cols: Sequence[str], aggs: Sequence[str], scope: str = "all", source: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import match, stat
+from tallyloom.core import from_moments, is_exact, match, square, stat
 from tallyloom.ordered import row_index, running
 from tallyloom.operators.relate import nearest_join
 from tallyloom.spec import in_scope
@@ -50,16 +50,38 @@ def rolling(
     df: DataFrame, ids: Sequence[str], order: Sequence[str], col: str, shifts: Sequence[int], windows: Sequence[int],
     aggs: Sequence[str], dense: bool = False,
 ) -> DataFrame:
-    """Statistics of the ``w`` values that end ``shift`` rows earlier; null until ``w`` values are present."""
-    cut = _blocks(df, ids, order, max(shifts) + max(windows) - 1, dense)
-    new = {}
-    for s in shifts:
-        for w in windows:
+    """Statistics (mean, std) of the ``w`` values that end ``shift`` rows earlier; null until ``w`` values are present.
+
+    Integer and decimal columns use differences of exact running sums, so the cost of a row does not
+    depend on the window length.  Floating columns are summed frame by frame, which loses no digits.
+    """
+    reach = max(shifts) + max(windows)
+    cut = _blocks(df, ids, order, reach, dense)
+    frames = [(s, w) for s in shifts for w in windows]
+    if not is_exact(df, col):
+        new = {}
+        for s, w in frames:
             frame = _over(ids).rowsBetween(-(s + w - 1), -s)
-            full = stat(df, col, "count", frame) == w
-            for a in aggs:
-                new[f"{col}_{a}_{s}_{w}"] = F.when(full, stat(df, col, a, frame))
-    return _finish(cut, df.columns, new)
+            new |= {f"{col}_{a}_{s}_{w}": F.when(stat(df, col, "count", frame) == w, stat(df, col, a, frame)) for a in aggs}
+        return _finish(cut, df.columns, new)
+    upto = _over(ids).rowsBetween(Window.unboundedPreceding, 0)
+    sums = F.struct(
+        F.count(col).over(upto).alias("n"), F.coalesce(F.sum(col).over(upto), F.lit(0)).alias("t"),
+        F.coalesce(F.sum(square(df, col)).over(upto), F.lit(0)).alias("q"),
+    )
+    offsets = sorted({k for s, w in frames for k in (s, s + w)})
+    placed = cut.withColumn("_sums", sums).withColumns({f"_at_{k}": F.lag("_sums", k).over(_over(ids)) for k in offsets})
+
+    def between(s: int, w: int, part: str) -> Column:
+        return F.col(f"_at_{s}.{part}") - F.coalesce(F.col(f"_at_{s + w}.{part}"), F.lit(0))
+
+    return _finish(
+        placed, df.columns,
+        {
+            f"{col}_{a}_{s}_{w}": F.when(between(s, w, "n") == w, from_moments(a, *(between(s, w, m) for m in "ntq")))
+            for s, w in frames for a in aggs
+        },
+    )
 
 
 def momentum(df: DataFrame, ids: Sequence[str], order: Sequence[str], col: str, dense: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.core import match
+from tallyloom.core import match, small_keys
 
 SAMPLES_PER_CHUNK = 16
 MAX_CHUNKS = 4096
@@ -142,19 +142,27 @@ def row_index(
     return running(df, groups, order, {name: ("sum", F.lit(1).cast("bigint"))}, chunks=chunks, sample=sample)
 
 
-def quantiles(df: DataFrame, groups: Sequence[str], col: str, qs: dict[str, float], chunks: int | None = None) -> DataFrame:
+def quantiles(
+    df: DataFrame, groups: Sequence[str], col: str, qs: dict[str, float], chunks: int | None = None, few: bool | None = None
+) -> DataFrame:
     """Exact, linearly interpolated quantiles per group: one row per group.
 
-    Works on the (group, value) histogram.  Totals per (group, chunk) tell which chunks hold a wanted
-    rank; only those are scanned in order, so no task ever sees all the values of a group.
+    Row counts per (group, chunk) tell which chunks hold a wanted rank; only those are scanned in
+    order, so no task ever sees all the values of a group.  With few groups (measured unless told) the counts come
+    straight from the rows and only the rows of the wanted chunks are shuffled at all.  With many
+    groups the (group, value) histogram is built first and serves both steps.
     """
-    present = df.where(F.col(col).isNotNull())
-    owner = [*groups, "_all"]
-    hist = (
-        present.groupBy(*groups, col).agg(F.count(F.lit(1)).alias("_c"))
-        .withColumns({"_chunk": chunk_of(present, [col], chunks), "_all": F.lit(0)})
-    )
-    totals = hist.groupBy(*owner, "_chunk").agg(F.sum("_c").alias("_held"))
+    groups, owner = list(groups), [*groups, "_all"]
+    present = df.where(F.col(col).isNotNull()).select(*groups, col)
+    if few is None:
+        few = not groups or small_keys(present, [groups], 4 * len(qs))[tuple(groups)]
+    tags = {"_chunk": chunk_of(present, [col], chunks), "_all": F.lit(0)}
+
+    def histogram(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.groupBy(*groups, col, *more).agg(F.count(F.lit(1)).alias("_c"))
+
+    rows = present.withColumns(tags) if few else histogram(present).withColumns(tags)
+    totals = rows.groupBy(*owner, "_chunk").agg((F.count(F.lit(1)) if few else F.sum("_c")).alias("_held"))
     whole = Window.partitionBy(*owner)  # at most ``chunks`` rows per group
     upto = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
     placed = totals.select(*owner, "_chunk", (F.sum("_held").over(upto) - F.col("_held")).alias("_start"), "_held", F.sum("_held").over(whole).alias("_n"))
@@ -166,7 +174,10 @@ def quantiles(df: DataFrame, groups: Sequence[str], col: str, qs: dict[str, floa
         return reduce(lambda a, b: a | b, tests)
 
     needed = placed.where(holds(F.col("_start"), F.col("_start") + F.col("_held"))).drop("_held")
-    kept = match(hist, needed, [*owner, "_chunk"], "inner")
+    if few:  # at most two chunks per group and quantile
+        kept = histogram(match(rows, F.broadcast(needed), [*owner, "_chunk"], "inner"), "_all", "_chunk", "_start", "_n")
+    else:
+        kept = match(rows, needed, [*owner, "_chunk"], "inner")
     inside = Window.partitionBy(*owner, "_chunk").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
     ranked = kept.withColumn("_hi", F.col("_start") + F.sum("_c").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_c"))
     value = F.col(col).cast("double")
