@@ -75,13 +75,15 @@ def rolling(
     def between(s: int, w: int, part: str) -> Column:
         return F.col(f"_at_{s}.{part}") - F.coalesce(F.col(f"_at_{s + w}.{part}"), F.lit(0))
 
-    return _finish(
-        placed, df.columns,
-        {
-            f"{col}_{a}_{s}_{w}": F.when(between(s, w, "n") == w, from_moments(a, *(between(s, w, m) for m in "ntq")))
-            for s, w in frames for a in aggs
-        },
-    )
+    # Staged as columns, so each wide decimal difference is taken once per row.
+    moments = {f"_n_{s}_{w}": between(s, w, "n") for s, w in frames}
+    moments |= {f"_{m}_{s}_{w}": between(s, w, m).cast("double") for s, w in frames for m in "tq"}
+    new = {
+        f"{col}_{a}_{s}_{w}": F.when(F.col(f"_n_{s}_{w}") == w, from_moments(a, *(F.col(f"_{m}_{s}_{w}") for m in "ntq")))
+        for s, w in frames for a in aggs
+    }
+    own = placed.where("_home = _block").select(*df.columns, *[e.alias(k) for k, e in moments.items()])
+    return own.select(*df.columns, *[e.alias(k) for k, e in new.items()])
 
 
 def momentum(df: DataFrame, ids: Sequence[str], order: Sequence[str], col: str, dense: bool = False) -> DataFrame:
