@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,10 +61,9 @@ def load_dates(spark: SparkSession, path: str, cols: Sequence[str], fmt: str, sc
 
 
 def _is_complete(spark: SparkSession, path: str) -> bool:
-    try:
-        return spark.read.format("binaryFile").load(f"{path}/_SUCCESS").count() == 1
-    except AnalysisException:
-        return False
+    """Whether a finished write left its success marker, asked of the folder's own file system."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
 def cache_features(df: DataFrame, directory: str, version: str, overwrite: bool = False) -> DataFrame:
