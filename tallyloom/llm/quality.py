@@ -6,7 +6,7 @@ class.  Vectors and layer are trained by stochastic gradient descent in numpy on
 documents.
 
 Once trained, the layer can be applied to every bucket's vector beforehand, so a score is the mean of one number per
-feature.  The numbers of a word are looked up once per worker.
+feature, and the numbers of a word are computed once and kept.
 """
 
 from __future__ import annotations
@@ -36,15 +36,22 @@ def fold(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def buckets(word: str) -> list[int]:
-    """Buckets of a word and of its character n-grams."""
-    wrapped = f"<{word}>"
-    grams = [word, *(wrapped[i : i + n] for n in range(SHORT, LONG + 1) for i in range(len(wrapped) - n + 1))]
-    return [1 + zlib.crc32(g.encode()) % (BUCKETS - 1) for g in grams]
-
-
-def repeats(words: list[str]) -> int:
-    return sum(map(str.__eq__, words, words[1:]))
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of their character n-grams, with the number of the word each belongs to."""
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    ends = np.cumsum([len(w) + 2 for w in words])
+    owner = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+    whole = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words))
+    hashes, owners = [whole], [np.arange(len(words))]
+    mixed = codes
+    for n in range(2, LONG + 1):
+        mixed = mixed[:-1] * np.uint64(0x100000001B3) + codes[n - 1 :]
+        inside = owner[: len(mixed)] == owner[n - 1 :]
+        if n >= SHORT:
+            hashes.append(mixed[inside] + np.uint64(n))
+            owners.append(owner[: len(mixed)][inside])
+    h = np.concatenate(hashes) * np.uint64(0x9E3779B97F4A7C15)
+    return 1 + ((h >> np.uint64(32)) % np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate(owners)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -53,10 +60,11 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     counts: dict[str, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
-    grams = [buckets(w) for w in counts]
-    at = np.fromiter((b for g in grams for b in g), np.int64)
-    total = np.bincount(at, np.repeat(list(counts.values()), [len(g) for g in grams]) if counts else None, BUCKETS).astype(float)
-    total[REPEAT] = REPEAT_WEIGHT * repeats(words)
+    if not words:
+        return np.empty(0, np.int64), np.empty(0)
+    at, owner = grams(list(counts))
+    total = np.bincount(at, np.fromiter(counts.values(), float)[owner], BUCKETS)
+    total[REPEAT] = REPEAT_WEIGHT * sum(map(str.__eq__, words, words[1:]))
     ids = np.flatnonzero(total)
     return ids, total[ids]
 
@@ -95,33 +103,38 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
     return Model(vectors @ ahead, float(bias[1] - bias[0]))
 
 
-_words: dict[str, tuple[float, int]] = {}
-_owner: list[float] = []
-
-
-def score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
-    """Scores of whole texts; a word's numbers are kept between calls until ``CACHE`` words are known."""
-    mark = [model.bias, float(model.weight.sum())]
-    if _owner != mark:
-        _words.clear()
-        _owner[:] = mark
-    out = np.empty(len(texts))
-    for i, text in enumerate(texts):
-        words = (text or "").split()
-        if len(_words) > CACHE:
-            _words.clear()
-        total, n = [], 0
-        for w in words:
-            known = _words.get(w)
-            if known is None:
-                b = buckets(w)
-                known = _words[w] = (float(model.weight[b].sum()), len(b))
-            total.append(known[0])
-            n += known[1]
-        again = REPEAT_WEIGHT * repeats(words)
-        z = model.bias + ((math.fsum(total) + again * model.weight[REPEAT]) / (n + again) if words else 0.0)
-        out[i] = 1 / (1 + math.exp(-z)) if z > -700 else 0.0
-    return out
+class Scorer:
+    """Applies a model to texts; what a word adds is kept until ``CACHE`` words are known."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.number: dict[str, int] = {}
+        self.value, self.count = np.empty(0), np.empty(0, np.int64)
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.number]
+        if not new:
+            return
+        at, owner = grams(new)
+        self.number.update(zip(new, range(len(self.value), len(self.value) + len(new))))
+        self.value = np.r_[self.value, np.bincount(owner, self.model.weight[at], len(new))]
+        self.count = np.r_[self.count, np.bincount(owner, minlength=len(new))]
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        out = np.empty(len(texts))
+        for low in range(0, len(texts), 1000):
+            if len(self.number) > CACHE:
+                self.__init__(self.model)
+            split = [(t or "").split() for t in texts[low : low + 1000]]
+            self.learn(set().union(*split))
+            for i, words in enumerate(split, low):
+                at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+                again = REPEAT_WEIGHT * int(np.count_nonzero(at[1:] == at[:-1]))
+                z = self.model.bias
+                if words:
+                    z += (float(self.value[at].sum()) + again * float(self.model.weight[REPEAT])) / (int(self.count[at].sum()) + again)
+                out[i] = 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
@@ -156,9 +169,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
         for batch in batches:
-            scores = score_texts(held.value, batch.column(2).to_pylist())
+            scores = scorer(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col)) == 1).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model accepts (score >= 0.5), with all their columns and without a shuffle."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column(at).to_pylist()) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
