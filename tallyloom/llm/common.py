@@ -23,6 +23,19 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Join ``rows`` by their ``rid`` to the rows of ``docs`` they were made from.
+
+    ``rid`` is ``monotonically_increasing_id()`` over ``docs``, which must be a stored table (its scan numbers its rows alike
+    each time).  No column of ``docs`` is hidden by the number; those of ``rows`` come as one struct, ``row``.
+    """
+    rid = "rid"
+    while rid in docs.columns:
+        rid += "_"
+    right = rows.select(F.col("rid").alias(rid), *[F.struct(*[c for c in rows.columns if c != "rid"]).alias("row")] * (how == "left"))
+    return docs.withColumn(rid, F.monotonically_increasing_id()).join(right, rid, how).drop(rid)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased; every other character unchanged."""
     return F.translate(c, UPPER, LOWER)

@@ -42,8 +42,8 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps = pa.array((fingerprint(t.as_py()) for t in batch.column(1)), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+        fps = pa.array((fingerprint(t.as_py()) for t in batch.column(2)), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], names=["rid", "doc_id", "fp"])
 
 
 def _signed(x: int) -> int:
@@ -121,18 +121,18 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id``, ``fp`` (long), ``fingerprint`` (16 hex digits), ``component_id``.
+    """One row per input row: ``doc_id``, ``rid`` (the row's number), ``fp`` (long), ``fingerprint`` (16 hex digits), ``component_id``.
 
     ``component_id`` is the smallest id reachable over links of at most three differing bits.  Null and empty texts
     have fingerprint zero and are linked like any other; rows with equal fingerprints are one node of the
     graph whatever their number; repeated rows come out as often as they went in; a null id never is a
     component's id unless all its ids are null; an empty table gives an empty result.  Other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = store(texts.mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = store(texts.mapInArrow(_fingerprints, "rid long, doc_id long, fp long"), "fingerprints")
     nodes = store(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
     roots = components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
     placed = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(lowest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(named, "fp").select("doc_id", "rid", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

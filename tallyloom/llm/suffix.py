@@ -354,15 +354,15 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, text, spans) -> (rid, n_removed, n_spans, kept)."""
+    """(rid, text, spans) -> (rid, n_removed, n_spans, kept, kept_text)."""
     for batch in batches:
         rows = []
         for rid, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
             gone = union([(s["low"], s["high"]) for s in spans])
             kept = b"".join(text[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(text)]))
-            rows.append((rid, sum(b - a for a, b in gone), len(gone), kept))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, types)], names=["rid", "n_removed", "n_spans", "kept"])
+            rows.append((rid, sum(b - a for a, b in gone), len(gone), kept, kept.decode(errors="ignore")))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, types)], names=["rid", "n_removed", "n_spans", "kept", "kept_text"])
 
 
 def repeated_spans(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -389,8 +389,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Remove every byte inside a string of ``LENGTH`` bytes that also starts anywhere else.
 
     One row per input row: ``doc_id``, ``rid`` (the row's number in this run), ``n_bytes``, ``n_removed``,
-    ``n_spans`` (maximal removed runs), ``kept`` (remaining bytes, null where nothing was removed) and
-    ``kept_sha256``.  Null text counts as empty; texts shorter than ``LENGTH`` lose nothing; repeated rows are copies
+    ``n_spans`` (maximal removed runs), ``kept`` (remaining bytes, null where nothing was removed), ``kept_text`` (the
+    same as text, without the characters that a cut went through) and ``kept_sha256``.  Null text counts as empty; texts shorter than ``LENGTH`` lose nothing; repeated rows are copies
     of each other; matches never cross texts; an empty table gives an empty result.  Other columns are ignored.
     """
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -398,7 +398,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = store(rows.withColumns({"cls": F.xxhash64("text"), "sha": F.sha2("text", 256), "n_bytes": F.length("text").cast("long")}), "suffix-rows")
     classes = rows.where(F.col("n_bytes") >= LENGTH).groupBy("cls", "sha").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"))
     classes = store(classes, "suffix-classes")
-    cut = store(repeated_spans(rows.where(F.col("n_bytes") >= LENGTH), classes).mapInArrow(_cut, "rid long, n_removed long, n_spans long, kept binary"), "suffix-cut")
+    cut = store(repeated_spans(rows.where(F.col("n_bytes") >= LENGTH), classes).mapInArrow(_cut, "rid long, n_removed long, n_spans long, kept binary, kept_text string"), "suffix-cut")
     lost = classes.join(cut, "rid", "left").where("copies > 1 or n_removed is not null").drop("rid")
     whole = F.col("copies") > 1
     out = rows.select("rid", "doc_id", "n_bytes", "cls", "sha").join(lost, ["cls", "sha"], "left")
@@ -409,5 +409,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit("").cast("binary")).otherwise(F.col("kept")).alias("kept"),
+        F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
         F.when(whole, F.lit(EMPTY)).when(F.col("kept").isNotNull(), F.sha2("kept", 256)).otherwise(F.col("sha")).alias("kept_sha256"),
     )
