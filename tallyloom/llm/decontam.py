@@ -46,7 +46,8 @@ def rarest(wanted: DataFrame, rows: DataFrame, depth: int = 2) -> DataFrame:
     terms = wanted.select("phrase", F.posexplode(F.split("phrase", " ")).alias("off", "term")).groupBy("phrase", "term").agg(F.min("off").alias("off"))
     terms = store(terms, "phrase-terms")
     corpus = rows.select(F.explode(word_list(F.col("words"))).alias("term"))
-    counts = corpus.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("freq"))
+    vocabulary = store(terms.select("term").distinct(), "vocabulary")  # its size is known then, and decides how it is joined
+    counts = corpus.join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("freq"))
     ranked = terms.join(counts, "term", "left").groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "term", "off"))).alias("t"))
     ranked = ranked.where(F.col("t")[0]["freq"] > 0)
     return ranked.select("phrase", F.posexplode(F.slice("t", 1, depth)).alias("rank", "t")).select("phrase", "t.term", "t.off", (F.col("rank") + 1).alias("rank"))
@@ -55,7 +56,7 @@ def rarest(wanted: DataFrame, rows: DataFrame, depth: int = 2) -> DataFrame:
 def index(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """Positional index of the distinct ``term`` values over ``rows`` (rid, words): ``term``, ``rid``, ``pos`` (from 0), stored."""
     postings = rows.select("rid", F.posexplode(word_list(F.col("words"))).alias("pos", "term"))
-    return store(postings.join(terms.select("term").distinct(), "term").select("term", "rid", "pos"), "postings")
+    return store(postings.join(store(terms.select("term").distinct(), "vocabulary"), "term").select("term", "rid", "pos"), "postings")
 
 
 def proximity_matches(postings: DataFrame, lookup: DataFrame, slop: int = 0) -> DataFrame:
