@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontam, embedding, packing, quality, sharding, simhash, substring, suffix, urls
+from tallyloom.llm import decontam, embedding, html, packing, quality, sharding, simhash, substring, suffix, urls
 from tallyloom.llm.common import table
 
 #: Ranks of the vocabulary in ``byte_bpe_50k.json``, which give the same ids.
@@ -37,6 +37,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op2_html")
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
