@@ -75,17 +75,94 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, mixed(rolled(h, ANCHOR, BASES[0]))[at].view(np.int64)
 
 
+def by_row(rid: np.ndarray, values: np.ndarray, kind: pa.DataType) -> tuple[np.ndarray, pa.ListArray]:
+    """Distinct row numbers and the list of values of each."""
+    order = np.argsort(rid, kind="stable")
+    rid, values = rid[order], values[order]
+    cut = np.r_[0, np.flatnonzero(np.diff(rid)) + 1, len(rid)]
+    return rid[cut[:-1]], pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values, kind))
+
+
+def no_lists(n: int, kind: pa.DataType) -> pa.ListArray:
+    """Empty lists; Spark hands null lists to a worker far more slowly than empty ones."""
+    return pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], kind))
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, words) -> (anchor, rid), each anchor once per text."""
-    known = WordHashes()
+    """(rid, text) -> (anchor, rid, many, done), each anchor once per batch.
+
+    ``many`` tells that several texts of the batch hold it; the others of them go out together in ``done``, so an
+    anchor that very many documents share crosses the shuffle once per batch.
+    """
+    known, names = WordHashes(), ["anchor", "rid", "many", "done"]
     for batch in batches:
         found = [np.unique(anchors(known.of(t.split()))[1]) for t in batch.column(1).to_pylist()]
         rid = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.empty(0, np.int64)), pa.array(rid)], names=["anchor", "rid"])
+        anchor = np.concatenate([*found, np.empty(0, np.int64)])
+        order = np.argsort(anchor, kind="stable")
+        anchor, rid = anchor[order], rid[order]
+        new = np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)]
+        many = np.diff(np.r_[np.flatnonzero(new), len(anchor)]) > 1
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), pa.array(rid[new]), pa.array(many), no_lists(len(many), pa.int64())], names=names)
+        if not new.all():
+            rows, lists = by_row(rid[~new], anchor[~new], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(rows), pa.array(np.ones(len(rows), bool)), lists], names=names)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor -> (rid, value): anchors that more than one text holds, with each of the texts."""
+    anchor, rid, many = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+
+    def pick(anchor: np.ndarray, rid: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        new = np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)]
+        size = np.diff(np.r_[np.flatnonzero(new), len(anchor)])
+        hit = many | np.repeat(size > 1, size)
+        return pa.RecordBatch.from_arrays([pa.array(rid[hit]), pa.array(anchor[hit])], names=["rid", "value"])
+
+    for batch in batches:
+        done = batch.column(3).value_lengths().to_numpy() > 0
+        if done.any():
+            yield _flat(batch.column(1).filter(pa.array(done)), batch.column(3).filter(pa.array(done)))
+        rest = batch.filter(pa.array(~done))
+        anchor, rid, many = np.r_[anchor, rest.column(0).to_numpy()], np.r_[rid, rest.column(1).to_numpy()], np.r_[many, np.asarray(rest.column(2)).astype(bool)]
+        if len(anchor) and anchor[0] != anchor[-1]:
+            last = int(np.searchsorted(anchor, anchor[-1]))  # the last run may go on in the next batch
+            yield pick(anchor[:last], rid[:last], many[:last])
+            anchor, rid, many = anchor[last:], rid[last:], many[last:]
+    yield pick(anchor, rid, many)
+
+
+def _flat(rid: pa.Array, lists: pa.Array) -> pa.RecordBatch:
+    values = lists.flatten()
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(rid.to_numpy(), lists.value_lengths().to_numpy())), values.cast(pa.int64())], names=["rid", "value"])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by rid -> (rid, list of its values)."""
+    rid, value = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def lists(rid: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        rows, packed = by_row(rid, value, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(rows), packed], names=["rid", "list"])
+
+    for batch in batches:
+        rid, value = np.r_[rid, batch.column(0).to_numpy()], np.r_[value, batch.column(1).to_numpy()]
+        if len(rid) and rid[0] != rid[-1]:
+            last = int(np.searchsorted(rid, rid[-1]))
+            yield lists(rid[:last], value[:last])
+            rid, value = rid[last:], value[last:]
+    if len(rid):
+        yield lists(rid, value)
+
+
+def gathered(values: DataFrame, name: str) -> DataFrame:
+    """(rid, value) -> (rid, ``name``): the values of a row in one list, no longer than its text."""
+    packed = values.repartition("rid").sortWithinPartitions("rid").mapInArrow(_pack, "rid long, list array<long>")
+    return packed.withColumnRenamed("list", name)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, key, words, wanted anchors) -> passages around them: (w1, w2, key, rid, pos, done).
+    """(rid, key, text, wanted anchors) -> passages around them: (w1, w2, key, rid, pos, done).
 
     A passage that a smaller key of the same batch holds is settled here: its positions go out together in
     ``done``, so a passage that very many documents share crosses the shuffle once per batch.
@@ -114,26 +191,22 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = key == least
         rows = [pa.array(w1[open_].view(np.int64)), pa.array(w2[open_].view(np.int64)), pa.array(key[open_]), pa.array(rid[open_]), pa.array(pos[open_].astype(np.int32))]
         names = ["w1", "w2", "key", "rid", "pos", "done"]
-        yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(rows[0]), pa.list_(pa.int32()))], names=names)
+        yield pa.RecordBatch.from_arrays([*rows, no_lists(len(rows[0]), pa.int32())], names=names)
         settled = ~open_
         if settled.any():
-            order = np.argsort(rid[settled], kind="stable")
-            ids, p = rid[settled][order], pos[settled][order].astype(np.int32)
-            cut = np.r_[0, np.flatnonzero(np.diff(ids)) + 1, len(ids)]
-            m = len(cut) - 1
-            zero = pa.array(np.zeros(m, np.int64))
-            one = pa.array(ids[cut[:-1]])
-            yield pa.RecordBatch.from_arrays([one, zero, pa.array(np.full(m, -1)), one, pa.array(np.full(m, -1, np.int32)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(p))], names=names)
+            rows, lists = by_row(rid[settled], pos[settled], pa.int32())
+            ids, none = pa.array(rows), np.full(len(rows), -1)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(none), pa.array(none), ids, pa.array(none.astype(np.int32)), lists], names=names)
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by passage and key -> (rid, done): positions whose passage a smaller key holds."""
+    """Rows sorted by passage and key -> (rid, value): positions whose passage a smaller key holds."""
     last, least = (None, None), 0
     for batch in batches:
         w1, w2, key, rid, pos = (batch.column(i).to_numpy() for i in range(5))
         settled = pos < 0
         if settled.any():
-            yield pa.RecordBatch.from_arrays([batch.column(3).filter(pa.array(settled)), batch.column(5).filter(pa.array(settled))], names=["rid", "done"])
+            yield _flat(batch.column(3).filter(pa.array(settled)), batch.column(5).filter(pa.array(settled)))
             w1, w2, key, rid, pos = (x[~settled] for x in (w1, w2, key, rid, pos))
         if not len(w1):
             continue
@@ -142,21 +215,17 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.r_[least, key[new]]  # group 0 goes on from the batch before
         later = key > heads[group]
         last, least = (w1[-1], w2[-1]), heads[-1]
-        if later.any():
-            order = np.argsort(rid[later], kind="stable")
-            ids, p = rid[later][order], pos[later][order]
-            cut = np.r_[0, np.flatnonzero(np.diff(ids)) + 1, len(ids)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[cut[:-1]]), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(p.astype(np.int32)))], names=["rid", "done"])
+        yield pa.RecordBatch.from_arrays([pa.array(rid[later]), pa.array(pos[later].astype(np.int64))], names=["rid", "value"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, words, done) -> (rid, n_removed, kept)."""
+    """(rid, text, places) -> (rid, n_removed, kept)."""
     for batch in batches:
         rows = []
         for rid, text, done in zip(*(c.to_pylist() for c in batch.columns)):
             words = text.split()
             edge = np.zeros(len(words) + 1, np.int64)
-            at = np.unique(np.concatenate([np.array(d, np.int64) for d in done]))
+            at = np.array(done, np.int64)  # a place comes once
             edge[at] += 1
             edge[at + WINDOW] -= 1
             gone = np.cumsum(edge[:-1]) > 0
@@ -182,16 +251,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     long = facts.where(F.col("n_words") >= WINDOW)
     first = store(long.groupBy("sha").agg(F.min("key").alias("first"), F.min_by("rid", F.struct("key", "rid")).alias("rid")), "substring-classes")
 
-    bodies = rows.select("rid", F.col("words").cast("binary").alias("words"))
-    found = bodies.mapInArrow(_anchors, "anchor long, rid long")
-    shared = found.groupBy("anchor").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi").select("anchor")
-    wanted = found.join(shared, "anchor").groupBy("rid").agg(F.collect_list("anchor").alias("anchors"))
-    wanted = wanted.join(first.select("rid", F.col("first").alias("key")), "rid")
-    texts = store(bodies.join(wanted, "rid").select("rid", "key", "words", "anchors"), "substring-texts")
+    bodies = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    found = bodies.mapInArrow(_anchors, "anchor long, rid long, many boolean, done array<long>")
+    shared = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "rid long, value long")
+    wanted = gathered(shared, "anchors").join(first.select("rid", F.col("first").alias("key")), "rid")
+    texts = store(bodies.join(wanted, "rid").select("rid", "key", "text", "anchors"), "substring-texts")
     passages = texts.mapInArrow(_windows, "w1 long, w2 long, key long, rid long, pos int, done array<int>")
-    settled = passages.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "key").mapInArrow(_later, "rid long, done array<int>")
-    done = settled.groupBy("rid").agg(F.collect_list("done").alias("done"))
-    cut = store(texts.select("rid", "words").join(done, "rid").mapInArrow(_cut, "rid long, n_removed long, kept binary"), "substring-cut")
+    later = passages.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "key").mapInArrow(_later, "rid long, value long")
+    cut = store(texts.select("rid", "text").join(gathered(later, "done"), "rid").mapInArrow(_cut, "rid long, n_removed long, kept binary"), "substring-cut")
 
     lost = first.join(cut, "rid", "left").drop("rid")
     out = facts.join(lost, "sha", "left")
