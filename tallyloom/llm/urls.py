@@ -63,11 +63,11 @@ def log_ratios(urls: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> D
     for k in range(order + 1):
         counts = grams.groupBy(F.substring("gram", order + 1 - k, k + 1).alias("g")).agg(*[F.sum(f"n_{s}").alias(f"n_{s}") for s in sides])
         seen = counts.groupBy(F.substring("g", 1, k).alias("c")).agg(*[F.sum(f"n_{s}").alias(f"t_{s}") for s in sides])
-        counts = counts.withColumn("c", F.substring("g", 1, k)).join(seen, "c")
+        counts = counts.withColumn("c", F.substring("g", 1, k)).join(seen.hint("merge"), "c")
         if level is None:
             shorter = counts.select("*", *[F.lit(1 / ALPHABET).alias(f"p_{s}") for s in sides])
         else:
-            shorter = counts.withColumn("tail", F.substring("g", 2, k)).join(level, "tail")
+            shorter = counts.withColumn("tail", F.substring("g", 2, k)).join(level.hint("merge"), "tail")
         level = shorter.select(F.col("g").alias("tail"), *[((F.col(f"n_{s}") + weight * F.col(f"p_{s}")) / (F.col(f"t_{s}") + weight)).alias(f"p_{s}") for s in sides])
     return level.select(F.col("tail").alias("gram"), (F.log("p_allow") - F.log("p_block")).alias("ratio"))
 
@@ -75,7 +75,7 @@ def log_ratios(urls: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> D
 def scores(urls: DataFrame, ratios: DataFrame, order: int = ORDER) -> DataFrame:
     """(text) -> (text, score): mean log ratio per character, rounded so that the order of addition cannot show."""
     grams = urls.select("text", F.explode(contexts(F.col("text"), order)).alias("gram"))
-    return grams.join(ratios, "gram").groupBy("text").agg(F.round(F.avg("ratio"), 9).alias("score"))
+    return grams.join(ratios.hint("merge"), "gram").groupBy("text").agg(F.round(F.avg("ratio"), 9).alias("score"))
 
 
 def threshold(labelled: DataFrame, step: float = STEP) -> DataFrame:
@@ -110,8 +110,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     trained = texts.select("text", *[F.when((F.col("ruled") == s) & ~F.col("held"), F.col("n")).otherwise(0).alias(f"n_{s}") for s in ("allow", "block")])
     ratios = log_ratios(trained)
     scored = store(scores(texts.where("text <> '' and (ruled is null or held)").select("text").distinct(), ratios), "url-scores")
-    check = texts.where("held and ruled is not null").join(scored, "text").select("score", *[F.when(F.col("ruled") == s, F.col("n")).otherwise(0).alias(f"n_{s}") for s in ("allow", "block")])
+    check = texts.where("held and ruled is not null").join(scored.hint("merge"), "text").select("score", *[F.when(F.col("ruled") == s, F.col("n")).otherwise(0).alias(f"n_{s}") for s in ("allow", "block")])
     limit = threshold(check).scalar()
-    judged = texts.join(scored, "text", "left").select("host", "path", "rule", "ruled", F.coalesce("score", F.lit(0.0)).alias("score"))
+    judged = texts.join(scored.hint("merge"), "text", "left").select("host", "path", "rule", "ruled", F.coalesce("score", F.lit(0.0)).alias("score"))
     judged = judged.withColumn("verdict", F.coalesce("ruled", F.when(F.col("score") >= limit, "allow").otherwise("block")))
-    return rows.join(judged.drop("ruled"), ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "score")
+    return rows.join(judged.drop("ruled").hint("merge"), ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "score")
