@@ -234,6 +234,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["rid", "n_removed", "kept"])
 
 
+def candidates(bodies: DataFrame, first: DataFrame) -> DataFrame:
+    """Texts of ``first`` (rid, key) that share an anchor, with it: (rid, key, text, anchors), stored.
+
+    Its shuffles are free to go once it returns: nothing refers to them any more.
+    """
+    found = bodies.mapInArrow(_anchors, "anchor long, rid long, many boolean, done array<long>")
+    shared = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "rid long, value long")
+    wanted = gathered(shared, "anchors").join(first, "rid")
+    return store(bodies.join(wanted, "rid").select("rid", "key", "text", "anchors"), "substring-texts")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove every word inside a passage of ``WINDOW`` words that also starts in a document with a smaller id.
 
@@ -252,10 +263,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     first = store(long.groupBy("sha").agg(F.min("key").alias("first"), F.min_by("rid", F.struct("key", "rid")).alias("rid")), "substring-classes")
 
     bodies = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    found = bodies.mapInArrow(_anchors, "anchor long, rid long, many boolean, done array<long>")
-    shared = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "rid long, value long")
-    wanted = gathered(shared, "anchors").join(first.select("rid", F.col("first").alias("key")), "rid")
-    texts = store(bodies.join(wanted, "rid").select("rid", "key", "text", "anchors"), "substring-texts")
+    texts = candidates(bodies, first.select("rid", F.col("first").alias("key")))
     passages = texts.mapInArrow(_windows, "w1 long, w2 long, key long, rid long, pos int, done array<int>")
     later = passages.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "key").mapInArrow(_later, "rid long, value long")
     cut = store(texts.select("rid", "text").join(gathered(later, "done"), "rid").mapInArrow(_cut, "rid long, n_removed long, kept binary"), "substring-cut")
