@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decontam, packing, quality, simhash, suffix
-from tallyloom.llm.common import numbered, store, table
+from tallyloom.llm.common import having, replaced, store, table
 from tallyloom.llm.queries import tokenizer_path
 
 
@@ -23,24 +23,19 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keeps one document of every near-duplicate group: the smallest id, of its rows the first."""
     groups = simhash.near_duplicates(docs)
     first = groups.groupBy("component_id").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("rid"))
-    return numbered(docs, first.select("rid"), "left_semi").select(docs.columns)
+    return having(docs, first)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every repeated string of 200 bytes out of the texts; ``n_chars`` follows where a text changed."""
-    cut = suffix.dedup(docs).where("n_removed > 0").select("rid", F.col("kept_text").alias("text"))
-    joined = numbered(docs, cut, "left")
-    changed = F.col("row").isNotNull()
-    new = {"text": F.when(changed, F.col("row.text")).otherwise(docs["text"])}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("row.text").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
-    return joined.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
+    cut = suffix.dedup(docs).where("n_removed > 0").select("rid", "kept_text")
+    return replaced(docs, cut, {"text": F.col("kept_text"), "n_chars": F.length("kept_text")})
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents of which at least one word in twenty stands in a benchmark phrase."""
     clean = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select("rid")
-    return numbered(docs, clean, "left_semi").select(docs.columns)
+    return having(docs, clean)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

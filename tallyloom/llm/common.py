@@ -23,17 +23,29 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """Join ``rows`` by their ``rid`` to the rows of ``docs`` they were made from.
+def _fresh(name: str, taken: list[str]) -> str:
+    while name.lower() in (c.lower() for c in taken):
+        name += "_"
+    return name
+
+
+def having(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose number is a ``rid`` of ``rows``.
 
     ``rid`` is ``monotonically_increasing_id()`` over ``docs``, which must be a stored table (its scan numbers its rows alike
-    each time).  No column of ``docs`` is hidden by the number; those of ``rows`` come as one struct, ``row``.
+    each time).  No column of ``docs`` is hidden by the number.
     """
-    rid = "rid"
-    while rid in docs.columns:
-        rid += "_"
-    right = rows.select(F.col("rid").alias(rid), *[F.struct(*[c for c in rows.columns if c != "rid"]).alias("row")] * (how == "left"))
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(right, rid, how).drop(rid)
+    rid = _fresh("rid", docs.columns)
+    return docs.withColumn(rid, F.monotonically_increasing_id()).join(rows.select(F.col("rid").alias(rid)), rid, "left_semi").select(docs.columns)
+
+
+def replaced(docs: DataFrame, rows: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """``docs`` with columns replaced by ``new`` (expressions over ``rows``) where ``rows`` holds their ``rid``, as in :func:`having`."""
+    rid, value = _fresh("rid", docs.columns), _fresh("new", docs.columns)
+    values = rows.select(F.col("rid").alias(rid), F.struct(*[c.alias(k) for k, c in new.items()]).alias(value))
+    joined = docs.withColumn(rid, F.monotonically_increasing_id()).join(values, rid, "left")
+    pick = {c: F.when(F.col(value).isNotNull(), F.col(value)[c].cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")) for c in new if c in docs.columns}
+    return joined.select(*[pick.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def lower_ascii(c: Column) -> Column:
