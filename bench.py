@@ -21,7 +21,7 @@ HEADLINE = [
     "q_scan_pruned", "q_left_join_keep", "q_group_agg_encode", "q_group_nunique", "q_stats_by_area", "q_group_median_fill_src",
     "q_freq_encode", "q_crosstab_encode", "q_shift_rolling", "q_ecdf_in_band", "q_row_number", "q_topk_lines", "q_dedupe_first",
     "q_target_mean_oof", "q_label_encode", "q_uniqueness_pattern", "q_stratified_kfold", "q_iqr_filter", "q_m_auc", "q_m_norm_gini",
-    "q_topk_ensemble", "q_nearest_join", "q_link_edges", "job_entity_features", "job_demand_grid", "job_access_counts", "job_group_stats",
+    "q_topk_ensemble", "q_stats_pack", "q_mean_std_encode", "q_nearest_join", "q_link_edges", "job_entity_features", "job_demand_grid", "job_access_counts", "job_group_stats",
 ]
 
 

@@ -387,10 +387,8 @@ def q_stratified_kfold(s, d):
 
 @query(
     "q_group_kfold",
-    f"""WITH RECURSIVE {FXO}, n AS (SELECT month(odate)::INTEGER AS mon, COUNT(*) AS n FROM fxo GROUP BY 1), g AS (SELECT mon, n, row_number() OVER (ORDER BY n DESC, mon) AS i FROM n),
-    r AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0, 0]::BIGINT[] AS loads, NULL::INTEGER AS mon, NULL::BIGINT AS f UNION ALL
-      SELECT g.i, list_transform(r.loads, lambda v, j: CASE WHEN j = list_position(r.loads, list_min(r.loads)) THEN v + g.n ELSE v END), g.mon, list_position(r.loads, list_min(r.loads)) - 1 FROM r JOIN g ON g.i = r.i + 1)
-    SELECT o_orderkey, CAST(r.f AS INTEGER) AS fold FROM fxo JOIN r ON r.mon = month(odate)""",
+    f"""WITH {FXO}, n AS (SELECT month(odate)::INTEGER AS mon, COUNT(*) AS n FROM fxo GROUP BY 1), g AS (SELECT mon, row_number() OVER (ORDER BY n DESC, mon) - 1 AS i FROM n)
+    SELECT o_orderkey, CAST(CASE WHEN (i // 6) % 2 = 0 THEN i % 6 ELSE 5 - i % 6 END AS INTEGER) AS fold FROM fxo JOIN g ON g.mon = month(odate)""",
 )
 def q_group_kfold(s, d):
     rows = fx_orders(s, d).select("o_orderkey", F.month("odate").alias("mon"))

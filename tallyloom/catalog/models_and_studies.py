@@ -480,9 +480,10 @@ def find_column_chains(s, d):
     """Chains among the columns of a lag matrix of all sales: column c is column c + 1 one row later."""
     week = F.floor(F.datediff("odate", F.lit("1995-01-01").cast("date")) / 7).cast("int")
     weekly = fx_orders(s, d).groupBy(week.alias("w")).agg(F.sum("total").cast("double").alias("t"))
+    weeks = weekly.agg(F.max("w")).first()[0] + 1  # one column per week of the calendar
     rolled = weekly.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("col", F.col("w") - F.col("row"))
-    matrix = rolled.groupBy("row").pivot("col", list(range(60))).agg(F.max("t")).na.fill(0.0)
-    names = [f"c{i}" for i in range(60)]
+    matrix = rolled.groupBy("row").pivot("col", list(range(weeks))).agg(F.max("t")).na.fill(0.0)
+    names = [f"c{i}" for i in range(weeks)]
     return chains.column_chains(matrix.toDF("row", *names), "row", names, min_len=40)
 
 

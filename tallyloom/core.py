@@ -41,14 +41,22 @@ def stat(df: DataFrame, col: str, fn: str, over: WindowSpec | None = None) -> Co
     if not is_exact(df, col):
         built_in = {"mean": F.avg, "std": F.stddev_samp, "std_pop": F.stddev_pop}
         return on(built_in[fn](c))
-    return from_moments(fn, on(F.count(c)), on(F.sum(c)), on(F.sum(square(df, col))))
+    exact = from_moments(fn, on(F.count(c)), on(F.sum(wide(df, col))), on(F.try_sum(square(df, col))))
+    if fn == "mean":
+        return exact
+    # sums of squares from 1e38 on do not fit the widest decimal; the built-in takes over there, in double precision
+    return F.coalesce(exact, on({"std": F.stddev_samp, "std_pop": F.stddev_pop}[fn](c)))
 
 
 def square(df: DataFrame, col: str) -> Column:
-    """The square of an integer or decimal column, wide enough not to overflow."""
+    """The square of an integer or decimal column; that of any bigint fits."""
+    return wide(df, col) * wide(df, col)
+
+
+def wide(df: DataFrame, col: str) -> Column:
+    """An integer column as a decimal whose sums and products pass the bigint range; other columns as they are."""
     c = F.col(col)
-    wide = c if isinstance(df.schema[col].dataType, T.DecimalType) else c.cast("decimal(18,0)")
-    return wide * wide
+    return c.cast("decimal(19,0)") if isinstance(df.schema[col].dataType, T.IntegralType) else c
 
 
 def from_moments(fn: str, n: Column, total: Column, squares: Column) -> Column:
@@ -56,7 +64,7 @@ def from_moments(fn: str, n: Column, total: Column, squares: Column) -> Column:
     total = total.cast("double")
     if fn == "mean":
         return F.try_divide(total, n)
-    spread = F.greatest(squares.cast("double") - F.try_divide(total * total, n), F.lit(0.0))
+    spread = F.when(squares.isNotNull(), F.greatest(squares.cast("double") - F.try_divide(total * total, n), F.lit(0.0)))
     if fn == "std":
         return F.when(n > 1, F.sqrt(F.try_divide(spread, n - 1)))
     if fn == "std_pop":

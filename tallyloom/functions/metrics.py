@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.core import stat
+from tallyloom.core import stat, wide
 from tallyloom.ordered import row_index, running
 from tallyloom.core import match
 
@@ -77,7 +77,7 @@ def auc(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     # positives above = P - upto, so only per-group sums are left to take
     sums = cum.groupBy(*by).agg(
         F.sum("_p").cast("double").alias("P"), F.sum("_n").cast("double").alias("N"),
-        F.sum(F.col("_n") * (2 * F.col("_upto") - F.col("_p"))).cast("double").alias("below"),
+        F.sum(F.col("_n").cast("decimal(19,0)") * (2 * F.col("_upto") - F.col("_p")).cast("decimal(19,0)")).cast("double").alias("below"),
     )
     area = F.try_divide(2 * F.col("P") * F.col("N") - F.col("below"), 2 * F.col("P") * F.col("N"))
     return sums.select(*by, area.alias("auc"))
@@ -99,7 +99,7 @@ def norm_gini(df: DataFrame, y: str, pred: str, key: Sequence[str], by: Sequence
         placed = row_index(slim, by, [order, *key], "_pos").withColumn("_all", F.lit(0))
         sums.append(
             placed.groupBy(*by, "_all").agg(
-                F.sum("_y").cast("double").alias(f"t_{name}"), F.sum(F.col("_y") * F.col("_pos")).cast("double").alias(f"tp_{name}"),
+                F.sum(wide(placed, "_y")).cast("double").alias(f"t_{name}"), F.sum(wide(placed, "_y") * wide(placed, "_pos")).cast("double").alias(f"tp_{name}"),
                 F.count(F.lit(1)).cast("double").alias(f"n_{name}"),
             )
         )

@@ -130,7 +130,7 @@ def leave_one_out(df: DataFrame, cols: Sequence[str], y: str, source: DataFrame
     train = _training(df, source)
     small = small_keys(train, [[c] for c in cols], 2)
     df = with_scalars(df, train, {"mean": stat(train, y, "mean")}, "_g")
-    own = F.col(SPLIT) == TRAIN
+    own = (F.col(SPLIT) == TRAIN) & F.col(y).isNotNull()  # a row without a target is in neither sum nor count
     for c in cols:
         df = attach(df, _target_sums(train.where(F.col(c).isNotNull()), [c], y, "_l"), [c], small=small[(c,)])
         rest = F.col("_l_t") - F.when(own, F.col(y)).otherwise(F.lit(0))

@@ -111,8 +111,8 @@ def minmax(df: DataFrame, cols: Sequence[str], scope: str = "train", then: str |
 def positive_max_scale(df: DataFrame, cols: Sequence[str], scope: str = "train", overflow: float = 9999999999.0, source: DataFrame | None = None) -> DataFrame:
     """Divide by the largest value in scope, treating negatives by how many levels they have.
 
-    ``overflow`` stands for max + 1 of the other values.  No negative level, or exactly one (which
-    becomes -1): only positive values are divided.  Several negative levels: all values are divided.
+    ``overflow`` stands for max + 1 of the other values.  No negative level: only positive values are divided,
+    others stay.  Exactly one: it becomes -1.  Several negative levels: all values are divided.
     """
     source = in_scope(df, scope, source)
     exprs = {}
@@ -129,7 +129,7 @@ def positive_max_scale(df: DataFrame, cols: Sequence[str], scope: str = "train",
         v = F.when(F.col(c) >= overflow, top).otherwise(F.col(c).cast("double"))
         several = F.coalesce(F.col(f"_s.lo_{c}") < F.col(f"_s.hi_{c}"), F.lit(False))
         share = F.when(top > 0, v / top).otherwise(v)
-        return F.when(several, share).when(v > 0, share).when(v < 0, F.lit(-1.0)).otherwise(v)
+        return F.when(several, share).when(v > 0, share).when((v < 0) & F.col(f"_s.lo_{c}").isNotNull(), F.lit(-1.0)).otherwise(v)
 
     return out.withColumns({f"{c}_pms": scaled(c) for c in cols}).drop("_s")
 
@@ -174,7 +174,10 @@ def quantile_normal(df: DataFrame, cols: Sequence[str], n: int = 1000, scope: st
     grids = source.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, 100 * n).alias(c) for c in cols]).first()
     out = df
     for c in cols:
-        out = _normal_scores(out, c, [float(g) for g in grids[c]], c + suffix)
+        if grids[c] is None:  # no value in scope
+            out = out.withColumn(c + suffix, F.lit(None).cast("double"))
+        else:
+            out = _normal_scores(out, c, [float(g) for g in grids[c]], c + suffix)
     return out
 
 

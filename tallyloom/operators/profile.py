@@ -116,9 +116,15 @@ def duplicate_columns(df: DataFrame, key: Sequence[str], cols: Sequence[str]) ->
 
 
 def drop_duplicate_cols(df: DataFrame, key: Sequence[str], cols: Sequence[str], prefer: str = "_0") -> DataFrame:
-    """Of two equal columns drop the one whose name holds ``prefer``, otherwise the later one."""
-    pairs = duplicate_columns(df, key, cols).collect()  # at most one row per column
-    gone = {a if prefer in a and prefer not in b else b for a, b in ((r["left"], r["right"]) for r in pairs)}
+    """Of equal columns keep one: the first whose name does not hold ``prefer``, else the first."""
+    equal: dict[str, list[str]] = {}
+    for r in duplicate_columns(df, key, cols).collect():  # at most one row per column
+        equal.setdefault(r["left"], [r["left"]]).append(r["right"])
+    gone = set()
+    for names in equal.values():
+        names.sort(key=df.columns.index)
+        stays = next((n for n in names if prefer not in n), names[0])
+        gone |= set(names) - {stays}
     return df.drop(*gone)
 
 

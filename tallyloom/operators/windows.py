@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import from_moments, is_exact, match, square, stat
+from tallyloom.core import from_moments, is_exact, match, square, stat, wide
 from tallyloom.ordered import row_index, running
 from tallyloom.operators.relate import nearest_join
 from tallyloom.spec import in_scope
@@ -142,7 +142,7 @@ def gini_sum(df: DataFrame, y: str, pred: str, key: Sequence[str]) -> DataFrame:
     slim = df.select(F.col(y).alias("_y"), (-F.col(pred)).alias("_neg"), *key)
     placed = row_index(slim, [], ["_neg", *key], "_pos")
     sums = placed.agg(
-        F.sum("_y").alias("t"), F.sum(F.col("_y") * F.col("_pos")).alias("tp"), F.count(F.lit(1)).alias("n")
+        F.sum(wide(placed, "_y")).alias("t"), F.sum(wide(placed, "_y") * wide(placed, "_pos")).alias("tp"), F.count(F.lit(1)).alias("n")
     )
     n, t = F.col("n").cast("double"), F.col("t").cast("double")
     area = (n + 1) * t - F.col("tp").cast("double")

@@ -250,3 +250,20 @@ def test_gain_graph_shape():
 def test_unknown_scope_is_refused(people):
     with pytest.raises(ValueError):
         in_scope(people, "validation")
+
+
+def test_statistics_beyond_bigint(spark):
+    df = spark.createDataFrame([(9 * 10**18,), (9 * 10**18,), (-(9 * 10**18),)], "x long")
+    row = df.agg(stat(df, "x", "mean").alias("mean"), stat(df, "x", "std").alias("std")).first()
+    assert row.mean == 3e18 and abs(row.std / 1.0392304845413264e19 - 1) < 1e-12
+
+
+def test_one_of_three_equal_columns_stays(spark):
+    df = spark.createDataFrame([(1, 5, 5, 5, 6), (2, 7, 7, 7, 6)], "id long, x_0 long, y long, z long, other long")
+    assert profile.drop_duplicate_cols(df, ["id"], ["x_0", "y", "z", "other"]).columns == ["id", "y", "other"]
+
+
+def test_groups_of_any_number_share_one_rule(spark):
+    df = spark.createDataFrame([(None,)] * 3 + [(g,) for g in range(11) for _ in range(g + 1)], "g long")
+    out = folds.group_kfold(df, "g", 4)
+    assert out.count() == 69 and out.where("fold is null").count() == 0 and out.select("g", "fold").distinct().count() == 12
