@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.core import work_dir
+from tallyloom.llm.common import store
 
 SEED = 20240229
 BUCKET_BYTES = 16 << 20
@@ -55,6 +56,7 @@ def shards(shuffled: DataFrame, n_shards: int = 8) -> DataFrame:
     manifest = shuffled.groupBy("bucket").agg(F.count("*").alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     manifest = manifest.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    manifest = store(manifest, "manifest")  # its size is known then, and decides how it is joined to the records
     at = F.col("first") + F.col("pos")
     out = shuffled.join(manifest, "bucket").withColumns({"place": at, "shard": F.expr(f"int(((first + pos) * {n_shards}) div total)")})
     start = F.expr(f"(shard * total + {n_shards - 1}) div {n_shards}")
