@@ -23,6 +23,18 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_numbers(docs: DataFrame) -> Column:
+    """A number for every row of a stored table, the same in every scan.
+
+    Spark cuts files by the cores it has at that moment, so the numbers would move when an executor is lost between two
+    scans.  The session's ``spark.sql.leafNodeDefaultParallelism`` is therefore fixed at its present value where it is unset.
+    """
+    spark, cores = docs.sparkSession, "spark.sql.leafNodeDefaultParallelism"
+    if spark.conf.get(cores, None) is None:
+        spark.conf.set(cores, spark.sparkContext.defaultParallelism)
+    return F.monotonically_increasing_id()
+
+
 def _fresh(name: str, taken: list[str]) -> str:
     while name.lower() in (c.lower() for c in taken):
         name += "_"
@@ -32,18 +44,18 @@ def _fresh(name: str, taken: list[str]) -> str:
 def having(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose number is a ``rid`` of ``rows``.
 
-    ``rid`` is ``monotonically_increasing_id()`` over ``docs``, which must be a stored table (its scan numbers its rows alike
-    each time).  No column of ``docs`` is hidden by the number.
+    ``rid`` comes from :func:`row_numbers` over ``docs``, which must be a stored table.  No column of ``docs`` is hidden by the
+    number.
     """
     rid = _fresh("rid", docs.columns)
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(rows.select(F.col("rid").alias(rid)), rid, "left_semi").select(docs.columns)
+    return docs.withColumn(rid, row_numbers(docs)).join(rows.select(F.col("rid").alias(rid)), rid, "left_semi").select(docs.columns)
 
 
 def replaced(docs: DataFrame, rows: DataFrame, new: dict[str, Column]) -> DataFrame:
     """``docs`` with columns replaced by ``new`` (expressions over ``rows``) where ``rows`` holds their ``rid``, as in :func:`having`."""
     rid, value = _fresh("rid", docs.columns), _fresh("new", docs.columns)
     values = rows.select(F.col("rid").alias(rid), F.struct(*[c.alias(k) for k, c in new.items()]).alias(value))
-    joined = docs.withColumn(rid, F.monotonically_increasing_id()).join(values, rid, "left")
+    joined = docs.withColumn(rid, row_numbers(docs)).join(values, rid, "left")
     pick = {c: F.when(F.col(value).isNotNull(), F.col(value)[c].cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")) for c in new if c in docs.columns}
     return joined.select(*[pick.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import lower_ascii, store
+from tallyloom.llm.common import lower_ascii, row_numbers, store
 
 WINDOW = 13
 #: Bytes that separate words once A-Z are lower-cased: everything in ASCII but digits and letters.
@@ -93,7 +93,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     empty one; equal items share their phrases; repeated rows are judged alike; an empty benchmark hits nothing and
     empty documents give an empty result.  Other columns are ignored.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), spaced(F.col(text_col)).alias("words"))
+    rows = docs.select(row_numbers(docs).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), spaced(F.col(text_col)).alias("words"))
     rows = store(rows.withColumn("n_words", F.size(word_list(F.col("words"))).cast("long")), "decontam-rows")
     wanted = store(phrases(items, item_col, item_text, window), "phrases")
     lookup = store(rarest(wanted, rows), "lookup")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.core import work_dir
-from tallyloom.llm.common import store
+from tallyloom.llm.common import row_numbers, store
 
 SEED = 20240229
 BUCKET_BYTES = 16 << 20
@@ -34,7 +34,7 @@ def external_shuffle(docs: DataFrame, path: str, text_col: str = "text", seed: i
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
     total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_numbers(docs).alias("number"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "number"), F.lit(buckets)))
 
     def shuffle(table: pa.Table) -> pa.Table:

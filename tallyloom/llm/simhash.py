@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import components, store
+from tallyloom.llm.common import components, row_numbers, store
 
 RADIUS, SEED = 3, 42
 BLOCKS = ((0, 22), (22, 43), (43, 64))
@@ -128,7 +128,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     graph whatever their number; repeated rows come out as often as they went in; a null id never is a
     component's id unless all its ids are null; an empty table gives an empty result.  Other columns are ignored.
     """
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(row_numbers(docs).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = store(texts.mapInArrow(_fingerprints, "rid long, doc_id long, fp long"), "fingerprints")
     nodes = store(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
     roots = components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import spaced_words, store
+from tallyloom.llm.common import row_numbers, spaced_words, store
 
 WINDOW, PERIOD, ANCHOR = 50, 31, 20
 COVER = (1, 5, 11, 24, 25, 27)  # every difference modulo 31 occurs between two of these
@@ -255,14 +255,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Other columns are ignored.
     """
     words = spaced_words(F.col(text_col)).alias("words")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), words)
+    rows = docs.select(row_numbers(docs).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), words)
     key = F.coalesce("doc_id", F.lit(LAST)).alias("key")
     n_words = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
     facts = store(rows.select("rid", "doc_id", key, n_words.cast("long").alias("n_words"), F.sha2("words", 256).alias("sha")), "substring-facts")
     long = facts.where(F.col("n_words") >= WINDOW)
     first = store(long.groupBy("sha").agg(F.min("key").alias("first"), F.min_by("rid", F.struct("key", "rid")).alias("rid")), "substring-classes")
 
-    bodies = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    bodies = docs.select(row_numbers(docs).alias("rid"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     texts = candidates(bodies, first.select("rid", F.col("first").alias("key")))
     passages = texts.mapInArrow(_windows, "w1 long, w2 long, key long, rid long, pos int, done array<int>")
     later = passages.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "key").mapInArrow(_later, "rid long, value long")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import store
+from tallyloom.llm.common import row_numbers, store
 
 LENGTH, GRAM = 200, 64
 GRAMS = LENGTH - GRAM + 1  # grams in one string
@@ -394,7 +394,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     of each other; matches never cross texts; an empty table gives an empty result.  Other columns are ignored.
     """
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), body.alias("text"))
+    rows = docs.select(row_numbers(docs).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), body.alias("text"))
     rows = store(rows.withColumns({"cls": F.xxhash64("text"), "sha": F.sha2("text", 256), "n_bytes": F.length("text").cast("long")}), "suffix-rows")
     classes = rows.where(F.col("n_bytes") >= LENGTH).groupBy("cls", "sha").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"))
     classes = store(classes, "suffix-classes")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tallyloom.llm import decontam, embedding, html, packing, quality, sharding, simhash, substring, suffix, urls
-from tallyloom.llm.common import components, store
+from tallyloom.llm.common import components, row_numbers, store, table
 from tallyloom.llm.labelled_pages import labelled_pages
 from tallyloom.llm.queries import ORACLES, QUERIES, tokenizer_path
 from tests.oracle import compare
@@ -357,3 +357,19 @@ def test_matches_sql(spark, con, name):
 def test_native(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_row_numbers_do_not_follow_the_cores(spark):
+    """What Spark cuts files by is fixed once, so that a lost executor cannot move the numbers; a user's value stays."""
+    cores = "spark.sql.leafNodeDefaultParallelism"
+    docs = table(spark, SF, "documents")
+    before = spark.conf.get(cores, None)
+    try:
+        spark.conf.unset(cores)
+        row_numbers(docs)
+        assert spark.conf.get(cores) == str(spark.sparkContext.defaultParallelism)
+        spark.conf.set(cores, "3")
+        row_numbers(docs)
+        assert spark.conf.get(cores) == "3"
+    finally:
+        spark.conf.unset(cores) if before is None else spark.conf.set(cores, before)
