@@ -260,14 +260,14 @@ def q_inverse_chain(s, d):
 
 @query(
     "q_segment_blend",
-    f"""WITH {FXP}, x AS (SELECT o_orderkey, (o_custkey % 3 = 0)::INTEGER AS seg, trial AS fold, pred::DOUBLE AS pred FROM fxp WHERE trial < 10)
-    SELECT o_orderkey, seg, round(COALESCE(CASE WHEN seg = 1 THEN AVG(pred) FILTER (WHERE fold >= 5) END, AVG(pred) FILTER (WHERE fold < 5)), 6) AS pred FROM x GROUP BY o_orderkey, seg""",
+    f"""WITH {FXP}, x AS (SELECT o_orderkey, (o_custkey % 3 = 0)::INTEGER AS seg, trial AS fold, pred::DOUBLE AS pred FROM fxp)
+    SELECT o_orderkey, seg, round(COALESCE(CASE WHEN seg = 1 THEN AVG(pred) FILTER (WHERE fold >= 6) END, AVG(pred) FILTER (WHERE fold < 6)), 6) AS pred FROM x GROUP BY o_orderkey, seg""",
 )
 def q_segment_blend(s, d):
-    rows = fx_preds(s, d).where("trial < 10").select(
+    rows = fx_preds(s, d).select(
         "o_orderkey", (F.col("o_custkey") % 3 == 0).cast("int").alias("seg"), F.col("trial").alias("fold"), F.col("pred").cast("double").alias("pred")
     )
-    return plain(post.segment_blend(rows, ["o_orderkey"], "seg", "fold", "pred", 5), 6)
+    return plain(post.segment_blend(rows, ["o_orderkey"], "seg", "fold", "pred", 6), 6)
 
 
 # --- Q: leaderboards and studies ---------------------------------------------------------------------------------------
@@ -369,8 +369,9 @@ def q_gain_combos(s, d):
 
 @query(
     "q_gain_edges",
-    f"""WITH {COMBOS}, nd AS (SELECT concat_ws('/', prep, hpo, selection::VARCHAR) AS node, round(100 - SUM(CAST(value * 100 AS DECIMAL(12,2)))::DOUBLE / COUNT(value), 1) AS v FROM cb GROUP BY 1), ed(src, dst) AS (VALUES {", ".join(repr(e) for e in study.default_edges())})
-    SELECT ed.src, ed.dst, round(a.v - b.v, 3) AS gain FROM ed JOIN nd a ON a.node = ed.src JOIN nd b ON b.node = ed.dst""",
+    f"""WITH {COMBOS}, nd AS (SELECT list_position(['none', 'fe', 'tta'], prep) AS p, list_position(['default', 'light', 'extensive'], hpo) AS h, selection AS s, concat_ws('/', prep, hpo, selection::VARCHAR) AS node,
+      round(100 - SUM(CAST(value * 100 AS DECIMAL(12,2)))::DOUBLE / COUNT(value), 1) AS v FROM cb GROUP BY ALL)
+    SELECT a.node AS src, b.node AS dst, round(a.v - b.v, 3) AS gain FROM nd a JOIN nd b ON b.p >= a.p AND b.h >= a.h AND b.s >= a.s AND b.p + b.h + b.s = a.p + a.h + a.s + 1""",
 )
 def q_gain_edges(s, d):
     return study.gain_edges(study.gain_combos(fx_scores(s, d), BASE))

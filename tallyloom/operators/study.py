@@ -7,6 +7,7 @@ here see at most one row per model and regime.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -114,20 +115,14 @@ def gain_combos(scores: DataFrame, base: str) -> DataFrame:
 
 
 def default_edges() -> list[tuple[str, str]]:
-    """One-step moves between combinations ``prep/hpo/selection`` (light search left out).
-
-    The move to extensive search from expert features with selection is not part of the graph.
-    """
-    def node(p: str, h: str, s: int) -> str:
-        return f"{p}/{h}/{s}"
-
+    """All one-step moves between combinations ``prep/hpo/selection``: the next level of one of the three, the others kept."""
+    levels = (PREPS, HPOS, ("0", "1"))
     edges = []
-    for h in ("default", "extensive"):
-        for s in (0, 1):
-            edges += [(node("none", h, s), node("fe", h, s)), (node("fe", h, s), node("tta", h, s))]
-    for p in PREPS:
-        edges += [(node(p, h, 0), node(p, h, 1)) for h in ("default", "extensive")]
-        edges += [(node(p, "default", s), node(p, "extensive", s)) for s in (0, 1) if (p, s) != ("fe", 1)]
+    for combo in product(*levels):
+        for axis, names in enumerate(levels):
+            at = names.index(combo[axis]) + 1
+            if at < len(names):
+                edges.append(("/".join(combo), "/".join((*combo[:axis], names[at], *combo[axis + 1 :]))))
     return edges
 
 

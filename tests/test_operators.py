@@ -244,7 +244,8 @@ def test_results_do_not_depend_on_partitioning(spark):
 
 def test_gain_graph_shape():
     edges = study.default_edges()
-    assert len(edges) == len(set(edges)) == 19 and len({n for e in edges for n in e}) == 12
+    steps = 2 * 3 * 2 + 3 * 2 * 2 + 3 * 3 * 1  # along preparation, search and selection
+    assert len(edges) == len(set(edges)) == steps and len({n for e in edges for n in e}) == 3 * 3 * 2
 
 
 def test_unknown_scope_is_refused(people):
