@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.catalog.fixtures import FXG, FXL, FXO, fx_grid, fx_lines, fx_orders, table
@@ -271,16 +272,43 @@ def q_shift_nonnegative(s, d):
     return plain(impute.shift_nonnegative(fx_orders(s, d).select("o_orderkey", "bal_n", "total_s", "split"), ["bal_n", "total_s"]).drop("split"))
 
 
-@query("impute_iterative")
+@query(
+    "impute_iterative",
+    f"""WITH {FXO} SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN total::DOUBLE END AS a_known, CASE WHEN o_orderkey % 5 <> 1 THEN acctbal::DOUBLE END AS b_known,
+      1 AS filled, 1 AS independent FROM fxo""",
+)
 def impute_iterative(s, d):
+    """Known cells stay, holes are filled, and training rows do not move when the test rows change (scope "split")."""
     key = F.col("o_orderkey")
-    rows = fx_orders(s, d).select("o_orderkey", F.when(key % 7 != 0, F.col("total")).alias("a"), F.when(key % 5 != 1, F.col("acctbal")).alias("b"), F.col("nationkey").alias("c"))
-    return impute.impute_iterative(rows, ["a", "b", "c"], rounds=2)
+    rows = fx_orders(s, d).select(
+        "o_orderkey", "split", F.when(key % 7 != 0, F.col("total").cast("double")).alias("a"), F.when(key % 5 != 1, F.col("acctbal").cast("double")).alias("b"),
+        F.col("nationkey").cast("double").alias("c"),
+    )
+    moved = rows.withColumn("a", F.when(F.col("split") == "test", F.col("a") * 10).otherwise(F.col("a")))
+    out, other = (impute.impute_iterative(r, ["a", "b", "c"], 2, "split") for r in (rows, moved))
+    both = out.join(other.select("o_orderkey", F.col("a").alias("a2"), F.col("b").alias("b2")), "o_orderkey").withColumn("size", F.abs("a") + F.abs("b") + 1)
+    same = (F.col("split") == "test") | (F.abs(F.col("a") - F.col("a2")) + F.abs(F.col("b") - F.col("b2")) < 1e-6 * F.col("size"))
+    return both.select(
+        "o_orderkey", F.when(key % 7 != 0, F.col("a")).alias("a_known"), F.when(key % 5 != 1, F.col("b")).alias("b_known"),
+        (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int").alias("filled"), same.cast("int").alias("independent"),
+    )
 
 
-@query("quantile_normal")
+@query(
+    "quantile_normal",
+    f"""WITH {FXO}, x AS (SELECT CAST(floor(total / 20000) AS BIGINT) AS bucket, COUNT(*) AS n FROM fxo GROUP BY 1) SELECT bucket, n, 1 AS in_order, 1 AS in_bounds FROM x""",
+)
 def quantile_normal(s, d):
-    return impute.quantile_normal(fx_orders(s, d).select("o_orderkey", "total", "acctbal", "split"), ["total", "acctbal"], n=200)
+    """Scores per price bucket: none below those of the bucket before, all inside the edges of the grid."""
+    out = impute.quantile_normal(fx_orders(s, d).select("o_orderkey", "total", "acctbal", "split"), ["total", "acctbal"], n=200)
+    ends = out.groupBy(F.floor(F.col("total") / 20000).cast("bigint").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("total_qn").alias("low"), F.max("total_qn").alias("high"), F.max(F.abs("acctbal_qn")).alias("other")
+    )
+    before = F.lag("high").over(Window.orderBy("bucket"))  # one row per bucket
+    return ends.select(
+        "bucket", "n", (F.col("low") >= F.coalesce(before, F.col("low"))).cast("int").alias("in_order"),
+        (F.greatest(F.abs("low"), F.abs("high"), "other") < 5.2).cast("int").alias("in_bounds"),
+    )
 
 
 VECTOR = 64
@@ -290,20 +318,33 @@ def _vectors(s, d):
     return impute.expand_vector(table(s, d, "embeddings"), "embedding", VECTOR, "e")
 
 
-@query("pca_features")
+@query("pca_features", "SELECT COUNT(*) AS n, 1 AS centred, 1 AS uncorrelated, 1 AS falling FROM embeddings")
 def pca_features(s, d):
-    return impute.pca(_vectors(s, d), [f"e{i}" for i in range(VECTOR)], 2).select("vec_id", "pca_0", "pca_1")
+    """Two components over all vectors: mean zero, uncorrelated, the first one with the larger spread."""
+    out = impute.pca(_vectors(s, d), [f"e{i}" for i in range(VECTOR)], 2).select("vec_id", "pca_0", "pca_1")
+    return out.agg(
+        F.count(F.lit(1)).alias("n"), (F.abs(F.avg("pca_0")) + F.abs(F.avg("pca_1")) < 1e-6).cast("int").alias("centred"),
+        (F.abs(F.corr("pca_0", "pca_1")) < 1e-6).cast("int").alias("uncorrelated"), (F.stddev_pop("pca_0") >= F.stddev_pop("pca_1")).cast("int").alias("falling"),
+    )
 
 
-@query("kmeans_features")
+@query("kmeans_features", "SELECT vec_id, 9 AS n_valid FROM embeddings")
 def kmeans_features(s, d):
+    """How many of the nine cluster numbers of a vector lie below their number of clusters."""
     ks = list(range(2, 11))
-    return impute.kmeans_ids(_vectors(s, d), [f"e{i}" for i in range(VECTOR)], ks).select("vec_id", *[f"kmeans_{k}" for k in ks])
+    out = impute.kmeans_ids(_vectors(s, d), [f"e{i}" for i in range(VECTOR)], ks)
+    return out.select("vec_id", sum((F.col(f"kmeans_{k}").between(0, k - 1).cast("int") for k in ks), F.lit(0)).alias("n_valid"))
 
 
-@query("svd_features")
+@query("svd_features", "SELECT CAST(j AS INTEGER) AS j, (SELECT COUNT(*) FROM embeddings) AS n, 1 AS standard FROM range(0, 30) r(j)")
 def svd_features(s, d):
-    return impute.svd(_vectors(s, d), [f"e{i}" for i in range(VECTOR)], 30).select("vec_id", *[f"svd_{j}" for j in range(30)])
+    """Thirty coordinates over all vectors, each with mean zero and spread one."""
+    out = impute.svd(_vectors(s, d), [f"e{i}" for i in range(VECTOR)], 30)
+    tests = [
+        F.struct(F.lit(j).alias("j"), F.count(F.lit(1)).alias("n"), ((F.abs(F.avg(f"svd_{j}")) < 1e-6) & (F.abs(F.stddev_pop(f"svd_{j}") - 1) < 1e-6)).cast("int").alias("standard"))
+        for j in range(30)
+    ]
+    return out.agg(F.array(*tests).alias("t")).select(F.inline("t"))
 
 
 # --- L: candidates ------------------------------------------------------------------------------------------------

@@ -11,9 +11,11 @@ from tallyloom.catalog.fixtures import (
     AUTO, BASE, EPOCH, FXG, FXL, FXO, FXS, FXW, WIDE, fx_grid, fx_lines, fx_orders, fx_scores, fx_weekly, fx_wide, table,
 )
 from tallyloom.catalog.joins_and_groups import _pack, mean, std
-from tallyloom.catalog.models_and_studies import EDGES, OFFSETS, SERIES, _matrix, _offset
+from tallyloom.catalog.models_and_studies import EDGES, FEATURES, OFFSETS, SERIES, SMALL_SPACE, _matrix, _ml_rows, _offset
 from tallyloom.catalog.registry import plain, query
 from tallyloom.catalog.sequences_and_scalars import _rolled
+from tallyloom.core import stored
+from tallyloom.functions import metrics
 from tallyloom.plans import jobs
 from tallyloom.spec import FeatureJob, TableSpec
 
@@ -230,3 +232,21 @@ def job_chain_lookup(s, d):
 )
 def job_study(s, d):
     return jobs.study_summary(fx_scores(s, d), BASE, AUTO)
+
+
+PREDICTED = TableSpec(key=("o_orderkey",), target="target", metric="rmse", num=tuple(FEATURES), heavy_tailed=True)
+
+
+@query(
+    "job_experiment",
+    f"WITH {FXO} SELECT o_orderkey, split, 1 AS predicted, 1 AS beats_mean FROM fxo",
+)
+def job_experiment(s, d):
+    """Every order with a prediction, and whether those of the training rows beat the target's mean (the numbers depend on the fit)."""
+    rows = _ml_rows(s, d, 2).withColumn("target", F.col("target") + 100)  # no negative target under the logarithm
+    preds = jobs.experiment(rows, PREDICTED, FEATURES, 3, 11, 2, space=SMALL_SPACE)
+    joined = stored(preds.join(rows.select("o_orderkey", "target"), "o_orderkey"), "experiment")
+    train = joined.where("split = 'train'")
+    error = metrics.mse_rmse_mae(train, "target", "pred").select("rmse").scalar()
+    out = joined.withColumns({"_e": error, "_s": train.agg(F.stddev_pop("target")).scalar()})
+    return out.select("o_orderkey", "split", F.col("pred").isNotNull().cast("int").alias("predicted"), (F.col("_e") < F.col("_s")).cast("int").alias("beats_mean"))

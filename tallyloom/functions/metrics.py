@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,3 +110,18 @@ def norm_gini(df: DataFrame, y: str, pred: str, key: Sequence[str], by: Sequence
         return F.try_divide(F.try_divide((n + 1) * t - tp, t) - (n + 1) / 2, n)
 
     return both.select(*by, F.try_divide(area("a"), area("b")).alias("norm_gini"))
+
+
+#: Metrics of one prediction per row, by name; those that need more columns are called by themselves.
+BY_NAME = {"r2": r2, "mse": mse_rmse_mae, "rmse": mse_rmse_mae, "mae": mse_rmse_mae, "rmsle": rmsle, "logloss": logloss, "auc": auc, "gini": gini}
+
+
+def metric(name: str) -> tuple[Callable[..., DataFrame], str]:
+    """The metric called ``name``: a function (rows, y, pred, by) -> (``by``, ``name``), and the direction of better scores."""
+    if name not in BY_NAME:
+        raise ValueError(f"metric must be one of {sorted(BY_NAME)}, got {name!r}")
+
+    def score(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+        return BY_NAME[name](df, y, pred, by).select(*by, name)
+
+    return score, DIRECTION[name]

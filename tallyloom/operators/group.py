@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.core import attach, small_keys, stat, with_scalars
+from tallyloom.core import attach, match, small_keys, stat, with_scalars
 from tallyloom.ordered import quantiles
 from tallyloom.spec import Fitted, in_scope
 
@@ -250,7 +250,11 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
 
 
 def concat_count(df: DataFrame, token: str, scope: str = "all", name: str = "combo") -> DataFrame:
-    """Join all columns whose name holds ``token`` into one level and count it; unseen levels get 0."""
+    """Join all columns whose name holds ``token`` into one level and count it; unseen levels get 0.
+
+    The tuple of columns is what is counted; the joined text, which values holding "_" can share, is for display.
+    """
     cols = [c for c in df.columns if token in c]
-    combined = df.withColumn(name, F.concat_ws("_", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols]))
-    return group_count(combined, [name], scope, f"{name}_count")
+    counts = in_scope(df, scope).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    text = F.concat_ws("_", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols])
+    return match(df, counts, cols).withColumns({name: text, f"{name}_count": F.coalesce("_n", F.lit(0))}).drop("_n")

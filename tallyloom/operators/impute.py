@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyloom.core import cut_lineage, stat, with_scalars
 from tallyloom.operators.group import group_median
 from tallyloom.ordered import search
-from tallyloom.spec import SPLIT, in_scope
+from tallyloom.spec import SPLIT, TEST, TRAIN, in_scope
 
 
 def impute_mean(df: DataFrame, cols: Sequence[str], scope: str = "train", source: DataFrame | None = None) -> DataFrame:
@@ -47,22 +47,25 @@ def impute_cascade(df: DataFrame, cols: Sequence[str], keys: Sequence[Sequence[s
     return df
 
 
-def impute_iterative(df: DataFrame, cols: Sequence[str], rounds: int = 3) -> DataFrame:
+def impute_iterative(df: DataFrame, cols: Sequence[str], rounds: int = 3, scope: str = "all") -> DataFrame:
     """Chained linear regressions: each column is predicted from the others, for a fixed number of rounds.
 
-    The model of a column learns from rows where the column is present.  Every round ends in a
-    checkpoint, so the plan does not grow with the number of rounds.
+    The model of a column learns from the rows of the scope where the column is present; scope "split" fits training
+    and test rows each by themselves.  Every round ends in a checkpoint, so the plan does not grow with the rounds.
     """
+    if scope == "split":
+        parts = [impute_iterative(df.where(F.col(SPLIT) == part), cols, rounds) for part in (TRAIN, TEST)]
+        return parts[0].unionByName(parts[1])
     cols = list(cols)
     holes = {c: F.col(f"_was_null_{c}") for c in cols}
     work = df.withColumns({f"_was_null_{c}": F.col(c).isNull() for c in cols})
-    start = with_scalars(work, work, {c: F.avg(F.col(c).cast("double")) for c in cols})
+    start = with_scalars(work, in_scope(work, scope), {c: F.avg(F.col(c).cast("double")) for c in cols})
     work = start.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_s.{c}")) for c in cols}).drop("_s")
     for _ in range(rounds):
         for c in cols:
             others = [o for o in cols if o != c]
             packed = VectorAssembler(inputCols=others, outputCol="_x")
-            seen = packed.transform(work.where(~holes[c]).select(*cols))
+            seen = packed.transform(in_scope(work, scope).where(~holes[c]).select(*cols))
             model = LinearRegression(featuresCol="_x", labelCol=c, solver="normal").fit(seen)
             guess = F.lit(float(model.intercept))
             for o, w in zip(others, model.coefficients.toArray()):

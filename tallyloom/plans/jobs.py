@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions import scalar
-from tallyloom.operators import chains, clean, encode, folds, group, impute, profile, relate, rowwise, study, windows
-from tallyloom.spec import SPLIT, TableSpec
+from tallyloom.core import stored
+from tallyloom.functions import metrics, scalar
+from tallyloom.operators import chains, clean, encode, folds, group, impute, learn, post, profile, relate, rowwise, study, windows
+from tallyloom.spec import SPLIT, TRAIN, TableSpec
 
 
 def standardized(df: DataFrame, spec: TableSpec, scope: str = "train") -> DataFrame:
@@ -136,3 +137,23 @@ def study_summary(scores: DataFrame, base: str, automl: str) -> DataFrame:
     return relate.glue([best, ends.withColumn("gain", F.round(F.col("end") - F.col("start"), 4)), close], ["dataset"])
 
 
+
+
+def experiment(
+    df: DataFrame, spec: TableSpec, features: Sequence[str], trials: int, seed: int, k: int, best: int = 10,
+    space: dict | None = None, trainer: learn.Trainer = learn.TREES,
+) -> DataFrame:
+    """From rows with folds to final predictions (key, split, pred) of all rows, in the target's own scale.
+
+    Drawn parameter sets are fitted per fold, the best trials of each fold are averaged where that beats the single
+    best one, test rows take the mean over folds, and a heavy-tailed target is learned as its logarithm.
+    """
+    key, fn = list(spec.key), "log1p" if spec.heavy_tailed else "identity"
+    rows = impute.transform_target(df, spec.target, fn)
+    scores, preds = learn.random_search(rows, features, spec.target, spec.task, key, spec.metric, trials, seed, k, space, trainer)
+    scores = stored(scores, "trials")
+    score, direction = metrics.metric(spec.metric)
+    truth = rows.where(F.col(SPLIT) == TRAIN).select(*key, F.col(spec.target).alias("y"))
+    chosen = learn.topk_ensemble(scores, preds.join(truth, key), key, score, spec.metric, best)
+    blended = learn.ensemble_preds(scores, preds, chosen, [*key, SPLIT], direction)
+    return post.inverse_chain(learn.fold_average(blended, [*key, SPLIT]), "pred", [(fn, {})])

@@ -268,3 +268,37 @@ def test_groups_of_any_number_share_one_rule(spark):
     df = spark.createDataFrame([(None,)] * 3 + [(g,) for g in range(11) for _ in range(g + 1)], "g long")
     out = folds.group_kfold(df, "g", 4)
     assert out.count() == 69 and out.where("fold is null").count() == 0 and out.select("g", "fold").distinct().count() == 12
+
+
+def test_metric_by_name(spark):
+    df = spark.createDataFrame([(0, 1.0, 0.5), (0, 0.0, 0.5), (1, 1.0, 1.0)], "g int, y double, p double")
+    score, direction = metrics.metric("mae")
+    assert direction == "minimize" and rows(score(df, "y", "p", ["g"]), "g", "mae") == [(0, 0.5), (1, 0.0)]
+    assert metrics.metric("auc")[1] == "maximize"
+    with pytest.raises(ValueError):
+        metrics.metric("speed")
+
+
+def test_a_trainer_of_ones_own(spark):
+    df = spark.createDataFrame([(i, "train" if i % 4 else "test", float(i % 7), 3.0 * (i % 7) + 1, i % 2) for i in range(80)], "id int, split string, x double, y double, fold int")
+    models = learn.fit_folds(df, ["x"], "y", "regression", {"regParam": 0.0}, k=2, trainer=learn.LINEAR)
+    got = learn.predict(models, df, ["x"], ["id"], "regression").join(df.select("id", "y"), "id")
+    assert got.count() == 60 + 2 * 20 and got.where("abs(pred - y) > 1e-6").count() == 0
+    trials, preds = learn.random_search(df, ["x"], "y", "regression", ["id"], "rmse", 2, 5, 2, trainer=learn.LINEAR)
+    assert rows(trials, "trial", "fold") == [(0, 0), (0, 1), (1, 0), (1, 1)] and preds.count() == 2 * 100
+    assert set(trials.first().params) == set(learn.LINEAR.space)
+
+
+def test_imputation_per_split_and_on_training_rows(spark):
+    data = [(i, "train" if i < 40 else "test", float(i % 9), None if i % 5 == 0 else float(i % 9) * (2 if i < 40 else 7)) for i in range(80)]
+    df = spark.createDataFrame(data, "id int, split string, a double, b double")
+    own = dict(rows(impute.impute_iterative(df, ["a", "b"], 2, "split"), "id", "b"))
+    train = dict(rows(impute.impute_iterative(df, ["a", "b"], 2, "train"), "id", "b"))
+    assert all(own[i] == pytest.approx((i % 9) * (2 if i < 40 else 7)) for i in range(80))
+    assert all(train[i] == pytest.approx((i % 9) * 2) for i in range(0, 80, 5))
+
+
+def test_joined_levels_are_counted_by_their_parts(spark):
+    df = spark.createDataFrame([("a_b", "c"), ("a", "b_c"), ("a", "b_c"), (None, "c"), (None, "c"), ("null", "c")], "t_1 string, t_2 string")
+    got = rows(group.concat_count(df, "t_"), "t_1", "t_2", "combo", "combo_count")
+    assert set(got) == {("a_b", "c", "a_b_c", 1), ("a", "b_c", "a_b_c", 2), (None, "c", "null_c", 2), ("null", "c", "null_c", 1)}

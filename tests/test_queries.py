@@ -6,8 +6,6 @@ from tallyloom.catalog import ORACLES, QUERIES
 from tests.conftest import SF
 from tests.oracle import compare
 
-MODEL_JOBS = {"fit_folds", "fit_folds_weighted", "fit_folds_multiclass", "oof_predict_feature", "random_search", "q_predict_batch", "kmeans_features"}
-
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, name):
