@@ -112,15 +112,15 @@ def sites(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, text) -> (gram, class, multi): each gram once per text; multi tells that the text holds it twice."""
+    """(class, text) -> (gram, class, multi, piece): each gram once per piece of a text; multi tells that the piece holds it twice."""
     for batch in batches:
         cls = batch.column(0).to_numpy()
-        for text, _, _, _, h in sites(batch.column(1).to_pylist()):
+        for text, _, first, _, h in sites(batch.column(1).to_pylist()):
             order = np.lexsort((h, text))
-            text, h = text[order], h[order]
+            text, piece, h = text[order], first[order] // CHUNK, h[order]
             new = np.r_[True, (np.diff(text) != 0) | (np.diff(h) != 0)]
             count = np.diff(np.r_[np.flatnonzero(new), len(h)])
-            yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(cls[text[new]]), pa.array(count > 1)], names=["gram", "cls", "multi"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(cls[text[new]]), pa.array(count > 1), pa.array(piece[new])], names=["gram", "cls", "multi", "piece"])
 
 
 def _sites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,11 +368,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Texts of ``classes`` (cls, rid of one row each) with a repeat, and its spans: (rid, text, spans).
 
-    ``rows`` has (rid, cls, text binary).  A gram counts as repeated when two classes hold it or one text holds it twice.
+    ``rows`` has (rid, cls, text binary).  A gram counts as repeated when two classes hold it or one text holds it twice, in one
+    piece or in two; copies of a text are cut alike and add nothing.
     """
     spark = rows.sparkSession
-    grams = store(rows.select("cls", "text").mapInArrow(_grams, "gram long, cls long, multi boolean"), "suffix-grams")
-    repeated = grams.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.max("multi").alias("multi")).where("lo < hi or multi").select("gram")
+    grams = store(rows.select("cls", "text").mapInArrow(_grams, "gram long, cls long, multi boolean, piece long"), "suffix-grams")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("cls", "piece") for f in (F.min, F.max)]
+    repeated = grams.groupBy("gram").agg(*ends, F.max("multi").alias("multi")).where("min_cls < max_cls or min_piece < max_piece or multi").select("gram")
     wanted = grams.select("cls", "gram").join(repeated, "gram").distinct().groupBy("cls").agg(F.collect_list("gram").alias("grams"))
     wanted = classes.select("cls", "rid").join(wanted, "cls").drop("cls")
     texts = store(rows.select("rid", "text").join(wanted, "rid"), "suffix-texts")

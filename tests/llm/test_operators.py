@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -124,6 +125,31 @@ def test_places_do_not_depend_on_chunks(monkeypatch):
     assert whole == parts == set(range(len(body) - suffix.LENGTH + 1))
 
 
+def suffix_cuts(texts):
+    """(number, n_bytes, n_removed, n_spans, kept_sha256) by brute force."""
+    bodies = [(t or "").encode() for t in texts]
+    seen = Counter(hash(b[p : p + 200]) for b in bodies for p in range(len(b) - 199))
+    out = []
+    for i, b in enumerate(bodies):
+        spans = suffix.union([(p, p + 200) for p in range(len(b) - 199) if seen[hash(b[p : p + 200])] > 1])
+        kept = b"".join(b[x:y] for x, y in zip([0, *(y for _, y in spans)], [*(x for x, _ in spans), len(b)]))
+        out.append((i, len(b), sum(y - x for x, y in spans), len(spans), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_repeats_across_the_pieces_of_a_long_text(spark):
+    rng = random.Random(12)
+    once, edge, thrice = ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (200, 900, 260))
+    filler = ["".join(rng.choices("ijklmnop", k=n)) for n in (1000, suffix.CHUNK - 2500, 100_000, suffix.CHUNK, 30_000)]
+    long = filler[0] + once + thrice + filler[1] + edge + filler[2] + once + filler[3] + thrice + edge + filler[4] + thrice
+    assert len(long) > 2 * suffix.CHUNK + suffix.LENGTH
+    texts = [long, sentence(rng, 300), "short"]
+    want = suffix_cuts(texts)
+    assert want[0][2] == 2 * 200 + 2 * 900 + 3 * 260
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup(store(frame, "long")).collect()], want)
+
+
 def test_merge_equals_sort():
     rng = random.Random(9)
     runs, everything = [], []
