@@ -12,7 +12,8 @@ place has a right context (its suffix) and a left context, both as long as the s
    runs: the length of the prefix shared with the suffix before, and the rest.
 3. A loser tree merges the runs of one range of grams; it knows the common prefixes with the last winner and never
    compares them again.  The common prefixes of the merged order, with the left contexts, say how far each distinct
-   suffix repeats; joining that back to the places gives the spans to remove.
+   suffix repeats; joining that back to the places gives the spans to remove.  Grams with more than ``HOT`` places, which
+   could fill a task, are never grouped: the strings of their contexts are counted by 128-bit hashes.
 
 Exact copies of whole texts are one class with one representative; a class of two or more loses everything.
 """
@@ -35,6 +36,7 @@ LENGTH, GRAM = 200, 64
 GRAMS = LENGTH - GRAM + 1  # grams in one string
 CHUNK = 1 << 19  # bytes worked on at once
 SITES_PER_PART = 100_000
+HOT = 20_000  # places of a gram at most that one task takes as a group
 RUN = 150_000  # distinct suffixes in a run at most; more make another run
 BASE = 0x9E3779B97F4A7C15
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -342,6 +344,35 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, ctx, left, right, n) -> (gram, ctx, back, high, low, n): every string of a context, its bytes before the place and its 128-bit hash."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 500):
+            gram, ctx, left, right, n = batch.slice(low, 500).columns
+            digests: list[bytes] = []
+            backs = []
+            for x, y in zip(left.to_pylist(), right.to_pylist()):
+                body = x[::-1] + y
+                backs.append(np.arange(len(x), LENGTH - len(y) - 1, -1))
+                digests += [xxhash.xxh3_128_digest(body[i : i + LENGTH]) for i in range(len(body) - LENGTH + 1)]
+            own = [np.repeat(c.to_numpy(), [len(b) for b in backs]) for c in (gram, ctx, n)]
+            keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T.copy()
+            columns = (own[0], own[1], np.concatenate(backs), keys[0], keys[1], own[2])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["gram", "ctx", "back", "high", "low", "n"])
+
+
+def hot_spans(places: DataFrame) -> DataFrame:
+    """(gram, ctx, back, ahead) like :func:`_merged`, for grams with any number of contexts.
+
+    Equal strings elect equal grams, so a string repeats when its hash counts more than one place.  The repeated hashes are stored
+    first: the join then deals both sides anew and Spark can split a hash that many contexts share.
+    """
+    contexts = store(places.groupBy("gram", "ctx").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.count("*").alias("n")), "suffix-hot-contexts")
+    strings = contexts.mapInArrow(_strings, "gram long, ctx long, back long, high long, low long, n long")
+    repeated = store(strings.groupBy("high", "low").agg(F.sum("n").alias("n")).where("n > 1").select("high", "low"), "suffix-hot-strings")
+    return strings.join(repeated, ["high", "low"]).groupBy("gram", "ctx").agg(F.max("back").alias("back"), (LENGTH - F.min("back")).alias("ahead"))
+
+
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted maximal spans; spans that touch are one."""
     out: list[list[int]] = []
@@ -380,8 +411,13 @@ def repeated_spans(rows: DataFrame, classes: DataFrame) -> DataFrame:
     texts = store(rows.select("rid", "text").join(wanted, "rid"), "suffix-texts")
     places = store(texts.mapInArrow(_sites, "rid long, at long, gram long, ctx long, left binary, right binary"), "suffix-places")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-places.count() // SITES_PER_PART))
-    runs = places.select("gram", "ctx", "left", "right").mapInArrow(_runs(parts), "part long, run long, seq long, shared int, rest binary, left binary, gram long, ctx long, n long")
+    hot = store(places.groupBy("gram").count().where(F.col("count") > HOT).select("gram"), "suffix-hot")  # of HOT places one row at most
+    contexts = places.select("gram", "ctx", "left", "right")
+    any_hot = not hot.isEmpty()
+    runs = (contexts.join(F.broadcast(hot), "gram", "left_anti") if any_hot else contexts).mapInArrow(_runs(parts), "part long, run long, seq long, shared int, rest binary, left binary, gram long, ctx long, n long")
     spans = runs.repartition(parts, "part").sortWithinPartitions("part", "run", "seq").mapInArrow(_merged, "gram long, ctx long, back long, ahead long")
+    if any_hot:
+        spans = spans.unionByName(hot_spans(contexts.join(F.broadcast(hot), "gram", "left_semi")))
     hits = places.select("rid", "at", "gram", "ctx").join(spans, ["gram", "ctx"])
     spans = hits.groupBy("rid").agg(F.collect_set(F.struct((F.col("at") - F.col("back")).alias("low"), (F.col("at") + F.col("ahead")).alias("high"))).alias("spans"))
     return texts.select("rid", "text").join(spans, "rid")

@@ -150,6 +150,23 @@ def test_repeats_across_the_pieces_of_a_long_text(spark):
     same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup(store(frame, "long")).collect()], want)
 
 
+def test_passages_that_many_texts_hold_are_not_grouped(spark, monkeypatch):
+    rng = random.Random(13)
+    shared, line = ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (420, 150))
+    texts = []
+    for i in range(90):
+        edges = ["".join(rng.choice("ijklmnop") for _ in range(rng.randint(0, 260))) for _ in range(3)]
+        texts.append(edges[0] + shared[: rng.choice((420, 420, 300))] + edges[1] + line + edges[2])
+    texts += [texts[0], texts[1] + "x", "", line, shared]
+    seen, real = [], suffix.hot_spans
+    monkeypatch.setattr(suffix, "HOT", 5)
+    monkeypatch.setattr(suffix, "hot_spans", lambda places: seen.append(places.count()) or real(places))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = suffix.dedup(store(frame, "hot")).collect()
+    same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out], suffix_cuts(texts))
+    assert sum(seen) > 90
+
+
 def test_merge_equals_sort():
     rng = random.Random(9)
     runs, everything = [], []
