@@ -31,7 +31,9 @@ ENDS_P = BLOCKS - {"label", "button", "select", "option", "iframe", "object", "v
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "select", "div", "section", "article", "main", "body"}
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|noscript|template|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|"
+    r"<svg(?=[\s/])(?:\"[^\"]*\"|'[^']*'|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)|[^>\"'=/]|/(?!>))*+/>|"  # empty; a slash in an unquoted value closes nothing
+    r"<(script|style|textarea|noscript|template|svg|iframe)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)

@@ -367,6 +367,19 @@ def test_main_text(spark):
     assert right / nodes > 0.95
 
 
+def test_text_after_empty_svg_and_custom_elements_stays():
+    cases = {
+        '<p>a</p><svg viewBox="0 0 1 1" class=\'x/y\'/><p>b</p>': ["a", "b"],
+        "<p>a</p><svg/><p>b</p>": ["a", "b"],
+        "<p>a</p><svg width=1 /><p>b</p><svg><path d='M0'/>x</svg><p>c</p>": ["a", "b", "c"],
+        "<p>a</p><svg width=1/><p>b</p></svg><p>c</p>": ["a", "c"],
+        "<p>a <svg-icon name='x'></svg-icon>b</p><style-guide>c</style-guide><template-part/><p>d</p>": ["a b", "c", "d"],
+        "<p>a</p><style>x</style><script/>y</script><TEMPLATE\n>z</template><p>b</p>": ["a", "b"],
+    }
+    for source, want in cases.items():
+        assert " ".join(t for _, t in html.parse(source).segments).split() == " ".join(want).split(), source
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(8)
     parent, depth = np.array([-1, 0, 0, 1, 1, 2]), np.array([0, 1, 1, 2, 2, 2])
