@@ -49,7 +49,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_sharding")
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 @query("op5_simhash")

@@ -380,6 +380,14 @@ def test_text_after_empty_svg_and_custom_elements_stays():
         assert " ".join(t for _, t in html.parse(source).segments).split() == " ".join(want).split(), source
 
 
+def test_sharding_query_moves_whole_records(spark, monkeypatch):
+    given, real = [], sharding.shard_documents
+    monkeypatch.setattr(sharding, "shard_documents", lambda docs: given.append(docs) or real(docs))
+    out = QUERIES["op4_sharding"](spark, SF).collect()
+    assert given[0].columns == table(spark, SF, "documents").columns
+    same([tuple(r) for r in out], [tuple(r) for r in real(given[0].select("doc_id", "text")).collect()])
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(8)
     parent, depth = np.array([-1, 0, 0, 1, 1, 2]), np.array([0, 1, 1, 2, 2, 2])
