@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.core import work_dir
@@ -70,6 +70,16 @@ def spaced_words(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACES, " "))
 
 
+def top_rows(rows: DataFrame, by: list[str], order: list[Column], n: int, spread: Column, parts: int = 64) -> DataFrame:
+    """The first ``n`` rows of every group in ``order``: first of each of its ``parts`` (by the hash ``spread``), then of what is left."""
+    part = _fresh("part", rows.columns)
+    place = _fresh("place", rows.columns)
+    rows = rows.withColumn(part, F.pmod(spread, F.lit(parts)))
+    for keys in ([*by, part], by):
+        rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) <= n).drop(place)
+    return rows.drop(part)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph: rows (``node``, ``root``) for every node on an edge.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontam, embedding, html, packing, quality, sharding, simhash, substring, suffix, urls
+from tallyloom.llm import alignment, decontam, embedding, html, language, packing, phrases, quality, sharding, simhash, substring, suffix, urls
 from tallyloom.llm.common import table
 
 #: Ranks of the vocabulary in ``byte_bpe_50k.json``, which give the same ids.
@@ -21,6 +21,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def alignment_paths() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
 def query(name: str, sql: str | None = None) -> Callable:
     def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[name] = fn
@@ -80,3 +86,19 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontam", decontam.ORACLE)
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), *alignment_paths()).drop("rid")
+
+
+@query("op12_phrases", phrases.ORACLE)
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_language")
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
