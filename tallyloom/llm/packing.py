@@ -9,7 +9,6 @@ when that no longer fits, the window count rises.  There is no shuffle, and a lo
 
 from __future__ import annotations
 
-import base64
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -20,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.bytebpe import byte_bpe
+
 CAPACITY, END = 1024, 0
 CHUNK_DOCS = 2000  # documents packed together
-SPECIAL = {"<|endoftext|>": 50256}
-_encoders: dict[str, object] = {}
 
 Piece = tuple[int, int, int]  # item, start in the item, length
 
@@ -107,27 +106,15 @@ def pack_tails(lengths: list[int], capacity: int = CAPACITY, rounds: int = 8) ->
     return windows
 
 
-def encoder(path: str):
-    """Byte-level BPE from a file of ranks; its special token counts as one id, as in the JSON file of the vocabulary."""
-    if path not in _encoders:
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
-    return _encoders[path]
-
-
 def encode(path: str, text: str | None) -> np.ndarray:
     """Ids of a whole text and the end id, little-endian unsigned 32-bit."""
-    return np.array([*encoder(path).encode(text or "", allowed_special="all"), END], "<u4")
+    return np.array([*byte_bpe(path)(text or "", special=True), END], "<u4")
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
-    ``tokenizer`` is the path of a rank file that every worker can read; ``with_ids`` adds the piece's ``ids``.
+    ``tokenizer`` is the path of a byte-level BPE's JSON file that every worker can read; ``with_ids`` adds the piece's ``ids``.
     Null and empty texts are one token, the end id; repeated rows are documents of their own; a null id stays
     null; an empty table gives an empty result.  Each chunk of documents pads less than a window or two; the
     numbers of the sequences are unique and follow the scan's partitions.  Other columns are ignored.

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyloom.llm import alignment, decontam, embedding, html, language, packing, phrases, quality, sharding, simhash, substring, suffix, urls
 from tallyloom.llm.common import table
 
-#: Ranks of the vocabulary in ``byte_bpe_50k.json``, which give the same ids.
-TOKENIZER = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

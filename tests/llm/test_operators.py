@@ -437,3 +437,14 @@ def test_row_numbers_do_not_follow_the_cores(spark):
         assert spark.conf.get(cores) == "3"
     finally:
         spark.conf.unset(cores) if before is None else spark.conf.set(cores, before)
+
+
+@pytest.mark.parametrize("text", [" " * 5_000_000, "\n" * 5_000_000, "é" * 1_000_000, "x" * 5_000_000, " \n\t" * 1_000_000, "<|endoftext|>" + " " * 1_500_000 + "end"], ids=["spaces", "newlines", "accents", "letters", "blanks", "special"])
+def test_packing_of_very_long_runs(text):
+    import tokenizers
+
+    ids = packing.encode(tokenizer_path(), text)
+    part = text[:100_000]
+    assert packing.encode(tokenizer_path(), part).tolist() == [*tokenizers.Tokenizer.from_file(tokenizer_path()).encode(part, add_special_tokens=False).ids, 0]
+    entries = packing.byte_bpe(tokenizer_path()).entries
+    assert b"".join(entries[i] for i in ids[:-1]).decode() == text
