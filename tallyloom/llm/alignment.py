@@ -12,7 +12,6 @@ the documents in parts of at most ``PART`` pairs, each small enough to broadcast
 from __future__ import annotations
 
 import hashlib
-import os
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -21,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.bytebpe import byte_bpe
 from tallyloom.llm.common import row_numbers, store
 
 #: Pairs broadcast at once: 25 bytes each in a row, at most 50 MB.
@@ -29,28 +29,15 @@ ENCODE_BYTES = 1 << 20  # text handed to the tokenizers at once
 _tokenizers: dict[tuple[str, str], "Tokenizers"] = {}
 
 
-def byte_level() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the others from U+0100 on."""
-    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
-
-
 class Tokenizers:
     """Both tokenizers with the bytes of every token: ``a`` is byte-level BPE, ``b`` pieces with byte fallback."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
-        import tokenizers
 
-        self.a = tokenizers.Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.a = byte_bpe(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        byte = byte_level()
-        entries = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
-        special = {i: t.content for i, t in self.a.get_added_tokens_decoder().items()}
-        self.bytes_a = [special[i].encode() if i in special else bytes(byte[c] for c in entries.get(i, "")) for i in range(max(entries) + 1)]
+        self.bytes_a = self.a.entries
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
         self.size_a = np.array([len(t) for t in self.bytes_a])
@@ -58,10 +45,8 @@ class Tokenizers:
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of each text by both; none where the text is empty or the tokens' bytes are not a space and the text."""
-        all_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        all_b = self.b.encode(texts, num_threads=1)
-        for text, a, b in zip(texts, all_a, all_b):
-            a, whole = a.ids, b" " + text.encode()
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
+            a, whole = self.a(" " + text, special=False), b" " + text.encode()
             same = text and b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
             yield (np.array(a, np.int64), np.array(b, np.int64)) if same else (np.empty(0, np.int64), np.empty(0, np.int64))
 

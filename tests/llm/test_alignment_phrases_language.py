@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyloom.llm import alignment, language, phrases
+from tallyloom.llm.bytebpe import byte_level
 from tallyloom.llm.common import store, table
 from tallyloom.llm.queries import ORACLES, QUERIES, alignment_paths
 from tests.oracle import compare
@@ -80,7 +81,7 @@ def naive_alignment(texts):
     path_a, path_b = alignment_paths()
     tok, sp = tokenizers.Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
     tok.encode_special_tokens = True
-    byte, entries = alignment.byte_level(), {i: t for t, i in tok.get_vocab().items()}
+    byte, entries = byte_level(), {i: t for t, i in tok.get_vocab().items()}
     out = []
     for text in texts:
         a = tok.encode(" " + (text or ""), add_special_tokens=False).ids
