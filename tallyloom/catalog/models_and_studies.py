@@ -20,6 +20,7 @@ from tallyloom.spec import TRAIN
 
 FEATURES = ["o_custkey", "nationkey", "acctbal", "month", "hash_mod", "price_level"]
 SMALL = {"maxIter": 5, "maxDepth": 3}
+LEARNED = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.3}
 SMALL_SPACE = {"maxIter": ("int", 3, 6), "maxDepth": ("int", 2, 4), "stepSize": ("log", 0.05, 0.5)}
 
 
@@ -58,57 +59,78 @@ def fit_folds(s, d):
     return _scored(preds, metrics.r2(preds, "target", "pred", ["fold"]), F.col("r2") > 0, "beats_mean")
 
 
-@query("fit_folds_weighted", _per_fold(3, "in_bounds"))
+@query("fit_folds_weighted", _per_fold(3, "separates"))
 def fit_folds_weighted(s, d):
-    """Binary boosted trees with balanced class weights: rows per fold, and whether their AUC is one."""
-    rows = learn.class_weights(_ml_rows(s, d, 3), "y")
-    models = learn.fit_folds(rows, FEATURES, "y", "binary", SMALL, k=3, weight="class_weight")
-    preds = learn.predict(models, rows.where("split = 'train'"), FEATURES, ["o_orderkey"], "binary").join(rows.select("o_orderkey", "y"), "o_orderkey")
-    return _scored(preds, metrics.auc(preds, "y", "pred", ["fold"]), F.col("auc").between(0, 1), "in_bounds")
+    """Binary boosted trees with balanced class weights: rows per fold, and whether they tell the classes apart."""
+    rows = learn.class_weights(_ml_rows(s, d, 3).withColumn("dear", _dear()), "dear")
+    models = learn.fit_folds(rows, FEATURES, "dear", "binary", SMALL, k=3, weight="class_weight")
+    preds = learn.predict(models, rows.where("split = 'train'"), FEATURES, ["o_orderkey"], "binary").join(rows.select("o_orderkey", "dear"), "o_orderkey")
+    return _scored(preds, metrics.auc(preds, "dear", "pred", ["fold"]), F.col("auc") > 0.8, "separates")
 
 
-@query("fit_folds_multiclass", _per_fold(3, "in_bounds"))
-def fit_folds_multiclass(s, d):
-    """Forests over five priorities: rows per fold, and whether their log loss is near or below that of even chances (1.61)."""
-    rows = _ml_rows(s, d, 3).withColumn("label", F.substring("priority", 1, 1).cast("int") - 1)
-    models = learn.fit_folds(rows, FEATURES, "label", "classification", SMALL, k=3)
-    preds = learn.predict(models, rows.where("split = 'train'"), FEATURES, ["o_orderkey"], "classification")
-    long = preds.join(rows.select("o_orderkey", "label"), "o_orderkey").select("o_orderkey", "fold", "label", F.posexplode("pred").alias("class", "p"))
-    loss = metrics.mlogloss(long.withColumn("hit", (F.col("class") == F.col("label")).cast("int")), ["o_orderkey"], "hit", "p", ["fold"])
-    return _scored(preds, loss, F.col("mlogloss").between(0, 2), "in_bounds")
+def _dear():
+    return (F.col("target") > 300).cast("int")
+
 
+def class_loss(preds, rows, by):
+    """Log loss of class probabilities (``pred``, an array) against ``label``."""
+    long = preds.join(rows.select("o_orderkey", "label"), "o_orderkey").select("o_orderkey", *by, "label", F.posexplode("pred").alias("class", "p"))
+    return metrics.mlogloss(long.withColumn("hit", (F.col("class") == F.col("label")).cast("int")), ["o_orderkey"], "hit", "p", by)
 
-@query("oof_predict_feature", "SELECT o_orderkey, 1 AS acctbal_known, 1 AS nationkey_known FROM orders")
+
+@query("fit_folds_multiclass", _per_fold(3, "beats_forest"))
+def fit_folds_multiclass(s, d):
+    """Boosting over five classes: rows per fold, and whether its log loss is below that of a forest with as many trees per class."""
+    level = F.greatest(F.least(F.floor(F.col("target") / 75), F.lit(4)), F.lit(0)).cast("int")
+    rows = _ml_rows(s, d, 3).withColumn("label", level).persist()
+    known = rows.where("split = 'train'")
+    scores = []
+    for trainer, name in ((learn.TREES, "boosted"), (learn.FOREST, "forest")):
+        models = learn.fit_folds(rows, FEATURES, "label", "classification", {"maxIter": 5, "maxDepth": 3, "stepSize": 0.3}, k=3, trainer=trainer)
+        preds = learn.predict(models, known, FEATURES, ["o_orderkey"], "classification")
+        scores.append(class_loss(preds, known, ["fold"]).withColumnRenamed("mlogloss", name))
+    return _scored(preds, scores[0].join(scores[1], "fold"), F.col("boosted") < F.col("forest"), "beats_forest")
+
+
+@query("oof_predict_feature", "SELECT o_orderkey, 1 AS acctbal_learned, 1 AS price_level_learned FROM orders")
 def oof_predict_feature(s, d):
-    """Every order with an out-of-fold prediction of two of its columns."""
-    out = learn.oof_features(_ml_rows(s, d), ["acctbal", "nationkey"], FEATURES, ["o_orderkey"], 2, params=SMALL)
-    return out.select("o_orderkey", *[F.col(f"{c}_oof").isNotNull().cast("int").alias(f"{c}_known") for c in ("acctbal", "nationkey")])
+    """Every order with, for two of its columns, whether their out-of-fold predictions explain half of their spread over all orders."""
+    rows = _ml_rows(s, d)
+    targets = ["acctbal", "price_level"]
+    out = learn.oof_features(rows, targets, [*FEATURES, "target"], ["o_orderkey"], 2, params=LEARNED)
+    fits = {t: metrics.r2(out, t, f"{t}_oof").scalar() for t in targets}
+    return out.select("o_orderkey", *[(F.col(f"{t}_oof").isNotNull() & (fits[t] > 0.5)).cast("int").alias(f"{t}_learned") for t in targets])
 
 
 @query(
     "q_predict_batch",
-    f"""WITH {FXO} SELECT o_orderkey, split, {_fold_of(2)} AS fold, 1 AS in_bounds FROM fxo WHERE split = 'train'
+    f"""WITH {FXO} SELECT o_orderkey, split, {_fold_of(2)} AS fold, 1 AS separates FROM fxo WHERE split = 'train'
     UNION ALL SELECT o_orderkey, split, f.fold, 1 FROM fxo CROSS JOIN (VALUES (0), (1)) f(fold) WHERE split = 'test'""",
 )
 def q_predict_batch(s, d):
-    """Training rows by their own fold's model, test rows by every model; probabilities inside 0 and 1."""
-    rows = _ml_rows(s, d, 2)
-    models = learn.fit_folds(rows, FEATURES, "y", "binary", SMALL, k=2)
+    """Training rows by their own fold's model, test rows by every model; whether the rows of that model and split are told apart."""
+    rows = _ml_rows(s, d, 2).withColumn("dear", _dear())
+    models = learn.fit_folds(rows, FEATURES, "dear", "binary", SMALL, k=2)
     preds = learn.predict(models, rows, FEATURES, ["o_orderkey"], "binary")
-    return preds.select("o_orderkey", "split", "fold", F.col("pred").between(0, 1).cast("int").alias("in_bounds"))
+    scores = metrics.auc(preds.join(rows.select("o_orderkey", "dear"), "o_orderkey"), "dear", "pred", ["split", "fold"])
+    good = (F.col("auc") > 0.8) & F.col("pred").between(0, 1)
+    return preds.join(scores, ["split", "fold"]).select("o_orderkey", "split", "fold", good.cast("int").alias("separates"))
 
 
 @query(
     "random_search",
     f"""WITH {FXO}, n AS (SELECT f.fold, COUNT(*) FILTER (WHERE split = 'train' AND {_fold_of(2)} = f.fold) AS n_train, COUNT(*) FILTER (WHERE split = 'test') AS n_test
       FROM fxo CROSS JOIN (VALUES (0), (1)) f(fold) GROUP BY 1)
-    SELECT t.trial, fold, 3 AS n_params, n_train, n_test, 1 AS scored FROM n CROSS JOIN (VALUES (0), (1)) t(trial)""",
+    SELECT t.trial, fold, 3 AS n_params, n_train, n_test, 1 AS beats_mean FROM n CROSS JOIN (VALUES (0), (1)) t(trial)""",
 )
 def random_search(s, d):
-    """Trials by fold with the rows each of them predicted."""
-    trials, preds = learn.random_search(_ml_rows(s, d, 2), FEATURES, "target", "regression", ["o_orderkey"], "rmse", 2, 11, 2, SMALL_SPACE)
+    """Trials by fold with the rows each of them predicted, and whether their error is below the spread of the fold's target."""
+    rows = _ml_rows(s, d, 2)
+    trials, preds = learn.random_search(rows, FEATURES, "target", "regression", ["o_orderkey"], "rmse", 2, 11, 2, SMALL_SPACE)
     sizes = preds.groupBy("trial", "fold").agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
-    return trials.join(sizes, ["trial", "fold"]).select("trial", "fold", F.size("params").alias("n_params"), "n_train", "n_test", (F.col("score") > 0).cast("int").alias("scored"))
+    spread = rows.where("split = 'train'").groupBy("fold").agg(F.stddev_pop("target").alias("spread"))
+    out = trials.join(sizes, ["trial", "fold"]).join(spread, "fold")
+    return out.select("trial", "fold", F.size("params").alias("n_params"), "n_train", "n_test", (F.col("score") < F.col("spread")).cast("int").alias("beats_mean"))
 
 
 def _one_score(metric, name, df, y, pred, by):
