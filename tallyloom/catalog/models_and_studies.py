@@ -11,6 +11,7 @@ from tallyloom.catalog.fixtures import (
     fx_orders, fx_preds, fx_scores, fx_trials, table,
 )
 from tallyloom.catalog.registry import plain, query
+from tallyloom.core import with_scalars
 from tallyloom.functions import metrics
 from tallyloom.operators import chains, folds, learn, post, study
 from tallyloom.operators.windows import lags
@@ -253,6 +254,24 @@ def q_m_gini(s, d):
     return plain(metrics.gini(fx_preds(s, d), "y", "pred", ["trial"]), 9)
 
 
+@query(
+    "q_m_kappa",
+    f"""WITH {FXO}, x AS (SELECT hfold, CAST(substr(priority, 1, 1) AS INTEGER) AS a, CAST((o_orderkey * 7919 + CAST(substr(priority, 1, 1) AS INTEGER)) % 9 // 2 AS INTEGER) AS b FROM fxo WHERE o_orderkey % 17 <> 0),
+    m AS (SELECT hfold, SUM((a - b) * (a - b)) AS seen, COUNT(*) AS n FROM x GROUP BY 1),
+    c AS (SELECT p.hfold, SUM((p.a - q.b) * (p.a - q.b) * p.n::HUGEINT * q.n) AS chance FROM (SELECT hfold, a, COUNT(*) AS n FROM x GROUP BY ALL) p JOIN (SELECT hfold, b, COUNT(*) AS n FROM x GROUP BY ALL) q USING (hfold) GROUP BY 1),
+    k0 AS (SELECT hfold, COUNT(*) FILTER (WHERE a <> b) AS seen, COUNT(*) AS n FROM x GROUP BY 1),
+    c0 AS (SELECT p.hfold, SUM(p.n::HUGEINT * q.n) FILTER (WHERE p.a <> q.b) AS chance FROM (SELECT hfold, a, COUNT(*) AS n FROM x GROUP BY ALL) p JOIN (SELECT hfold, b, COUNT(*) AS n FROM x GROUP BY ALL) q USING (hfold) GROUP BY 1)
+    SELECT hfold, round(1 - seen::DOUBLE * n / chance::DOUBLE, 9) AS quadratic_kappa, round(1 - s0::DOUBLE * n / c0::DOUBLE, 9) AS cohens_kappa
+    FROM m JOIN c USING (hfold) JOIN (SELECT hfold, seen AS s0 FROM k0) USING (hfold) JOIN (SELECT hfold, chance AS c0 FROM c0) USING (hfold)""",
+)
+def q_m_kappa(s, d):
+    """Quadratic and plain kappa of a rating; rows without a label or without a rating do not count."""
+    own = F.substring("priority", 1, 1).cast("int")
+    rows = fx_orders(s, d).select("hfold", F.when(F.col("o_orderkey") % 17 != 0, own).alias("a"), F.floor((F.col("o_orderkey") * 7919 + own) % 9 / 2).cast("int").alias("b"))
+    both = [metrics.metric(name)[0](rows, "a", "b", ["hfold"]) for name in ("quadratic_kappa", "cohens_kappa")]
+    return plain(both[0].join(both[1], "hfold"), 9)
+
+
 def _lorenz(order: str, name: str) -> str:
     return (
         f"{name}0 AS (SELECT trial, y, SUM(y) OVER (PARTITION BY trial ORDER BY {order} DESC, o_orderkey ROWS UNBOUNDED PRECEDING) AS cum FROM fxp), "
@@ -535,7 +554,28 @@ def _event_edges(s, d):
     "SELECT first_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS chain, event_id AS node, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position FROM events QUALIFY COUNT(*) OVER (PARTITION BY user_id) > 1",
 )
 def chain_paths(s, d):
-    return chains.chain_paths(_event_edges(s, d))
+    return chains.chain_paths(_event_edges(s, d)).select("chain", "node", "position")
+
+
+@query(
+    "chain_paths_mixed",
+    """WITH RECURSIVE n AS (SELECT COUNT(*) AS n FROM customer),
+    e AS (SELECT c_custkey - 1 AS src, ((c_custkey - 1) * (c_custkey - 1) + 1) % n AS dst FROM customer, n WHERE c_custkey % 13 <> 0),
+    nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+    walk AS (SELECT src AS node, dst AS spot FROM e UNION SELECT w.node, e.dst FROM walk w JOIN e ON e.src = w.spot),
+    ring AS (SELECT node FROM walk WHERE node = spot), label AS (SELECT node, MIN(spot) AS low FROM walk JOIN ring USING (node) GROUP BY node),
+    cut AS (SELECT e.src, e.dst FROM e LEFT JOIN label a ON a.node = e.src LEFT JOIN label b ON b.node = e.dst WHERE b.node IS NULL OR (a.node IS NOT NULL AND e.dst <> b.low)),
+    path AS (SELECT node AS chain, node, 0::BIGINT AS position FROM nodes WHERE node NOT IN (SELECT dst FROM cut) UNION ALL SELECT p.chain, c.dst, p.position + 1 FROM path p JOIN cut c ON c.src = p.node),
+    best AS (SELECT * FROM path QUALIFY row_number() OVER (PARTITION BY node ORDER BY position DESC, chain) = 1),
+    ended AS (SELECT DISTINCT a.chain FROM e JOIN best a ON a.node = e.src JOIN best b ON b.node = e.dst WHERE a.chain <> b.chain)
+    SELECT chain, node, position, node IN (SELECT node FROM ring) AS cycle, chain IN (SELECT chain FROM ended) AS overlapped FROM best""",
+)
+def chain_paths_mixed(s, d):
+    """Customers linked by squaring their number: chains that meet, cycles, chains that run into cycles, chains that end."""
+    rows = with_scalars(table(s, d, "customer").select("c_custkey"), table(s, d, "customer"), {"n": F.count(F.lit(1))})
+    src = F.col("c_custkey") - 1
+    edges = rows.where("c_custkey % 13 <> 0").select(src.alias("src"), ((src * src + 1) % F.col("_s.n")).alias("dst"))
+    return chains.chain_paths(edges)
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,26 +15,40 @@ from tallyloom.core import match
 DIRECTION = {
     "r2": "maximize", "mse": "minimize", "rmse": "minimize", "mae": "minimize", "rmsle": "minimize",
     "logloss": "minimize", "mlogloss": "minimize", "multilabel": "minimize", "auc": "maximize",
-    "gini": "maximize", "norm_gini": "maximize",
+    "gini": "maximize", "norm_gini": "maximize", "cohens_kappa": "maximize", "quadratic_kappa": "maximize",
 }
 EPS = 1e-15
 
 
-def _error(y: str, pred: str) -> Column:
-    return F.col(y) - F.col(pred)
+def scored(df: DataFrame, y: str, pred: str) -> DataFrame:
+    """The one rule for nulls: a row without a label or without a prediction counts in no metric."""
+    return df.where(F.col(y).isNotNull() & F.col(pred).isNotNull())
+
+
+def _error(df: DataFrame, y: str, pred: str) -> Column:
+    """The difference; of integers as a decimal whose square does not overflow."""
+    return wide(df, y) - wide(df, pred)
+
+
+def _squares(e: Column) -> Column:
+    """Sum of squares, exact where the differences are and the sum fits a decimal, else in double precision."""
+    square = F.try_multiply(e, e)
+    exact = F.when(F.count(square) == F.count(e), F.try_sum(square).cast("double"))
+    return F.coalesce(exact, F.sum(e.cast("double") * e.cast("double")))
 
 
 def r2(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     """1 - SSE / SST."""
-    e = _error(y, pred)
+    df = scored(df, y, pred)
     spread = stat(df, y, "std_pop")
     total = spread * spread * F.count(y)
-    return df.groupBy(*by).agg((1 - F.try_divide(F.sum(e * e).cast("double"), total)).alias("r2"))
+    return df.groupBy(*by).agg((1 - F.try_divide(_squares(_error(df, y, pred)), total)).alias("r2"))
 
 
 def mse_rmse_mae(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
-    e = _error(y, pred)
-    mse = F.try_divide(F.sum(e * e).cast("double"), F.count(e))
+    df = scored(df, y, pred)
+    e = _error(df, y, pred)
+    mse = F.try_divide(_squares(e), F.count(e))
     return df.groupBy(*by).agg(
         mse.alias("mse"), F.sqrt(mse).alias("rmse"), F.try_divide(F.sum(F.abs(e)).cast("double"), F.count(e)).alias("mae")
     )
@@ -41,7 +56,7 @@ def mse_rmse_mae(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> Da
 
 def rmsle(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     e = F.log1p(F.col(pred).cast("double")) - F.log1p(F.col(y).cast("double"))
-    return df.groupBy(*by).agg(F.sqrt(F.avg(e * e)).alias("rmsle"))
+    return scored(df, y, pred).groupBy(*by).agg(F.sqrt(F.avg(e * e)).alias("rmsle"))
 
 
 def _clipped(p: str) -> Column:
@@ -50,7 +65,37 @@ def _clipped(p: str) -> Column:
 
 def logloss(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     p = _clipped(pred)
-    return df.groupBy(*by).agg((-F.avg(F.when(F.col(y) == 1, F.log(p)).otherwise(F.log(1 - p)))).alias("logloss"))
+    return scored(df, y, pred).groupBy(*by).agg((-F.avg(F.when(F.col(y) == 1, F.log(p)).otherwise(F.log(1 - p)))).alias("logloss"))
+
+
+def kappa(df: DataFrame, y: str, pred: str, by: Sequence[str] = (), quadratic: bool = False) -> DataFrame:
+    """Cohen's kappa of two ratings: agreement beyond chance, or with squared distances between numeric classes.
+
+    The rows are counted per pair of classes; what chance would give follows from the margins alone, as sums of squares
+    for the distances and as products of equal classes otherwise, so no pair of classes is built that does not occur.
+    A group in which chance cannot disagree has no kappa (null).
+    """
+    by = list(by)
+    cells = scored(df, y, pred).groupBy(*by, F.col(y).alias("_a"), F.col(pred).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    if quadratic:
+        n, a, b = (F.col(c).cast("decimal(19,0)") for c in ("_n", "_a", "_b"))
+        sums = cells.groupBy(*by).agg(
+            F.sum(n).cast("double").alias("n"), F.sum(n * (a - b) * (a - b)).cast("double").alias("seen"), F.sum(n * a).cast("double").alias("ta"), F.sum(n * b).cast("double").alias("tb"),
+            F.sum(n * a * a).cast("double").alias("qa"), F.sum(n * b * b).cast("double").alias("qb"),
+        )
+        # sum over all pairs of rows of (a - b)^2, over n
+        chance = F.col("qa") + F.col("qb") - 2 * F.try_divide(F.col("ta") * F.col("tb"), F.col("n"))
+    else:
+        margin_a = cells.groupBy(*by, F.col("_a").alias("_c")).agg(F.sum("_n").alias("_na")).withColumn("_nb", F.lit(0).cast("bigint"))
+        margin_b = cells.groupBy(*by, F.col("_b").alias("_c")).agg(F.lit(0).cast("bigint").alias("_na"), F.sum("_n").alias("_nb"))
+        margins = margin_a.unionByName(margin_b).groupBy(*by, "_c").agg(F.sum("_na").alias("_na"), F.sum("_nb").alias("_nb"))
+        both = F.col("_na").cast("decimal(19,0)") * F.col("_nb").cast("decimal(19,0)")
+        alike = margins.groupBy(*by).agg(F.sum(both).cast("double").alias("alike"))
+        sums = cells.groupBy(*by).agg(F.sum("_n").cast("double").alias("n"), F.sum(F.when(F.col("_a") == F.col("_b"), 0).otherwise(F.col("_n"))).cast("double").alias("seen"))
+        sums = match(sums.withColumn("_all", F.lit(0)), alike.withColumn("_all", F.lit(0)), [*by, "_all"])
+        chance = F.col("n") - F.try_divide("alike", "n")
+    name = "quadratic_kappa" if quadratic else "cohens_kappa"
+    return sums.select(*by, (1 - F.try_divide(F.col("seen"), chance)).alias(name))
 
 
 def mlogloss(df: DataFrame, key: Sequence[str], y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
@@ -72,6 +117,7 @@ def auc(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     Sum over scores of neg * (positives above + pos / 2), over P * N; positives above come from a
     chunked running sum, not from one global sort.
     """
+    df = scored(df, y, pred)
     hist = df.groupBy(*by, pred).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count_if(F.col(y) == 0).alias("_n"))
     cum = running(hist, list(by), [pred], {"_upto": ("sum", F.col("_p"))}, sample=df)
     # positives above = P - upto, so only per-group sums are left to take
@@ -92,7 +138,7 @@ def norm_gini(df: DataFrame, y: str, pred: str, key: Sequence[str], by: Sequence
 
     Needs each row's position by falling prediction and by falling label, both counted in chunks.
     """
-    slim = df.select(*by, *key, F.col(y).alias("_y"), (-F.col(pred)).alias("_np"), (-F.col(y)).alias("_ny"))
+    slim = scored(df, y, pred).select(*by, *key, F.col(y).alias("_y"), (-F.col(pred)).alias("_np"), (-F.col(y)).alias("_ny"))
     by = list(by)
     sums = []
     for order, name in (("_np", "a"), ("_ny", "b")):
@@ -113,7 +159,7 @@ def norm_gini(df: DataFrame, y: str, pred: str, key: Sequence[str], by: Sequence
 
 
 #: Metrics of one prediction per row, by name; those that need more columns are called by themselves.
-BY_NAME = {"r2": r2, "mse": mse_rmse_mae, "rmse": mse_rmse_mae, "mae": mse_rmse_mae, "rmsle": rmsle, "logloss": logloss, "auc": auc, "gini": gini}
+BY_NAME = {"r2": r2, "mse": mse_rmse_mae, "rmse": mse_rmse_mae, "mae": mse_rmse_mae, "rmsle": rmsle, "logloss": logloss, "auc": auc, "gini": gini, "cohens_kappa": kappa, "quadratic_kappa": partial(kappa, quadratic=True)}
 
 
 def metric(name: str) -> tuple[Callable[..., DataFrame], str]:

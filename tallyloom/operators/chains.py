@@ -32,41 +32,70 @@ def link_edges(df: DataFrame, groups: Sequence[Sequence[str]], key: str) -> Data
     return heads.join(targets, "_h").where("src <> dst").select("src", "dst")
 
 
-def chain_paths(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Positions in the chains formed by ``src -> dst`` edges: (chain, node, position).
+def _follow(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
+    """Pointer doubling along the edges until no node is left with a way to go, or for ``rounds`` rounds.
 
-    A node has at most one outgoing and one incoming edge.  Pointer doubling: after round r every
-    node knows its ancestor 2^r steps back, so a chain of length n needs log2(n) joins.  Each round is
-    checkpointed.  Nodes on a cycle never reach a start and are left out once the rounds run out.
+    After round r a node knows the node 2^r steps ahead (``jump``, null behind the end), the smallest label on the way there
+    (``low``), and, of all paths of less than 2^r steps that lead to it from a node without an incoming edge, the longest
+    (``best``: its negative length and its start; of equal lengths the smallest start).
     """
-    nodes = edges.select(F.col("dst").alias("node"), F.col("src").alias("up"), F.lit(1).cast("bigint").alias("steps"))
-    starts = edges.select(F.col("src").alias("node")).join(nodes.select("node"), "node", "left_anti")
-    state = cut_lineage(
-        nodes.unionByName(starts.select("node", F.lit(None).cast(edges.schema["src"].dataType).alias("up"), F.lit(0).cast("bigint").alias("steps")))
-        .withColumn("root", F.when(F.col("up").isNull(), F.col("node")))
-    )
-    last = None
-    for _ in range(max_rounds):
-        open_nodes = state.where("root is null")
-        left = open_nodes.count()
-        if left == 0 or left == last:  # an unfinished chain always shrinks, so only cycles are left
+    first = nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+    begun = first.select("node", F.struct(F.lit(0).cast("bigint").alias("length"), F.col("node").alias("start")).alias("best"))
+    state = nodes.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("jump")), "node", "left")
+    state = cut_lineage(state.withColumn("low", F.col("node")).join(begun, "node", "left"))
+    for r in range(rounds):
+        if state.where("jump is not null").isEmpty():
             break
-        last = left
-        back = state.select(
-            F.col("node").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), F.col("root").alias("_root")
-        )
-        moved = open_nodes.drop("root").join(back, "up").select(
-            "node", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_root").alias("root")
+        ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("low").alias("_low"))
+        longer = F.struct((F.col("best.length") - (1 << r)).alias("length"), F.col("best.start").alias("start"))
+        gained = state.where("jump is not null and best is not null").groupBy(F.col("jump").alias("node")).agg(F.min(longer).alias("_best"))
+        state = cut_lineage(
+            state.join(ahead, "jump", "left").join(gained, "node", "left")
+            .select("node", F.col("_jump").alias("jump"), F.least("low", "_low").alias("low"), F.least("best", "_best").alias("best"))
         )
-        state = cut_lineage(state.where("root is not null").unionByName(moved))
-    return state.where("root is not null").select(F.col("root").alias("chain"), "node", F.col("steps").alias("position"))
+    return state
+
+
+def chain_paths(edges: DataFrame, max_rounds: int = 62) -> DataFrame:
+    """Every node of ``src -> dst`` edges with its chain: (chain, node, position, cycle, overlapped).
+
+    A node has at most one outgoing edge; several edges may lead to it.  A chain begins at a node without an incoming edge and
+    is named after it; where chains meet, what follows belongs to the longest of them (of equal ones the one with the
+    smallest start), and the others end there and are ``overlapped``.  Nodes on a cycle form a chain of their own that starts at
+    the smallest of them, with ``cycle`` set; a chain that runs into a cycle ends there, overlapped.
+
+    Pointer doubling: a chain of n nodes takes log2(n) rounds of joins, each checkpointed.  A walk that has not ended after as
+    many steps as there are nodes is on a cycle; only then the edges are cut at the cycles and followed again.
+    """
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    nodes = cut_lineage(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    rounds = max(1, nodes.count().bit_length())
+    if rounds > max_rounds:
+        raise ValueError(f"chains of up to 2^{rounds} nodes need more than {max_rounds} rounds")
+    state = _follow(edges, nodes, rounds)
+    # whoever is still on its way stands on a cycle by now: the nodes of all cycles, each with its smallest label
+    rings = state.where("jump is not null").select(F.col("jump").alias("node")).distinct().join(state.select("node", "low"), "node")
+    cut = edges
+    if not rings.isEmpty():
+        rings = cut_lineage(rings)
+        into = rings.select(F.col("node").alias("dst"), F.col("low").alias("_low"))
+        inside = rings.select(F.col("node").alias("src"), F.lit(True).alias("_inside"))
+        known = edges.join(into, "dst", "left").join(inside, "src", "left")
+        cut = known.where("_low is null or (_inside and dst <> _low)").select("src", "dst")
+        state = _follow(cut, nodes, rounds)
+    placed = state.select("node", F.col("best.start").alias("chain"), (-F.col("best.length")).alias("position"))
+    here = placed.select(F.col("node").alias("src"), F.col("chain").alias("_from"))
+    there = placed.select(F.col("node").alias("dst"), F.col("chain").alias("_to"))
+    ended = edges.join(here, "src").join(there, "dst").where("_from <> _to").select(F.col("_from").alias("chain"), F.lit(True).alias("_overlapped")).distinct()
+    out = placed.join(rings.select("node", F.lit(True).alias("_cycle")), "node", "left").join(ended, "chain", "left")
+    return out.select("chain", "node", "position", F.coalesce("_cycle", F.lit(False)).alias("cycle"), F.coalesce("_overlapped", F.lit(False)).alias("overlapped"))
 
 
 def column_chains(df: DataFrame, key: str, cols: Sequence[str], min_len: int = 40, max_rows: int = 1000) -> DataFrame:
-    """Chains among columns: transpose, link and follow, keeping chains of at least ``min_len`` nodes."""
+    """Chains among columns (chain, node, position): transpose, link and follow, keeping chains of at least ``min_len`` nodes that none overlaps."""
     turned = transpose(df, key, cols, max_rows)
     rows = [str(v) for v in levels(df, key, max_rows)]
-    found = chain_paths(link_edges(turned, [rows], "column"))
+    found = chain_paths(link_edges(turned, [rows], "column")).where("not overlapped").select("chain", "node", "position")
     long = found.groupBy("chain").count().where(F.col("count") >= min_len).select("chain")
     return found.join(long, "chain", "left_semi")
 

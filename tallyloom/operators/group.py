@@ -7,12 +7,14 @@ key back; windows over whole groups are not used.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.core import attach, match, small_keys, stat, with_scalars
+from tallyloom.core import attach, match, small_keys, small_rows, stat, stored, with_scalars
 from tallyloom.ordered import quantiles
 from tallyloom.spec import Fitted, in_scope
 
@@ -76,12 +78,58 @@ def group_nunique(df: DataFrame, keys: Sequence[str], cols: Sequence[str], scope
     return attach(df, stats, keys, small=small_keys(source, [keys], len(cols))[tuple(keys)])
 
 
+@dataclass(frozen=True)
+class KeyCounts:
+    """Row counts of several key sets, taken in one pass: ``table`` has the keys, ``_n``, and ``_set``, the number of the set.
+
+    Null keys are levels of their own here; they match no row when a table is joined.
+    """
+
+    table: DataFrame
+    sets: list[tuple[str, ...]]
+    small: dict[tuple[str, ...], bool]
+
+    def of(self, keys: Sequence[str]) -> DataFrame:
+        """``keys`` and ``_n`` of one key set, summed up from a larger set where it was not counted itself."""
+        keys = list(keys)
+        for i, own in enumerate(self.sets):
+            if set(own) == set(keys):
+                return self.table.where(F.col("_set") == i).select(*keys, "_n")
+        return self.above(keys).groupBy(*keys).agg(F.sum("_n").alias("_n"))
+
+    def above(self, keys: Sequence[str]) -> DataFrame:
+        """The counts of a set that holds ``keys``."""
+        i, own = next((i, s) for i, s in enumerate(self.sets) if set(keys) <= set(s))
+        return self.table.where(F.col("_set") == i).select(*own, "_n")
+
+    def fits(self, keys: Sequence[str]) -> bool:
+        """Whether a table of these keys is small enough to broadcast; one of fewer keys is no longer."""
+        return any(small for own, small in self.small.items() if set(keys) <= set(own))
+
+
+def count_keys(source: DataFrame, key_sets: Sequence[Sequence[str]]) -> KeyCounts:
+    """Count the rows of all key sets with one expand and one shuffle of the facts.
+
+    Sets that lie inside another one are not expanded: they are sums over its groups.  The counts are stored, and their real
+    sizes, not estimates, decide which of them may be broadcast.
+    """
+    wanted = [tuple(dict.fromkeys(k)) for k in key_sets]
+    top = [k for i, k in enumerate(wanted) if not any(set(k) < set(o) or (set(k) == set(o) and j < i) for j, o in enumerate(wanted))]
+    cols = list(dict.fromkeys(c for k in top for c in k))
+    # grouping_id has a bit per column, the first one highest, that is set where the column is not in the set
+    ids = {sum(1 << (len(cols) - 1 - n) for n, c in enumerate(cols) if c not in k): i for i, k in enumerate(top)}
+    grouped = source.select(*cols).groupingSets([list(k) for k in top], *cols).agg(F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_id"))
+    number = reduce(lambda when, pair: when.when(F.col("_id") == pair[0], pair[1]), ids.items(), F.when(F.lit(False), -1))
+    table = stored(grouped.select(*cols, "_n", number.alias("_set")), "key-counts")
+    return KeyCounts(table, top, small_rows(table, "_set", top))
+
+
 def _counted(df: DataFrame, key_sets: dict[str, Sequence[str]], source: DataFrame) -> DataFrame:
-    """Add one count column per key set; all key sets are measured in one pass."""
-    small = small_keys(source, list(key_sets.values()), 1)
+    """Add one count column per key set; all key sets are counted in one pass."""
+    counts = count_keys(source, list(key_sets.values()))
     for name, keys in key_sets.items():
-        stats = source.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-        df = attach(df, stats, keys, small=small[tuple(keys)]).withColumn(name, F.coalesce(name, F.lit(0)))
+        stats = counts.of(keys).withColumnRenamed("_n", name)
+        df = attach(df, stats, keys, small=counts.fits(keys)).withColumn(name, F.coalesce(name, F.lit(0)))
     return df
 
 
@@ -152,22 +200,93 @@ def log_count(df: DataFrame, cols: Sequence[str], scope: str = "all", source: Da
     return counted.withColumns({f"{c}_log_count": F.log1p(F.col(f"{c}_log_count").cast("double")) for c in cols})
 
 
+def _shares(counts: KeyCounts, key: str, resource: str) -> DataFrame:
+    """count(key, resource) / count(key) per pair; the key's own count is summed up from its pairs."""
+    pairs = counts.of([key, resource])
+    owners = pairs.groupBy(key).agg(F.sum("_n").alias("_own"))
+    return match(pairs, owners, [key], "inner").select(key, resource, F.try_divide(F.col("_n").cast("double"), F.col("_own")).alias(f"{key}_{resource}_share"))
+
+
 def usage_share(df: DataFrame, keys: Sequence[str], resource: str, scope: str = "all", source: DataFrame | None = None) -> DataFrame:
     """count(key, resource) / count(key) for each key column; unseen pairs get 0.
 
-    Key counts are rolled up from the pair counts, so the facts are aggregated once per key.
+    All pairs are counted in one pass; key counts are rolled up from them.
     """
-    source = in_scope(df, scope, source)
-    small = small_keys(source, [[k, resource] for k in keys], 1)
+    counts = count_keys(in_scope(df, scope, source), [[k, resource] for k in keys])
     for k in keys:
-        pairs = source.groupBy(k, resource).agg(F.count(F.lit(1)).alias("_pair"))
-        owners = pairs.groupBy(k).agg(F.sum("_pair").alias("_own"))
-        shares = pairs.join(owners, k).select(k, resource, F.try_divide(F.col("_pair").cast("double"), F.col("_own")).alias("_share"))
-        df = attach(df, shares, [k, resource], small=small[(k, resource)])
-        df = df.withColumn(f"{k}_{resource}_share", F.coalesce("_share", F.lit(0.0))).drop("_share")
+        name = f"{k}_{resource}_share"
+        df = attach(df, _shares(counts, k, resource), [k, resource], small=counts.fits([k, resource])).withColumn(name, F.coalesce(name, F.lit(0.0)))
     return df
 
 
+def access_pack(df: DataFrame, cats: Sequence[str], resource: str, scope: str = "all", source: DataFrame | None = None) -> DataFrame:
+    """:func:`log_count`, :func:`usage_share`, :func:`group_nunique` and :func:`crosstab_encode` of all columns from one pass.
+
+    The facts are expanded to the pairs of columns once; everything else is summed up from the pair counts.  Columns that
+    would hold one value on all rows in scope are found on the counts and never joined.
+    """
+    source = in_scope(df, scope, source)
+    counts = count_keys(source, [list(p) for p in combinations(cats, 2)] if len(cats) > 1 else [list(cats)])
+    tables: dict[tuple[str, ...], tuple[DataFrame, dict]] = {}
+    for a, b in combinations(cats, 2):
+        n = f"{a}_{b}_n"
+        table = counts.of([a, b]).select(a, b, F.col("_n").alias(n), F.log1p(F.col("_n").cast("double")).alias(f"{a}_{b}_log"))
+        fills = {n: 0, f"{a}_{b}_log": 0.0}
+        if resource in (a, b):
+            key = a if b == resource else b
+            table = match(table, _shares(counts, key, resource), [a, b])
+            fills[f"{key}_{resource}_share"] = 0.0
+        tables[a, b] = (table, fills)
+    for c in cats:
+        above = counts.above([c])
+        aggs, fills = [F.log1p(F.sum("_n").cast("double")).alias(f"{c}_log_count")], {f"{c}_log_count": 0.0}
+        if c != resource:
+            above = counts.of([c, resource])
+            aggs.append(F.count(resource).alias(_name(resource, c, "nunique")))
+            fills[_name(resource, c, "nunique")] = None
+        tables[(c,)] = (above.groupBy(c).agg(*aggs), fills)
+    constant = _constant(counts, cats, resource)
+    for keys, (table, fills) in tables.items():
+        kept = [f for f in fills if f not in constant]
+        if kept:
+            df = attach(df, table.select(*keys, *kept), keys, small=counts.fits(keys))
+            df = df.withColumns({f: F.coalesce(f, F.lit(fills[f])) for f in kept if fills[f] is not None})
+    return df
+
+
+def _constant(counts: KeyCounts, cats: Sequence[str], resource: str) -> set[str]:
+    """Features of :func:`access_pack` with one non-null value over the counted rows, from two aggregations of the counts.
+
+    Rows with a null key, or with a null resource in a share, hold 0.
+    """
+
+    def one(low: Column, high: Column) -> Column:
+        return F.min(low).eqNullSafe(F.max(high)) & (F.count(low) > 0)
+
+    unkeyed = reduce(lambda w, i: w.when(F.col("_set") == i, reduce(lambda a, b: a | b, [F.col(k).isNull() for k in counts.sets[i]])), range(len(counts.sets)), F.when(F.lit(False), True))
+    n = F.when(unkeyed, 0).otherwise(F.col("_n"))
+    same_pairs = [counts.sets[r["_set"]] for r in counts.table.groupBy("_set").agg(one(n, n).alias("same")).where("same").collect()]
+    out = {f"{a}_{b}_{kind}" for a, b in combinations(cats, 2) if (a, b) in same_pairs for kind in ("n", "log")}
+    parts = []
+    for c in cats:
+        above = counts.above([c]) if c == resource else counts.of([c, resource])
+        other = next((k for k in above.columns if k not in (c, "_n")), c)
+        parts.append(above.select(F.lit(c).alias("c"), F.col(c).cast("string").alias("k"), F.col(other).isNotNull().alias("known"), "_n"))
+    known = F.when(F.col("known"), F.col("_n"))
+    per = reduce(DataFrame.union, parts).groupBy("c", "k").agg(
+        F.sum("_n").alias("own"), F.min(known).alias("low"), F.max(known).alias("high"), F.count_if("known").alias("met"), F.count_if(~F.col("known")).alias("unmet")
+    )
+    null = F.col("k").isNull()
+    own = F.when(null, 0).otherwise(F.col("own"))
+    least, most = (F.when(null, 0.0).otherwise(F.try_divide(F.col(x).cast("double"), F.col("own"))) for x in ("low", "high"))
+    least = F.when(null | (F.col("unmet") > 0), 0.0).otherwise(least)
+    met = F.when(~null, F.col("met"))
+    for r in per.groupBy("c").agg(one(own, own).alias("log"), one(least, F.coalesce(most, F.lit(0.0))).alias("share"), one(met, met).alias("met")).collect():
+        names = {"log": f"{r['c']}_log_count"} | ({} if r["c"] == resource else {"share": f"{r['c']}_{resource}_share", "met": _name(resource, r["c"], "nunique")})
+        out |= {name for flag, name in names.items() if r[flag]}
+    return out
+
+
 def first_seen(df: DataFrame, keys: Sequence[str], period: str) -> DataFrame:
     """First period of each key and its offset to the first period of all."""
     stats = df.groupBy(*keys).agg(F.min(period).alias("first_seen"))
@@ -192,14 +311,8 @@ def filtered_count_ratio(df: DataFrame, key: str, predicate: Column, denom: str,
 
 def crosstab_encode(df: DataFrame, cols: Sequence[str], scope: str = "all", source: DataFrame | None = None) -> DataFrame:
     """Count and ln(count + 1) of each unordered pair of columns, on every row; unseen pairs get 0."""
-    pairs = [list(p) for p in combinations(cols, 2)]
-    source = in_scope(df, scope, source)
-    small = small_keys(source, pairs, 1)
-    for a, b in pairs:
-        n = f"{a}_{b}_n"
-        table = source.groupBy(a, b).agg(F.count(F.lit(1)).alias(n))
-        df = attach(df, table, [a, b], small=small[(a, b)])
-        df = df.withColumn(n, F.coalesce(n, F.lit(0)))
+    pairs = list(combinations(cols, 2))
+    df = _counted(df, {f"{a}_{b}_n": [a, b] for a, b in pairs}, in_scope(df, scope, source))
     return df.withColumns({f"{a}_{b}_log": F.log1p(F.col(f"{a}_{b}_n").cast("double")) for a, b in pairs})
 
 

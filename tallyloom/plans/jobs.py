@@ -64,13 +64,7 @@ def demand_grid(grid: DataFrame, weekly: DataFrame, key_sets: Sequence[Sequence[
 
 def access_counts(df: DataFrame, cats: Sequence[str], resource: str, scope: str = "all") -> DataFrame:
     """All-categorical rows: log counts, shares of a resource, distinct resources, pair counts."""
-    owners = [c for c in cats if c != resource]
-    out = group.log_count(df, cats, scope, df)
-    out = group.usage_share(out, owners, resource, scope, df)
-    for c in owners:
-        out = group.group_nunique(out, [c], [resource], scope, df)
-    out = group.crosstab_encode(out, cats, scope, df)
-    return profile.drop_constant(out, scope, [c for c in out.columns if c.endswith(("_log", "_n", "_share", "_nunique"))])
+    return group.access_pack(df, cats, resource, scope, df)
 
 
 def uniqueness(df: DataFrame, cols: Sequence[str], y: str, key: str, scope: str = "all") -> DataFrame:
@@ -119,7 +113,7 @@ def property_clean(df: DataFrame, scope: str = "all") -> DataFrame:
 
 def chain_lookup(df: DataFrame, series: Sequence[str], key: str, offsets: Sequence[int]) -> DataFrame:
     """Rows that continue each other: chain number and position, values read along the chain, row statistics."""
-    path = chains.chain_paths(chains.link_edges(df, [series], key)).withColumnRenamed("node", key)
+    path = chains.chain_paths(chains.link_edges(df, [series], key)).select("chain", F.col("node").alias(key), "position")
     out = chains.offset_lookup(df, [series], key, offsets)
     out = rowwise.first_last_nonzero(rowwise.log_mean(rowwise.nonzero_stats(out, {"all": series}), series), series)
     return relate.left_join(out, path, [key])
