@@ -26,8 +26,8 @@ from tallyloom.llm.common import store, top_rows
 LONGEST, LEAST, TOP = 3, 10, 2000
 COVER = 50  # a phrase is dropped where a longer one around it has at least so many hundredths of its count
 #: Suffixes of a group, counted with repeats: what the subtree of one task may hold.
-BUDGET = 2_000_000
-CHUNK_BYTES = 1 << 23  # text whose suffixes are counted together before they leave the task
+BUDGET = 1_000_000
+CHUNK_BYTES = 1 << 22  # text whose suffixes are counted together before they leave the task
 SALTS = 8  # parts of a join key
 #: Everything that ends a piece, mapped to a full stop; tabs to spaces.  ``bytes.lower`` lowers A-Z only.
 ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"......... ")
