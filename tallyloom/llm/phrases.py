@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ LONGEST, LEAST, TOP = 3, 10, 2000
 COVER = 50  # a phrase is dropped where a longer one around it has at least so many hundredths of its count
 #: Suffixes of a group, counted with repeats: what the subtree of one task may hold.
 BUDGET = 1_000_000
-CHUNK_BYTES = 1 << 22  # text whose suffixes are counted together before they leave the task
+CHUNK_BYTES = 1 << 23  # text whose suffixes are counted together before they leave the task
 SALTS = 8  # parts of a join key
 #: Everything that ends a piece, mapped to a full stop; tabs to spaces.  ``bytes.lower`` lowers A-Z only.
 ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"......... ")
@@ -72,9 +73,37 @@ class Suffixes:
         self.rows = np.stack(columns, 1)[first]
 
     def strings(self, rows: np.ndarray, depth: int) -> pa.Array:
-        """The first ``depth`` words of ``rows``, joined by spaces."""
-        words = [self.vocabulary.take(pa.array(rows[:, d])) for d in range(depth)]
-        return pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary()))
+        """The first ``depth`` words of ``rows``, or as many as they have, joined by spaces."""
+        words = [self.vocabulary.take(pa.array(rows[:, d], mask=rows[:, d] < 0)) for d in range(depth)]
+        return pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary()), null_handling="skip")
+
+
+def packed(texts: pa.Array, times: np.ndarray, depth: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Strings with their counts and depths, cut at ``edges``, each part compressed on its own."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    body, sizes, press = memoryview(texts.buffers()[2] or b""), np.diff(offsets), zstandard.ZstdCompressor(level=1)
+    out = []
+    for low, high in zip(edges[:-1], edges[1:]):
+        numbers = sizes[low:high].tobytes() + times[low:high].tobytes() + depth[low:high].tobytes()
+        out.append(press.compress(b"".join((int(high - low).to_bytes(4, "little"), numbers, body[offsets[low] : offsets[high]]))))
+    return out
+
+
+def unpacked(parts: list[bytes], langs: list[str]) -> pa.Table:
+    """The rows of :func:`packed` parts: ``lang``, ``phrase``, ``n``, ``depth``."""
+    press, sizes, times, depth, bodies = zstandard.ZstdDecompressor(), [], [], [], []
+    for part in parts:
+        raw = press.decompress(part)
+        k = int.from_bytes(raw[:4], "little")
+        sizes.append(np.frombuffer(raw, np.int32, k, 4))
+        times.append(np.frombuffer(raw, np.int64, k, 4 + 4 * k))
+        depth.append(np.frombuffer(raw, np.int8, k, 4 + 12 * k))
+        bodies.append(raw[4 + 13 * k :])
+    names = sorted(set(langs))
+    lang = np.repeat(np.array([names.index(k) for k in langs], np.int32), [len(s) for s in sizes])
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+    phrase = pa.Array.from_buffers(pa.large_binary(), len(lang), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(bodies))])
+    return pa.table([pa.DictionaryArray.from_arrays(pa.array(lang), names).cast(pa.string()), phrase, pa.array(np.concatenate(times)), pa.array(np.concatenate(depth))], names=["lang", "phrase", "n", "depth"])
 
 
 def chunks(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[str, Suffixes]]:
@@ -123,8 +152,6 @@ def subtrees(texts: DataFrame, hot: set[tuple[str, bytes]], groups: int, longest
 
     A chunk sends each group its suffixes as one compressed table, so copies of a suffix are added before the shuffle.
     """
-    names = [f"w{d}" for d in range(longest)]
-
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, found in chunks(batches, longest):
             keep = found.rows[:, 1] >= 0
@@ -148,31 +175,23 @@ def subtrees(texts: DataFrame, hot: set[tuple[str, bytes]], groups: int, longest
             order = np.argsort(group, kind="stable")
             rows, times, depth, group = rows[order], times[order], depth[order], group[order]
             edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-            blobs = []
-            for low, high in zip(edges[:-1], edges[1:]):
-                part = rows[low:high]
-                words = [found.vocabulary.take(pa.array(part[:, d], mask=part[:, d] < 0)) for d in range(longest)]
-                table = pa.table([*words, pa.array(times[low:high].astype(np.int64)), pa.array(depth[low:high])], names=[*names, "n", "depth"])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_table(table)
-                blobs.append(sink.getvalue().to_pybytes())
-            at = edges[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(group[at]), pa.array([lang] * len(at), pa.string()), pa.array(blobs, pa.binary())], names=["group", "lang", "suffixes"])
+            blobs = packed(found.strings(rows, longest), times.astype(np.int64), depth, edges)
+            yield pa.RecordBatch.from_arrays([pa.array(group[edges[:-1]]), pa.array([lang] * len(blobs), pa.string()), pa.array(blobs, pa.binary())], names=["group", "lang", "suffixes"])
 
     def build(group: pa.Table) -> pa.Table:
-        tables = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in group.column("suffixes")]
-        langs = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(t.num_rows, np.int32)), pa.array([k])) for t, k in zip(tables, group.column("lang").to_pylist())]
-        every = pa.concat_tables([t.append_column("lang", k.cast(pa.string())) for t, k in zip(tables, langs)])
-        leaves = every.group_by(["lang", *names, "depth"]).aggregate([("n", "sum")]).rename_columns(["lang", *names, "depth", "n"])
+        every = unpacked(group.column("suffixes").to_pylist(), group.column("lang").to_pylist())
+        leaves = every.group_by(["lang", "phrase", "depth"]).aggregate([("n", "sum")])
+        words = pc.split_pattern(leaves["phrase"], " ")
+        length = pc.list_value_length(words)
         out = []
         for d in range(2, longest + 1):
             # a node above the prefix of its leaves lies in several groups; its count was taken with the prefixes
-            below = leaves.filter(pc.and_(pc.is_valid(leaves[names[d - 1]]), pc.less_equal(leaves["depth"], d)))
-            nodes = below.group_by(["lang", *names[:d]]).aggregate([("n", "sum")])
-            nodes = nodes.filter(pc.greater_equal(nodes["n_sum"], least))
-            phrase = pc.binary_join_element_wise(*[nodes[c] for c in names[:d]], pa.scalar(b" ", pa.binary())).cast(pa.string())
-            out.append(pa.table([nodes["lang"], phrase, nodes["n_sum"]], names=["lang", "phrase", "n"]))
+            below = pc.and_(pc.greater_equal(length, d), pc.less_equal(leaves["depth"], d))
+            phrase = pc.binary_join(pc.list_slice(words.filter(below), 0, d), pa.scalar(b" ", pa.large_binary()))
+            nodes = pa.table([leaves["lang"].filter(below), phrase, leaves["n_sum"].filter(below)], names=["lang", "phrase", "n"])
+            nodes = nodes.group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
+            nodes = nodes.filter(pc.greater_equal(nodes["n"], least))
+            out.append(nodes.set_column(1, "phrase", nodes["phrase"].cast(pa.large_string()).cast(pa.string())))
         return pa.concat_tables(out)
 
     runs = texts.mapInArrow(scatter, "group long, lang string, suffixes binary")
