@@ -1,8 +1,8 @@
 """Main text of web pages by a tree-structured graphical model.
 
 The block elements of a page are the nodes of a tree; each is content or boilerplate.  A node's own potential comes
-from its tag, its class and id names, and the length and link share of its text; a potential on every edge
-couples parent and child.  Sum-product messages go up and down the tree once and give each node's
+from its tag, its class and id names, the length and link share of its text, and its place on the page; a potential on
+every edge couples parent and child.  Sum-product messages go up and down the tree once and give each node's
 marginal exactly.  The weights are fitted on labelled pages by gradient ascent on the likelihood, whose gradient
 needs the same messages.
 """
@@ -28,15 +28,19 @@ BLOCKS = frozenset(
 HIDDEN = frozenset(("script", "style", "head", "title", "noscript", "template", "iframe", "object", "svg", "canvas"))  # never text of a page
 VOID = frozenset(("hr",))
 ENDS_P = BLOCKS - {"label", "button", "select", "option", "iframe", "object", "video", "audio", "canvas", "svg", "noscript", "template"}
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that the next of their kind ends, by kind, unless an element in ``SCOPES`` stands between.
+KIND = {"p": 0, "li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
+NONE = (-1,) * 6
 SCOPES = {"ul", "ol", "dl", "table", "select", "div", "section", "article", "main", "body"}
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|"
-    r"<svg(?=[\s/])(?:\"[^\"]*\"|'[^']*'|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)|[^>\"'=/]|/(?!>))*+/>|"  # empty; a slash in an unquoted value closes nothing
-    r"<(script|style|textarea|noscript|template|svg|iframe)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+#: Elements skipped with all they hold; without an end tag the first four take the rest of the page, the others nothing.
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "textarea", "iframe", "noscript", "template", "svg")}
+SWALLOWS = ("script", "style", "textarea", "iframe")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+ATTRIBUTES = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+")  # quotes count directly behind an equals sign only
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Blocks that make up running text; they repeat without being a list of anything.
+PLAIN = frozenset("p li h1 h2 h3 h4 h5 h6 tr td th dt dd blockquote pre thead tbody tfoot figure figcaption caption hr option".split())
+CORE = 0.6  # the core of a page is reached by going down while one child holds this share of the unlinked text
 LABEL = re.compile(r"data-y=['\"]?([01])")
 PARTS = re.compile(r"[a-z]+")
 STEPS, RATE, DECAY = 150, 0.5, 1e-3
@@ -53,15 +57,31 @@ class Page:
     segments: list[tuple[int, str]]  # node, text; in page order
 
 
+def self_closed(attributes: str) -> bool:
+    """Whether a tag ends in a slash that is not the end of an unquoted value."""
+    if not attributes.endswith("/"):
+        return False
+    start = len(attributes) - 1
+    while start and attributes[start - 1] not in " \t\r\n\f\"'":
+        start -= 1
+    return "=" not in attributes[start:] and not attributes[:start].rstrip().endswith("=")
+
+
 def parse(source: str | None) -> Page:
-    """Block tree of a page.  Inline tags vanish, ``br`` is white space, end tags without a start are ignored, and
-    unclosed elements end with their parent or, like ``p`` and ``li``, with the next of their kind."""
+    """Block tree of a page, in one pass whose time is proportional to the page's length.
+
+    Inline tags vanish, ``br`` is white space, end tags without a start are ignored, and unclosed elements end with their
+    parent or, like ``p`` and ``li``, with the next of their kind.  A tag whose end is missing because of a quote ends at
+    the first ``>``, and so do all later ones; without any ``>`` it is text.
+    """
     page = Page([-1], [0], ["#page"], [""], [0], [0], [])
-    stack, pieces, in_link, at = [0], [], 0, 0
+    stack, near, pieces, in_link = [0], [NONE], [], 0
+    opened: dict[str, int] = {}
     source = source or ""
 
-    def text(raw: str) -> None:
-        if raw:
+    def text(low: int, high: int) -> None:
+        if low < high:
+            raw = source[low:high]
             raw = references.unescape(raw) if "&" in raw else raw
             pieces.append(raw)
             n = len(raw) - raw.count(" ")
@@ -78,53 +98,82 @@ def parse(source: str | None) -> Page:
     def close(depth: int) -> None:
         nonlocal in_link
         flush()
-        del stack[depth:]
+        for i in stack[depth:]:
+            opened[page.tag[i]] -= 1
+        del stack[depth:], near[depth:]
         in_link = 0
 
-    for m in TOKEN.finditer(source):
-        text(source[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+    last, size = source.rfind(">"), len(source)
+    at = shown = 0  # where to look for the next tag, and what text is not taken yet
+    blunt, endless = False, set()
+    while (low := source.find("<", at)) >= 0 and low < last:
+        m = TAG.match(source, low)
+        if m is None:
+            if source.startswith("<!--", low):
+                high = source.find("-->", low + 4)
+                high = size if high < 0 else high + 3
+            elif source[low + 1] in "!?":
+                high = source.find(">", low) + 1
+            else:  # a bare sign
+                at = low + 1
+                continue
+            text(shown, low)
+            at = shown = high
+            continue
+        high = size if blunt else ATTRIBUTES.match(source, m.end()).end()
+        if high >= size:
+            blunt = True
+            high = source.find(">", m.end())
+        text(shown, low)
+        at = shown = high + 1
+        tag, attributes, ends = m[2].lower(), source[m.end() : high], bool(m[1])
+        if tag in RAW and not ends:
+            if tag == "svg" and self_closed(attributes):
+                continue
+            stop = None if tag in endless else RAW[tag].search(source, at)
+            if stop is not None:
+                high = source.find(">", stop.end())
+                at = shown = size if high < 0 else high + 1
+            else:
+                endless.add(tag)
+                if tag in SWALLOWS:
+                    at = shown = size
             continue
-        tag = tag.lower()
         if tag not in BLOCKS:
             if tag == "br":
                 pieces.append(" ")
             elif tag == "a":
-                in_link = 0 if m[2] else 1
+                in_link = 0 if ends else 1
             continue
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[i]] == tag:
-                    close(i)
-                    break
+        if ends:
+            if opened.get(tag):
+                i = len(stack) - 1
+                while page.tag[stack[i]] != tag:
+                    i -= 1
+                close(i)
             continue
         flush()
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[i]] == "p":
-                    close(i)
-                    break
-                if page.tag[stack[i]] in SCOPES:
-                    break
-        if tag in SIBLINGS:
-            for i in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[i]] in SIBLINGS[tag]:
-                    close(i)
-                    if tag != "tr" or page.tag[stack[-1]] != "tr":
-                        break
-                elif page.tag[stack[i]] in SCOPES:
-                    break
+        if tag in ENDS_P and near[-1][0] >= 0:
+            close(near[-1][0])
+        kind = KIND.get(tag, 0)
+        if kind == 3:  # a row ends the row before it, or a cell without a row
+            before = near[-1][3] if near[-1][3] >= 0 else near[-1][4]
+        else:
+            before = near[-1][kind] if kind else -1
+        if before >= 0:
+            close(before)
         page.parent.append(stack[-1])
         page.depth.append(len(stack))
         page.tag.append(tag)
-        page.attributes.append(m[4])
+        page.attributes.append(attributes)
         page.chars.append(0)
         page.linked.append(0)
         if tag not in VOID:
+            around = NONE if tag in SCOPES else near[-1]
+            near.append((*around[: KIND[tag]], len(stack), *around[KIND[tag] + 1 :]) if tag in KIND else around)
             stack.append(len(page.parent) - 1)
-    text(source[at:])
+            opened[tag] = opened.get(tag, 0) + 1
+    text(shown, size)
     flush()
     return page
 
@@ -139,9 +188,71 @@ def names(page: Page, i: int) -> list[str]:
 
 
 def amounts(page: Page) -> np.ndarray:
-    """Numbers of every node: a constant, text length, link share, and what kind of length it is."""
-    chars, linked = np.array(page.chars, float), np.array(page.linked, float)
-    return np.stack([np.ones(len(chars)), np.log1p(chars) / 4, linked / np.maximum(chars, 1), (chars > 80) * 1.0, (chars == 0) * 1.0], axis=1)
+    """Numbers of every node that do not depend on names.
+
+    Of its own text: length, link share, what kind of length.  Of all text below it: share of the page, link share, length
+    per block, where on the page it begins and ends.  Of its place: inside, above, before or behind the core of the page and the
+    ``article`` or ``main`` elements, and whether its siblings, or its children, repeat one shape.
+    """
+    n = len(page.parent)
+    own, linked = np.array(page.chars, float), np.array(page.linked, float)
+    below, below_linked, blocks, size = own.tolist(), linked.tolist(), [1.0] * n, [1] * n
+    shape: list[set[str]] = [set() for _ in range(n)]
+    for i in range(n - 1, 0, -1):
+        p = page.parent[i]
+        below[p] += below[i]
+        below_linked[p] += below_linked[i]
+        blocks[p] += blocks[i]
+        size[p] += size[i]
+        shape[p].add(page.tag[i])
+    kids: list[list[int]] = [[] for _ in range(n)]
+    for i in range(1, n):
+        kids[page.parent[i]].append(i)
+    plain = [b - l for b, l in zip(below, below_linked)]
+    core = 0
+    while True:
+        best = max((k for k in kids[core] if page.tag[k] not in PLAIN), key=lambda k: plain[k], default=None)
+        if best is None or plain[best] < CORE * plain[core] or not plain[best]:
+            break
+        core = best
+    mains = [i for i in range(n) if page.tag[i] in ("article", "main")]
+    repeats, holds = np.zeros(n), np.zeros(n)
+    for p in range(n):
+        seen: dict[tuple, list[int]] = {}
+        for k in kids[p]:
+            if page.tag[k] not in PLAIN:
+                seen.setdefault((page.tag[k], frozenset(shape[k])), []).append(k)
+        for alike in seen.values():
+            if len(alike) > 1:
+                repeats[alike] = 1
+                holds[p] = 1
+
+    def place(roots: list[int]) -> list[np.ndarray]:
+        """Inside, above, and behind any of some nodes; zeros without any."""
+        inside, above, behind = np.zeros(n), np.zeros(n), np.zeros(n)
+        for r in roots:
+            if inside[r]:
+                continue
+            inside[r : r + size[r]] = 1
+            behind[r + size[r] :] = 1
+            while (r := page.parent[r]) >= 0 and not above[r]:
+                above[r] = 1
+        return [inside, above * (1 - inside), behind * (1 - inside)]
+
+    total = max(below[0], 1.0)
+    below, below_linked, blocks = np.array(below), np.array(below_linked), np.array(blocks)
+    begins = (np.cumsum(own) - own) / total
+    share = below / total
+    there = np.full(n, float(bool(mains)))
+    in_core, in_main = place([core]), place(mains[:50])
+    return np.stack(
+        [
+            np.ones(n), np.log1p(own) / 4, linked / np.maximum(own, 1), (own > 80) * 1.0, (own == 0) * 1.0,
+            share, below_linked / np.maximum(below, 1), (below_linked > 0.5 * below) * 1.0, np.log1p(below) / 6, np.log1p(below / blocks) / 5, begins, begins + share,
+            *in_core, *in_main, there * (1 - in_main[0]) * (1 - in_main[1]), repeats, holds, repeats * in_core[2], repeats * in_core[0],
+        ],
+        axis=1,
+    )
 
 
 def sum_product(parent: np.ndarray, depth: np.ndarray, own: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

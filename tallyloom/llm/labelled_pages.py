@@ -1,12 +1,14 @@
 """Labelled pages for the extraction model, made from a seed.
 
 Every page is written with its labels: ``data-y="1"`` opens content, ``data-y="0"`` opens boilerplate, and what stands
-inside belongs to it.  Layouts, order, lengths, tags, class names and unclosed tags vary; words are made up.
+inside belongs to it.  Layouts, order, lengths, tags, class names and unclosed tags vary; six pages in ten have no names or
+names that say nothing, so that text, links, place and repeated shapes have to tell.  Words are made up.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
 CONTENT = ["article", "main", "section", "div class='post'", "div class='content'", "div class='entry-content'", "div id='story'", "div class='article-body'", "article class='post'", "div class='text'", "div"]
 BOXES = [
@@ -14,6 +16,7 @@ BOXES = [
     "share", "social", "breadcrumb", "breadcrumbs", "menu", "navbar", "nav", "navigation", "newsletter", "subscribe", "login", "signup", "search", "pagination", "pager", "tags", "legal", "copyright",
     "header", "masthead", "footer", "site-footer", "toolbar", "disclaimer", "comments", "comment", "replies", "reviews", "paywall",
 ]
+NAME = re.compile(r" (class|id)='[^']*'")
 TAGS = ["nav", "header", "footer", "aside", "form", "section", "div", "ul", "menu", "dialog"]
 
 
@@ -50,9 +53,25 @@ def page(rng: random.Random) -> str:
     def form() -> str:
         return f"<form data-y='0'><label>{words(1, 4)}</label><input><select><option>{words(1, 2)}</option></select><button>{words(1, 2)}</button><p>{words(2, 12)}</p></form>"
 
+    def comment() -> str:
+        author = rng.choice([f"<b>{words(1, 2)}</b>", f"<div>{words(1, 2)}</div>", f"<span>{words(1, 2)}</span> <time>{words(1, 3)}</time>", f"<h4>{words(1, 2)}</h4>", ""])
+        said = rng.choice([f"<p>{paragraph()}</p>", f"<div>{paragraph()}</div>", f"<p>{sentence(3, 25)}</p><p>{sentence(3, 25)}</p>", sentence(4, 30)])
+        return author + said + rng.choice(["", "", f"<a href='#'>{words(1, 1)}</a>"])
+
     def comments() -> str:
-        inner = "".join(rng.choice([f"<div class='comment'><p>{paragraph()}</p></div>", f"<li class='comment'><p>{sentence(4, 30)}</p></li>", f"<p>{paragraph()}</p>"]) for _ in range(rng.randint(1, 5)))
-        return rng.choice([f"<section class='comments' data-y='0'><h2>{words(1, 2)}</h2>{inner}</section>", f"<div id='comments' data-y='0'>{inner}</div>", f"<ol class='comment-list comments' data-y='0'>{inner}</ol>"])
+        tag = rng.choice(["div", "div", "li", "article", "section"])
+        name = rng.choice(["", " class='comment'", f" class='{words(1, 1)}'"])
+        inner = "".join(f"<{tag}{name}>{comment()}" + (f"<{tag}{name}>{comment()}</{tag}>" if rng.random() < 0.15 else "") + f"</{tag}>" for _ in range(rng.randint(1, 5)))
+        if tag == "li":
+            inner = f"<ol>{inner}</ol>"
+        title = rng.choice(["", f"<h2>{words(1, 2)}</h2>", f"<h3>{rng.randint(1, 99)} {words(1, 1)}</h3>"])
+        outer = rng.choice(["section class='comments'", "div id='comments'", "div class='comments'", f"div class='{words(1, 1)}'", f"div id='{words(1, 1)}'", "div", "section"])
+        return f"<{outer} data-y='0'>{title}{inner}</{outer.split()[0]}>"
+
+    def notice() -> str:
+        name = rng.choice(["", f" class='{words(1, 1)}'", f" id='{words(1, 1)}'", " class='notice'"])
+        body = rng.choice([f"<p>{sentence(5, 22)}</p><button>{words(1, 2)}</button>", f"{sentence(5, 22)} <a href='/p'>{words(1, 2)}</a>", f"<p>{sentence(5, 18)}</p>", f"<span>{sentence(4, 14)}</span><button>{words(1, 1)}</button><button>{words(1, 2)}</button>"])
+        return f"<div{name} data-y='0'>{body}</div>"
 
     def box() -> str:
         tag = rng.choice(TAGS)
@@ -61,7 +80,7 @@ def page(rng: random.Random) -> str:
         return f"<{tag}{name} data-y='0'>{body}</{tag}>"
 
     def boxes(low: int, high: int) -> str:
-        return "".join(rng.choice([box, box, box, form, comments])() for _ in range(rng.randint(low, high)))
+        return "".join(rng.choice([box, box, box, form, notice])() for _ in range(rng.randint(low, high)))
 
     opening = rng.choice(CONTENT)
     head = rng.choice(["", f"<h1>{words(2, 10)}</h1>", f"<header><h1>{words(2, 10)}</h1></header>" if opening.startswith(("article", "main")) else f"<h1>{words(2, 10)}</h1>"])
@@ -71,9 +90,20 @@ def page(rng: random.Random) -> str:
     body = f"<{opening} data-y='1'>{head}{''.join(inside)}</{opening.split()[0]}>"
     if rng.random() < 0.35:
         body = rng.choice(["<div class='container'>{}</div>", "<main>{}</main>", "<div id='page'><div>{}</div></div>", "<div class='wrapper'>{}</div>"]).format(boxes(0, 2) + body + boxes(0, 2))
-    return f"<!DOCTYPE html><html><head><title>{words(2, 9)}</title><style>p{{}}</style></head><body data-y='0'>{boxes(1, 4)}{body}{boxes(1, 4)}</body></html>"
-
-
-def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
+    after = comments() if rng.random() < 0.4 else ""
+    if after and rng.random() < 0.3 and body.endswith(f"</{opening.split()[0]}>") and opening.startswith("article"):
+        body, after = body[: -len("</article>")] + after + "</article>", ""
+    out = boxes(1, 4) + body + after + boxes(1, 4)
+    if rng.random() < 0.25:  # a bare page: links, then the article, and little else
+        out = f"<div data-y='0'>{links()}</div>" + body + after + rng.choice(["", f"<div data-y='0'>{sentence(3, 9)}</div>", f"<div data-y='0'>{links()}</div>"])
+    hidden = rng.random()
+    if hidden < 0.3:  # no names at all
+        out = NAME.sub("", out)
+    elif hidden < 0.6:  # names that say nothing
+        out = NAME.sub(lambda m: f" {m[1]}='{words(1, 1)}'", out)
+    return f"<!DOCTYPE html><html><head><title>{words(2, 9)}</title><style>p{{}}</style></head><body data-y='0'>{out}</body></html>"
+
+
+def labelled_pages(n: int = 600, seed: int = 11) -> list[str]:
     rng = random.Random(seed)
     return [page(rng) for _ in range(n)]
