@@ -24,6 +24,7 @@ ALPHABET = 256.0
 HOLD = 5  # one labelled URL in so many calibrates the threshold
 STEP = 0.01  # thresholds tried
 PAD = "\x02"
+PIECE = 2048  # characters of a long URL that are cut into contexts together
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -36,6 +37,12 @@ def parts(url: Column) -> tuple[Column, Column]:
     return lower_ascii(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def whole(url: Column) -> Column:
+    """The text that the models read: the whole URL with scheme and host lower-cased; empty for null."""
+    head = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    return F.coalesce(F.concat(lower_ascii(head), F.substring(url, F.length(head) + 1, F.length(url))), F.lit(""))
+
+
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule text, verdict) of the longest rule that fits, of equals the first; nulls when none does."""
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -46,9 +53,15 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
 
 
 def contexts(text: Column, order: int = ORDER) -> Column:
-    """Every character of a text with the ``order`` characters before it, padded at the front."""
+    """Every character of a text with the ``order`` characters before it, padded at the front; none for an empty text.
+
+    A substring is found by counting from the front, so long texts are cut into overlapping pieces first.
+    """
     padded = F.concat(F.lit(PAD * order), text)
-    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(padded, i, F.lit(order + 1)))
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(PIECE))
+    pieces = F.transform(starts, lambda at: F.substring(padded, at + 1, F.lit(PIECE + order)))
+    grams = F.flatten(F.transform(pieces, lambda piece: F.transform(F.sequence(F.lit(1), F.length(piece) - order), lambda i: F.substring(piece, i, F.lit(order + 1)))))
+    return F.when(F.length(text) > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
 def log_ratios(urls: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> DataFrame:
@@ -96,22 +109,23 @@ def threshold(labelled: DataFrame, step: float = STEP) -> DataFrame:
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """One row per input row: ``page_id``, ``host``, ``path``, ``rule``, ``score``, ``verdict``.
 
-    URLs under a rule get its verdict; the others are allowed when their score reaches the threshold.  Null, empty and
-    malformed URLs have empty host and path, which is no evidence either way: score zero.  With no labelled
+    URLs under a rule get its verdict; the others are allowed when their score reaches the threshold.  Rules look at host and path,
+    the models at the whole URL with its scheme, query and fragment.  URLs without ``://`` have an empty host and path and
+    are scored like all others; null and empty ones are no evidence either way: score zero.  With no labelled
     URL on a side both models are alike in what they lack, and the threshold is zero.  Repeated URLs count as
     often as they occur and are judged alike; an empty table gives an empty result.  Other columns are ignored.
     """
     host, path = parts(F.col(url_col))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), whole(F.col(url_col)).alias("text"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    texts = rows.groupBy("host", "path").agg(F.count("*").alias("n"))
-    texts = texts.select("host", "path", F.concat("host", "path").alias("text"), "n", rule.alias("rule"), verdict.alias("ruled"))
+    texts = rows.groupBy("text", "host", "path").agg(F.count("*").alias("n"))
+    texts = texts.select("text", "n", rule.alias("rule"), verdict.alias("ruled"))
     texts = store(texts.withColumn("held", F.pmod(F.xxhash64("text"), F.lit(HOLD)) == 0), "url-texts")
     trained = texts.select("text", *[F.when((F.col("ruled") == s) & ~F.col("held"), F.col("n")).otherwise(0).alias(f"n_{s}") for s in ("allow", "block")])
     ratios = log_ratios(trained)
     scored = store(scores(texts.where("text <> '' and (ruled is null or held)").select("text").distinct(), ratios), "url-scores")
     check = texts.where("held and ruled is not null").join(scored.hint("merge"), "text").select("score", *[F.when(F.col("ruled") == s, F.col("n")).otherwise(0).alias(f"n_{s}") for s in ("allow", "block")])
     limit = threshold(check).scalar()
-    judged = texts.join(scored.hint("merge"), "text", "left").select("host", "path", "rule", "ruled", F.coalesce("score", F.lit(0.0)).alias("score"))
+    judged = texts.join(scored.hint("merge"), "text", "left").select("text", "rule", "ruled", F.coalesce("score", F.lit(0.0)).alias("score"))
     judged = judged.withColumn("verdict", F.coalesce("ruled", F.when(F.col("score") >= limit, "allow").otherwise("block")))
-    return rows.join(judged.drop("ruled").hint("merge"), ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "score")
+    return rows.join(judged.drop("ruled").hint("merge"), "text").select("page_id", "host", "path", "rule", "verdict", "score")
