@@ -139,7 +139,8 @@ def test_pca_and_svd_agree_with_numpy(spark):
 def test_chains_with_a_cycle(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (200, 201), (201, 202), (202, 200)], "src long, dst long")
     got = rows(chains.chain_paths(edges), "chain", "node", "position")
-    assert got == sorted([(1, i, i - 1) for i in range(1, 41)] + [(100, 100, 0), (100, 101, 1)], key=repr)
+    assert got == sorted([(1, i, i - 1) for i in range(1, 41)] + [(100, 100, 0), (100, 101, 1)] + [(200, 200, 0), (200, 201, 1), (200, 202, 2)], key=repr)
+    assert sorted(r.node for r in chains.chain_paths(edges).where("cycle").collect()) == [200, 201, 202]
 
 
 def test_link_edges_need_unique_keys(spark):
