@@ -13,7 +13,7 @@ from tallyloom.catalog.fixtures import (
 from tallyloom.catalog.registry import plain, query
 from tallyloom.core import with_scalars
 from tallyloom.functions import metrics
-from tallyloom.operators import chains, folds, learn, post, study
+from tallyloom.operators import chains, folds, learn, post, shifts, study
 from tallyloom.operators.windows import lags
 from tallyloom.spec import TRAIN
 
@@ -520,13 +520,13 @@ SERIES = ["s0", "s1", "s2", "s3", "s4", "s5"]
 FXM = FXG + """, fxm AS (SELECT sid * 100000 + w AS id, """ + ", ".join(f"COALESCE(LAG(sales, {i}) OVER (PARTITION BY sid ORDER BY w), 0) AS s{i}" for i in range(6)) + " FROM fxg WHERE sales IS NOT NULL)"
 
 
-def _matrix(s, d):
-    """One row per supplier and week holding this and the five earlier weeks: row t + 1 is row t shifted."""
+def _matrix(s, d, width=len(SERIES)):
+    """One row per supplier and week holding this and the weeks before: row t + 1 is row t shifted."""
     grid = fx_grid(s, d).select("sid", "w", "sales").where("sales is not null")
-    wide = lags(grid, ["sid"], ["w"], "sales", [1, 2, 3, 4, 5], dense=True)
+    wide = lags(grid, ["sid"], ["w"], "sales", list(range(1, width)), dense=True)
     return wide.select(
         (F.col("sid") * 100000 + F.col("w")).alias("id"),
-        *[F.coalesce(F.col("sales" if i == 0 else f"sales_lag_{i}"), F.lit(0)).cast("decimal(18,2)").alias(f"s{i}") for i in range(6)],
+        *[F.coalesce(F.col("sales" if i == 0 else f"sales_lag_{i}"), F.lit(0)).cast("decimal(18,2)").alias(f"s{i}") for i in range(width)],
     )
 
 
@@ -580,21 +580,22 @@ def chain_paths_mixed(s, d):
 
 @query(
     "find_column_chains",
-    f"""WITH {FXO}, m AS (SELECT MAX(date_diff('day', DATE '1995-01-01', odate) // 7) AS m FROM fxo)
-    SELECT 'c' || m AS chain, 'c' || w AS node, m - w AS position FROM (SELECT m, UNNEST(range(0, m + 1)) AS w FROM m)""",
+    f"""WITH RECURSIVE {FXO}, t AS (SELECT date_diff('day', DATE '1995-01-01', odate) // 7 AS w, SUM(total)::DOUBLE AS t FROM fxo GROUP BY 1),
+    cells AS (SELECT c.c, r.r, COALESCE(t.t, 0) AS x FROM (SELECT UNNEST(range(0, (SELECT MAX(w) FROM t) + 1)) AS c) c CROSS JOIN range(0, 24) r(r) LEFT JOIN t ON t.w = c.c + r.r),
+    k AS (SELECT c, list(x ORDER BY r) FILTER (r < 23) AS h, list(x ORDER BY r) FILTER (r > 0) AS g FROM cells GROUP BY c),
+    e AS (SELECT a.c AS src, b.c AS dst FROM (SELECT c, h FROM k QUALIFY COUNT(*) OVER (PARTITION BY h) = 1) a JOIN (SELECT c, g FROM k QUALIFY COUNT(*) OVER (PARTITION BY g) = 1) b ON a.h = b.g WHERE a.c <> b.c),
+    path AS (SELECT src AS chain, src AS node, 0::BIGINT AS position FROM e WHERE src NOT IN (SELECT dst FROM e) UNION ALL SELECT p.chain, e.dst, p.position + 1 FROM path p JOIN e ON e.src = p.node)
+    SELECT 'c' || chain AS chain, 'c' || node AS node, position FROM path QUALIFY COUNT(*) OVER (PARTITION BY chain) >= 40""",
 )
 def find_column_chains(s, d):
-    """Chains among the columns of a lag matrix of all sales: column c is column c + 1 one row later.
-
-    The SQL states the one chain of all weeks that must come out where no 23 weeks in a row are alike.
-    """
+    """Chains among the columns of a lag matrix of all sales: column c is column c + 1 one row later."""
     week = F.floor(F.datediff("odate", F.lit("1995-01-01").cast("date")) / 7).cast("int")
     weekly = fx_orders(s, d).groupBy(week.alias("w")).agg(F.sum("total").cast("double").alias("t"))
     weeks = weekly.agg(F.max("w")).first()[0] + 1  # one column per week of the calendar
     rolled = weekly.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("col", F.col("w") - F.col("row"))
     matrix = rolled.groupBy("row").pivot("col", list(range(weeks))).agg(F.max("t")).na.fill(0.0)
     names = [f"c{i}" for i in range(weeks)]
-    return chains.column_chains(matrix.toDF("row", *names), "row", names, min_len=40)
+    return shifts.column_chains(matrix.toDF("row", *names), "row", names, min_len=40)
 
 
 OFFSETS = [2, 3, 4]
@@ -612,4 +613,21 @@ def _offset(o: int) -> str:
     f"WITH {FXM}, {', '.join(_offset(o) for o in OFFSETS)} SELECT fxm.id, COALESCE(v2.v, v3.v, v4.v, 0)::DOUBLE AS looked_up FROM fxm LEFT JOIN v2 USING (id) LEFT JOIN v3 USING (id) LEFT JOIN v4 USING (id)",
 )
 def q_offset_lookup(s, d):
-    return plain(chains.offset_lookup(_matrix(s, d), [SERIES], "id", OFFSETS).select("id", "looked_up"))
+    return plain(shifts.offset_lookup(_matrix(s, d), [SERIES], "id", OFFSETS).select("id", "looked_up"))
+
+
+FAR = 40
+
+
+@query(
+    "q_offset_lookup_far",
+    f"""WITH {FXG}, m AS (SELECT sid * 100000 + w AS id, [{", ".join(f"COALESCE(LAG(sales, {i}) OVER (PARTITION BY sid ORDER BY w), 0)" for i in range(FAR))}] AS a FROM fxg WHERE sales IS NOT NULL),
+    x AS (SELECT id, o, md5(a[1:{FAR} - o]::VARCHAR) AS h, md5(a[o + 1:{FAR}]::VARCHAR) AS g, a[o - 1] AS v FROM m CROSS JOIN range(2, {FAR - 1}) r(o)),
+    s AS (SELECT id, o, h FROM x QUALIFY COUNT(*) OVER (PARTITION BY o, h) = 1), z AS (SELECT o, g, v FROM x WHERE v <> 0 QUALIFY COUNT(*) OVER (PARTITION BY o, g) = 1),
+    hit AS (SELECT s.id, arg_min(z.v, o) AS v FROM s JOIN z USING (o) WHERE s.h = z.g GROUP BY 1)
+    SELECT m.id, COALESCE(hit.v, 0)::DOUBLE AS looked_up FROM m LEFT JOIN hit USING (id)""",
+)
+def q_offset_lookup_far(s, d):
+    """All offsets from 2 to 38 of forty weeks of sales."""
+    series = [f"s{i}" for i in range(FAR)]
+    return plain(shifts.offset_lookup(_matrix(s, d, FAR), [series], "id", list(range(2, FAR - 1))).select("id", "looked_up"))

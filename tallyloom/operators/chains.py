@@ -7,19 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.core import cut_lineage, levels
-from tallyloom.operators.reshape import only_unique, transpose
-from tallyloom.operators.rowwise import first_nonzero, tuple_key
-
-
-def _shifted(df: DataFrame, groups: Sequence[Sequence[str]], key: str, offset: int) -> tuple[DataFrame, DataFrame]:
-    """Unique hashes of each row's columns without the last, and without the first, ``offset`` ones."""
-    heads = [c for g in groups for c in g[: len(g) - offset]]
-    tails = [c for g in groups for c in g[offset:]]
-    return (
-        only_unique(tuple_key(df, heads, "_h").select("_h", F.col(key).alias("src")), ["_h"]),
-        tuple_key(df, tails, "_h"),
-    )
+from tallyloom.core import cut_lineage
+from tallyloom.operators.reshape import only_unique
+from tallyloom.operators.rowwise import tuple_key
 
 
 def link_edges(df: DataFrame, groups: Sequence[Sequence[str]], key: str) -> DataFrame:
@@ -27,9 +17,9 @@ def link_edges(df: DataFrame, groups: Sequence[Sequence[str]], key: str) -> Data
 
     Keys that repeat are dropped before the join, so a common pattern (all zeros) cannot fan out.
     """
-    heads, tails = _shifted(df, groups, key, 1)
-    targets = only_unique(tails.select("_h", F.col(key).alias("dst")), ["_h"])
-    return heads.join(targets, "_h").where("src <> dst").select("src", "dst")
+    heads = tuple_key(df, [c for g in groups for c in g[:-1]], "_h").select("_h", F.col(key).alias("src"))
+    tails = tuple_key(df, [c for g in groups for c in g[1:]], "_h").select("_h", F.col(key).alias("dst"))
+    return only_unique(heads, ["_h"]).join(only_unique(tails, ["_h"]), "_h").where("src <> dst").select("src", "dst")
 
 
 def _follow(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
@@ -89,31 +79,3 @@ def chain_paths(edges: DataFrame, max_rounds: int = 62) -> DataFrame:
     ended = edges.join(here, "src").join(there, "dst").where("_from <> _to").select(F.col("_from").alias("chain"), F.lit(True).alias("_overlapped")).distinct()
     out = placed.join(rings.select("node", F.lit(True).alias("_cycle")), "node", "left").join(ended, "chain", "left")
     return out.select("chain", "node", "position", F.coalesce("_cycle", F.lit(False)).alias("cycle"), F.coalesce("_overlapped", F.lit(False)).alias("overlapped"))
-
-
-def column_chains(df: DataFrame, key: str, cols: Sequence[str], min_len: int = 40, max_rows: int = 1000) -> DataFrame:
-    """Chains among columns (chain, node, position): transpose, link and follow, keeping chains of at least ``min_len`` nodes that none overlaps."""
-    turned = transpose(df, key, cols, max_rows)
-    rows = [str(v) for v in levels(df, key, max_rows)]
-    found = chain_paths(link_edges(turned, [rows], "column")).where("not overlapped").select("chain", "node", "position")
-    long = found.groupBy("chain").count().where(F.col("count") >= min_len).select("chain")
-    return found.join(long, "chain", "left_semi")
-
-
-def offset_lookup(df: DataFrame, groups: Sequence[Sequence[str]], key: str, offsets: Sequence[int], name: str = "looked_up") -> DataFrame:
-    """Value found some steps ahead of a row: the first offset with a hit wins, 0 when there is none.
-
-    For each offset a row's shortened columns are matched, by unique hash, to another row's shifted
-    columns; the value read is that row's column just before the shift.
-    """
-    series = groups[0]
-    out = df
-    for o in offsets:
-        heads, tails = _shifted(df, groups, key, o)
-        donors = only_unique(
-            tails.select("_h", F.col(series[o - 2]).alias(f"_v{o}")).where(F.col(f"_v{o}") != 0), ["_h"]
-        )
-        hits = heads.join(donors, "_h").select(F.col("src").alias(key), f"_v{o}")
-        out = out.join(hits, key, "left")
-    picked = first_nonzero(out, [f"_v{o}" for o in offsets], name)
-    return picked.drop(*[f"_v{o}" for o in offsets])

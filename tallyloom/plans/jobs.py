@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.core import stored
 from tallyloom.functions import metrics, scalar
-from tallyloom.operators import chains, clean, encode, folds, group, impute, learn, post, profile, relate, rowwise, study, windows
+from tallyloom.operators import chains, clean, encode, folds, group, impute, learn, post, profile, relate, rowwise, shifts, study, windows
 from tallyloom.spec import SPLIT, TRAIN, TableSpec
 
 
@@ -114,7 +114,7 @@ def property_clean(df: DataFrame, scope: str = "all") -> DataFrame:
 def chain_lookup(df: DataFrame, series: Sequence[str], key: str, offsets: Sequence[int]) -> DataFrame:
     """Rows that continue each other: chain number and position, values read along the chain, row statistics."""
     path = chains.chain_paths(chains.link_edges(df, [series], key)).select("chain", F.col("node").alias(key), "position")
-    out = chains.offset_lookup(df, [series], key, offsets)
+    out = shifts.offset_lookup(df, [series], key, offsets)
     out = rowwise.first_last_nonzero(rowwise.log_mean(rowwise.nonzero_stats(out, {"all": series}), series), series)
     return relate.left_join(out, path, [key])
 
