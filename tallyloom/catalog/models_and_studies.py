@@ -287,43 +287,44 @@ def q_m_norm_gini(s, d):
 # --- P: post-processing ---------------------------------------------------------------------------------------------
 
 
-@query("q_rule_override", f"WITH {FXP} SELECT o_orderkey, CASE WHEN total < 20000 OR bal_n < 0 OR (priority = '5-LOW' AND status = 'P') THEN 0 ELSE pred END::DOUBLE AS pred FROM fxp JOIN fxo USING (o_orderkey) WHERE trial = 0")
+@query("q_rule_override", f"WITH {FXP} SELECT o_orderkey, trial, CASE WHEN total < 20000 OR bal_n < 0 OR (priority = '5-LOW' AND status = 'P') THEN 0 ELSE pred END::DOUBLE AS pred FROM fxp JOIN fxo USING (o_orderkey)")
 def q_rule_override(s, d):
     raw = fx_orders(s, d).select("o_orderkey", "total", "bal_n", "priority", "status")
-    preds = fx_preds(s, d).where("trial = 0").select("o_orderkey", F.col("pred").cast("double").alias("pred")).join(raw, "o_orderkey")
+    preds = fx_preds(s, d).select("o_orderkey", "trial", F.col("pred").cast("double").alias("pred")).join(raw, "o_orderkey")
     rules = [F.col("total") < 20000, F.col("bal_n") < 0, (F.col("priority") == "5-LOW") & (F.col("status") == "P")]
-    return post.override(preds, "pred", rules).select("o_orderkey", "pred")
+    return post.override(preds, "pred", rules).select("o_orderkey", "trial", "pred")
 
 
-@query("q_attach_submission", f"WITH {FXP} SELECT o.o_orderkey, p.pred::DOUBLE AS pred FROM orders o LEFT JOIN (SELECT * FROM fxp WHERE trial = 1 AND split = 'test') p USING (o_orderkey)")
+@query("q_attach_submission", f"WITH {FXP} SELECT o.o_orderkey, p.pred FROM orders o LEFT JOIN (SELECT o_orderkey, round(SUM(pred)::DOUBLE / COUNT(*), 9) AS pred FROM fxp WHERE split = 'test' GROUP BY 1) p USING (o_orderkey)")
 def q_attach_submission(s, d):
-    preds = fx_preds(s, d).where("trial = 1 and split = 'test'").select("o_orderkey", "pred")
-    return plain(post.attach_submission(table(s, d, "orders").select("o_orderkey"), preds, ["o_orderkey"]))
+    """The mean of all trials for every test order; training orders have none."""
+    preds = learn.seed_average(fx_preds(s, d).where("split = 'test'").withColumn("seed", F.lit(0)), ["o_orderkey"]).select("o_orderkey", "pred")
+    return plain(post.attach_submission(table(s, d, "orders").select("o_orderkey"), preds, ["o_orderkey"]), 9)
 
 
-@query("q_known_override", f"WITH {FXP} SELECT o_orderkey, CASE WHEN split = 'train' THEN y::DOUBLE ELSE pred::DOUBLE END AS pred FROM fxp WHERE trial = 2")
+@query("q_known_override", f"WITH {FXP} SELECT o_orderkey, trial, CASE WHEN split = 'train' THEN y::DOUBLE ELSE pred::DOUBLE END AS pred FROM fxp")
 def q_known_override(s, d):
     known = fx_orders(s, d).where("split = 'train'").select("o_orderkey", F.col("y").cast("double").alias("y"))
-    preds = fx_preds(s, d).where("trial = 2").select("o_orderkey", F.col("pred").cast("double").alias("pred"))
+    preds = fx_preds(s, d).select("o_orderkey", "trial", F.col("pred").cast("double").alias("pred"))
     return post.known_override(preds, known, ["o_orderkey"], "pred", "y")
 
 
 PERIODS = ["201610", "201611", "201612", "201710", "201711", "201712"]
 
 
-@query("q_broadcast_periods", f"WITH {FXP} SELECT o_orderkey, " + ", ".join(f"pred::DOUBLE AS \"{p}\"" for p in PERIODS) + " FROM fxp WHERE trial = 0")
+@query("q_broadcast_periods", f"WITH {FXP} SELECT o_orderkey, trial, " + ", ".join(f"pred::DOUBLE AS \"{p}\"" for p in PERIODS) + " FROM fxp")
 def q_broadcast_periods(s, d):
-    return plain(post.broadcast_periods(fx_preds(s, d).where("trial = 0").select("o_orderkey", "pred"), "pred", PERIODS))
+    return plain(post.broadcast_periods(fx_preds(s, d).select("o_orderkey", "trial", "pred"), "pred", PERIODS))
 
 
 @query(
     "q_inverse_chain",
     f"""WITH {FXP}, m AS (SELECT AVG(ln(1 + total::DOUBLE)) AS m, stddev_pop(ln(1 + total::DOUBLE)) AS sd FROM fxo WHERE split = 'train')
-    SELECT o_orderkey, round(exp((pred::DOUBLE * 4 - 2) * sd + m) - 1, 4) AS fitted, round(exp((pred::DOUBLE * 4 - 2) * 0.5 + 10) - 1, 4) AS stated FROM fxp CROSS JOIN m WHERE trial = 0""",
+    SELECT o_orderkey, trial, round(exp((pred::DOUBLE * 4 - 2) * sd + m) - 1, 4) AS fitted, round(exp((pred::DOUBLE * 4 - 2) * 0.5 + 10) - 1, 4) AS stated FROM fxp CROSS JOIN m""",
 )
 def q_inverse_chain(s, d):
     score = F.col("pred").cast("double") * 4 - 2
-    preds = fx_preds(s, d).where("trial = 0").select("o_orderkey", score.alias("fitted"), score.alias("stated"))
+    preds = fx_preds(s, d).select("o_orderkey", "trial", score.alias("fitted"), score.alias("stated"))
     train = fx_orders(s, d).where("split = 'train'")
     out = post.fitted_inverse(preds, "fitted", train, "total", "log1p")
     return plain(post.inverse_chain(out, "stated", [("log1p", {}), ("standardize", {"mean": 10.0, "std": 0.5})]), 4)
@@ -482,6 +483,51 @@ def q_score_histogram(s, d):
     return study.histogram(fx_scores(s, d), ["prep", "hpo"], "value", 50)
 
 
+def _density(rows: str, by: str, bins: int) -> str:
+    """Kernel density in SQL: linear bins between three bandwidths beyond the ends, a normal kernel over all bins."""
+    return f"""v AS ({rows}), st AS (SELECT {by}, COUNT(*) AS n, MIN(x) AS lo, MAX(x) AS hi, stddev_samp(x) * pow(COUNT(*), -0.2) AS h FROM v GROUP BY ALL HAVING COUNT(*) > 1 AND MIN(x) < MAX(x)),
+    gr AS (SELECT *, lo - 3 * h AS a, (hi - lo + 6 * h) / {bins - 1} AS step FROM st), b AS (SELECT {by}, n, h, a, step, floor((x - a) / step) AS j, (x - a) / step - floor((x - a) / step) AS f FROM v JOIN gr USING ({by})),
+    w AS (SELECT {by}, n, h, a, step, j, SUM(m) AS m FROM (SELECT * EXCLUDE f, 1 - f AS m FROM b UNION ALL SELECT * EXCLUDE (f, j), j + 1 AS j, f AS m FROM b) GROUP BY ALL)
+    SELECT {by}, i::INTEGER AS bin, round(a + i * step, 6) AS x, round(SUM(m * exp(-0.5 * pow((i - j) * step / h, 2))) / (n * sqrt(2 * pi())) * step / h, 9) AS mass FROM w CROSS JOIN range(0, {bins}) r(i) GROUP BY {by}, i, n, h, a, step"""
+
+
+@query("q_score_density", f"WITH {FXS}, {_density('SELECT prep, hpo, value::DOUBLE AS x FROM fxc WHERE value IS NOT NULL', 'prep, hpo', 100)}")
+def q_score_density(s, d):
+    return _mass(study.density(fx_scores(s, d), ["prep", "hpo"], "value", 100), ["prep", "hpo"])
+
+
+@query("q_price_density", f"WITH {_density('SELECT l_returnflag, l_linestatus, l_extendedprice AS x FROM lineitem', 'l_returnflag, l_linestatus', 200)}")
+def q_price_density(s, d):
+    by = ["l_returnflag", "l_linestatus"]
+    return _mass(study.density(table(s, d, "lineitem"), by, "l_extendedprice", 200), by)
+
+
+def _mass(found, by):
+    return plain(found.select(*by, "bin", F.round("x", 6).alias("x"), F.round(F.col("density") * F.col("step"), 9).alias("mass")))
+
+
+@query(
+    "random_intercept",
+    "SELECT factor, 1 AS orthogonal, 1 AS best_ratio FROM (VALUES ('intercept'), " + ", ".join(f"('{f}')" for f in FACTORS) + ") f(factor)",
+)
+def random_intercept(s, d):
+    """Every factor, whether the residuals, weighted by the fitted variances, are orthogonal to it, and whether the variances beat neighbouring ones.
+
+    With the ratio r of the variances the weighted residual of a row is its residual minus r n / (1 + r n) times the mean residual of its dataset.
+    """
+    design = study.design_matrix(fx_scores(s, d), BASE).withColumn("intercept", F.lit(1.0))
+    found = study.random_intercept(design, FACTORS).collect()
+    ratio = found[0].var_dataset / found[0].var_residual
+    near = study.reml(study.intercept_moments(design, FACTORS), FACTORS, [ratio, ratio * 1.05, ratio / 1.05, ratio + 0.01])
+    best = int(min(near, key=lambda fit: fit.criterion).ratio == ratio)
+    rest = F.col("target") - sum((F.lit(r.effect) * F.col(r.factor) for r in found), F.lit(0.0))
+    rows = design.dropna(subset=["target"]).withColumn("_r", rest)
+    sums = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("_r").alias("t"), *[F.sum(F.col(r.factor) * F.col("_r")).alias(f"xr_{r.factor}") for r in found], *[F.sum(r.factor).alias(f"x_{r.factor}") for r in found])
+    shrink = ratio / (1 + ratio * F.col("n"))
+    tests = [F.struct(F.lit(r.factor).alias("factor"), (F.abs(F.sum(F.col(f"xr_{r.factor}") - shrink * F.col(f"x_{r.factor}") * F.col("t"))) < 1e-6).cast("int").alias("orthogonal"), F.lit(best).alias("best_ratio")) for r in found]
+    return sums.agg(F.array(*tests).alias("t")).select(F.inline("t"))
+
+
 @query(
     "q_adtm",
     f"""WITH {FXB}, b AS (SELECT CASE WHEN private > 9900 THEN private * 4 ELSE private END::DOUBLE AS v FROM fxboard), q AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM b),

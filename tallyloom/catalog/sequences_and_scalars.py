@@ -116,13 +116,13 @@ def q_row_number(s, d):
 
 @query(
     "q_gini_cumsum",
-    f"""WITH {FXP}, o AS (SELECT y, row_number() OVER (ORDER BY pred DESC, o_orderkey) AS pos FROM fxp WHERE trial = 0),
-    c AS (SELECT SUM(y) OVER (ORDER BY pos) AS cum FROM o) SELECT round((SUM(cum)::DOUBLE / (SELECT SUM(y) FROM o) - (COUNT(*) + 1) / 2.0) / COUNT(*), 9) AS gini FROM c""",
+    f"""WITH {FXP}, o AS (SELECT trial, y, row_number() OVER (PARTITION BY trial ORDER BY pred DESC, o_orderkey) AS pos FROM fxp),
+    c AS (SELECT trial, y, SUM(y) OVER (PARTITION BY trial ORDER BY pos) AS cum FROM o) SELECT trial, round((SUM(cum)::DOUBLE / SUM(y) - (COUNT(*) + 1) / 2.0) / COUNT(*), 9) AS gini FROM c GROUP BY trial""",
 )
 def q_gini_cumsum(s, d):
     from tallyloom.catalog.fixtures import fx_preds
 
-    return plain(windows.gini_sum(fx_preds(s, d).where("trial = 0"), "y", "pred", ["o_orderkey"]), 9)
+    return plain(windows.gini_sum(fx_preds(s, d), "y", "pred", ["o_orderkey"], ["trial"]), 9)
 
 
 @query(

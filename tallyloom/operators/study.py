@@ -6,15 +6,18 @@ here see at most one row per model and regime.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import product
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import attach, with_scalars
+from tallyloom.core import attach, cut_lineage, match, with_scalars
 from tallyloom.operators.profile import iqr_filter
 from tallyloom.operators.windows import rank_insert
 from tallyloom.ordered import quantiles, running
@@ -177,6 +180,115 @@ def histogram(df: DataFrame, by: Sequence[str], col: str, bins: int) -> DataFram
     return df.where(F.col(col).isNotNull()).groupBy(*by, bucket.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def density(df: DataFrame, by: Sequence[str], col: str, bins: int, cut: float = 3.0, adjust: float = 1.0) -> DataFrame:
+    """Gaussian kernel density per group at ``bins`` even points: (by, bin, x, density, step).
+
+    The bandwidth is Scott's, ``n^(-1/5)`` sample deviations, times ``adjust``; the points reach ``cut`` bandwidths beyond the
+    smallest and the largest value.  Each value is shared between its two neighbouring points (linear binning), so the facts
+    are read twice and what is convolved is at most ``bins`` numbers per group.  Null values are left out; groups of one
+    value or without spread have no density and no rows.
+    """
+    if bins < 2:
+        raise ValueError("a density needs at least two points")
+    keys = [*by, "_all"]
+    values = df.where(F.col(col).isNotNull()).select(*by, F.lit(0).alias("_all"), F.col(col).cast("double").alias("_x"))
+    stats = values.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.stddev_samp("_x").alias("_sd")
+    ).where("_n > 1 and _lo < _hi")
+    width = F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)) * adjust
+    grid = stats.withColumn("_h", width).select(
+        *keys, "_n", "_h", (F.col("_lo") - cut * F.col("_h")).alias("_from"), ((F.col("_hi") - F.col("_lo") + 2 * cut * F.col("_h")) / (bins - 1)).alias("step")
+    )
+    at = (F.col("_x") - F.col("_from")) / F.col("step")
+    # rounding may put the largest value a little beyond the last point
+    placed = match(values, grid, keys, "inner").withColumn("_at", F.least(F.greatest(at, F.lit(0.0)), F.lit(float(bins - 1))))
+    left = F.least(F.floor("_at").cast("int"), F.lit(bins - 2))
+    halves = F.array(
+        F.struct(left.alias("_j"), (left + 1 - F.col("_at")).alias("_w")), F.struct((left + 1).alias("_j"), (F.col("_at") - left).alias("_w"))
+    )
+    held = placed.select(*keys, F.inline(halves)).groupBy(*keys, "_j").agg(F.sum("_w").alias("_w"))
+    spread = match(held, grid, keys).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    gap = (F.col("bin") - F.col("_j")) * F.col("step") / F.col("_h")
+    out = spread.groupBy(*keys, "_n", "_h", "_from", "step", "bin").agg(F.sum(F.col("_w") * F.exp(-0.5 * gap * gap)).alias("_sum"))
+    value = F.col("_sum") / (F.col("_n") * F.col("_h") * F.sqrt(2 * F.pi()))
+    return out.select(*by, "bin", (F.col("_from") + F.col("bin") * F.col("step")).alias("x"), value.alias("density"), "step")
+
+
+class RemlFit(NamedTuple):
+    """A random-intercept model at one ratio of the variances (between datasets over within)."""
+
+    ratio: float
+    criterion: float  # minus twice the restricted log likelihood, but for a constant
+    effects: np.ndarray
+    errors: np.ndarray
+    var_residual: float
+
+
+def intercept_moments(design: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """Per dataset: rows, sums and sums of products of the intercept, the factors and the target; rows with a null left out."""
+    cols = ["_one", *factors, "target"]
+    rows = design.dropna(subset=["target", *factors]).select("dataset", F.lit(1.0).alias("_one"), *[F.col(c).cast("double").alias(c) for c in cols[1:]])
+    pairs = [(a, b) for a in range(len(cols)) for b in range(a, len(cols))]
+    return rows.groupBy("dataset").agg(
+        F.array(*[F.sum(F.col(cols[a]) * F.col(cols[b])) for a, b in pairs]).alias("products"), F.array(*[F.sum(c) for c in cols]).alias("sums")
+    )
+
+
+def reml(moments: DataFrame, factors: Sequence[str], ratios: Sequence[float]) -> list[RemlFit]:
+    """Restricted likelihood and generalised least squares at some ratios of the variances: one aggregation for all of them.
+
+    With the ratio r, a dataset of n rows adds its products less r / (1 + r n) times the products of its sums, so one row
+    per dataset goes in and one row per ratio comes to the driver.
+    """
+    m = len(factors) + 2
+    pairs = [(a, b) for a in range(m) for b in range(a, m)]
+    ratio, n = F.col("_ratio"), F.col("sums")[0]
+    shrink = ratio / (1 + ratio * n)
+    tried = moments.withColumn("_ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
+    sums = tried.groupBy("_ratio").agg(
+        F.sum(n).alias("n"), F.sum(F.log(1 + ratio * n)).alias("logs"),
+        F.array(*[F.sum(F.col("products")[i] - shrink * F.col("sums")[a] * F.col("sums")[b]) for i, (a, b) in enumerate(pairs)]).alias("w"),
+    )
+    fits = []
+    for row in sums.collect():
+        full = np.zeros((m, m))
+        for (a, b), v in zip(pairs, row.w):
+            full[a, b] = full[b, a] = v
+        xx, xy, free = full[:-1, :-1], full[:-1, -1], row.n - (m - 1)
+        sign, volume = np.linalg.slogdet(xx)
+        if free <= 0 or sign <= 0 or np.linalg.cond(xx) > 1e12:
+            raise ValueError("too few rows, or factors that depend on one another")
+        effects = np.linalg.solve(xx, xy)
+        within = max(float(full[-1, -1] - effects @ xy), 1e-300) / free
+        criterion = free * math.log(within) + row.logs + volume
+        fits.append(RemlFit(row._ratio, criterion, effects, np.sqrt(within * np.diag(np.linalg.inv(xx))), within))
+    return sorted(fits, key=lambda fit: fit.ratio)
+
+
+def random_intercept(design: DataFrame, factors: Sequence[str], rounds: int = 6) -> DataFrame:
+    """Mixed model with a random intercept per dataset by restricted likelihood: (factor, effect, std_error, p_value, var_dataset, var_residual).
+
+    The first row is the intercept.  The moments of each dataset are stored once; the ratio of the variances is searched in a
+    fixed number of rounds, each an aggregation for 17 ratios between the neighbours of the best one so far.  The p-values
+    are those of the normal distribution.
+    """
+    moments = cut_lineage(intercept_moments(design, factors))
+    ratios = [0.0, *np.logspace(-6, 6, 33)]
+    for r in range(rounds):
+        fits = reml(moments, factors, ratios)
+        if not fits:
+            raise ValueError("the design has no rows")
+        at = min(range(len(fits)), key=lambda i: fits[i].criterion)
+        best, low, high = fits[at], fits[max(at - 1, 0)].ratio, fits[min(at + 1, len(fits) - 1)].ratio
+        ratios = sorted({best.ratio, *(np.geomspace(low, high, 17) if low > 0 else np.linspace(low, high, 17)).tolist()})
+    between = best.ratio * best.var_residual
+    rows = [
+        (name, float(b), float(e), math.erfc(abs(b / e) / math.sqrt(2)), between, best.var_residual)
+        for name, b, e in zip(["intercept", *factors], best.effects, best.errors)
+    ]
+    return design.sparkSession.createDataFrame(rows, "factor string, effect double, std_error double, p_value double, var_dataset double, var_residual double")
+
+
 def adtm(scores: DataFrame, board: DataFrame, score: str, col: str) -> DataFrame:
     """Score scaled by the lowest and highest board entry after entries outside the quartile fences are dropped."""
     inside = iqr_filter(board, col)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import from_moments, is_exact, match, square, stat, wide
+from tallyloom.core import from_moments, is_exact, match, square, stat, wide, with_scalars
 from tallyloom.ordered import row_index, running
 from tallyloom.operators.relate import nearest_join
 from tallyloom.spec import in_scope
@@ -19,14 +19,24 @@ from tallyloom.spec import in_scope
 BLOCK_ROWS = 1 << 16
 
 
+def _trusted(df: DataFrame, ids: Sequence[str], order: str) -> DataFrame:
+    """Add ``_pos``, the order column itself, and raise when a series has a null or a gap: one subquery over (entity: count, ends)."""
+    at = F.col(order).cast("bigint")
+    spans = df.groupBy(*ids).agg((F.count(F.lit(1)) == F.coalesce(F.max(at) - F.min(at) + 1, F.lit(0))).alias("_ok"))
+    checked = with_scalars(df, spans, {"ok": F.bool_and("_ok")}, "_dense")
+    said = F.lit(f"the positions in {order!r} have gaps, nulls or repeats; leave dense out")
+    sure = F.when(F.coalesce(F.col("_dense.ok"), F.lit(True)), True).otherwise(F.raise_error(said).cast("boolean"))
+    return checked.where(sure).drop("_dense").withColumn("_pos", at)
+
+
 def _blocks(df: DataFrame, ids: Sequence[str], order: Sequence[str], reach: int, dense: bool) -> DataFrame:
     """Add ``_pos``, ``_block`` and ``_home``; rows are copied to the next block when it looks back to them.
 
-    ``dense`` says the single order column is an integer without gaps, so it is the position itself.
+    ``dense`` says the single order column is an integer without gaps, so it is the position itself; a gap, a null or a repeat raises.
     A block is at least ``reach`` rows long, so a row is copied at most once.
     """
     size = max(BLOCK_ROWS, reach)
-    placed = df.withColumn("_pos", F.col(order[0]).cast("bigint")) if dense else row_index(df, ids, order, "_pos")
+    placed = _trusted(df, ids, order[0]) if dense else row_index(df, ids, order, "_pos")
     first, last = F.floor(F.col("_pos") / size), F.floor((F.col("_pos") + reach) / size)
     return placed.withColumn("_home", first).withColumn("_block", F.explode(F.sequence(first, last)))
 
@@ -35,15 +45,23 @@ def _over(ids: Sequence[str]):
     return Window.partitionBy(*ids, "_block").orderBy("_pos")
 
 
-def _finish(df: DataFrame, columns: Sequence[str], new: dict[str, Column]) -> DataFrame:
+def _finish(df: DataFrame, ids: Sequence[str], columns: Sequence[str], new: dict[str, Column]) -> DataFrame:
     """Evaluate the frames on all rows of a block, then keep only the block's own rows."""
-    return df.select(*columns, "_home", "_block", *[e.alias(n) for n, e in new.items()]).where("_home = _block").drop("_home", "_block")
+    twice = (F.lag("_pos", 1).over(_over(ids)) == F.col("_pos")).alias("_twice")
+    out = df.select(*columns, "_home", "_block", twice, *[e.alias(n) for n, e in new.items()])
+    return out.where(_own()).drop("_home", "_block", "_twice")
+
+
+def _own() -> Column:
+    """The rows of the block itself, each position once."""
+    once = F.when(F.col("_twice"), F.raise_error(F.lit("a position stands twice in a series; leave dense out")).cast("boolean")).otherwise(True)
+    return (F.col("_home") == F.col("_block")) & once
 
 
 def lags(df: DataFrame, ids: Sequence[str], order: Sequence[str], col: str, ks: Sequence[int], dense: bool = False) -> DataFrame:
     """Value ``k`` rows earlier in the entity's series, for each ``k``."""
     cut = _blocks(df, ids, order, max(ks), dense)
-    return _finish(cut, df.columns, {f"{col}_lag_{k}": F.lag(col, k).over(_over(ids)) for k in ks})
+    return _finish(cut, ids, df.columns, {f"{col}_lag_{k}": F.lag(col, k).over(_over(ids)) for k in ks})
 
 
 def rolling(
@@ -53,7 +71,8 @@ def rolling(
     """Statistics (mean, std) of the ``w`` values that end ``shift`` rows earlier; null until ``w`` values are present.
 
     Integer and decimal columns use differences of exact running sums, so the cost of a row does not
-    depend on the window length.  Floating columns are summed frame by frame, which loses no digits.
+    depend on the window length; means hold for any bigint, and squares that add up to 1e38 or more raise where a std is
+    wanted.  Floating columns are summed frame by frame, which loses no digits.
     """
     reach = max(shifts) + max(windows)
     cut = _blocks(df, ids, order, reach, dense)
@@ -63,14 +82,15 @@ def rolling(
         for s, w in frames:
             frame = _over(ids).rowsBetween(-(s + w - 1), -s)
             new |= {f"{col}_{a}_{s}_{w}": F.when(stat(df, col, "count", frame) == w, stat(df, col, a, frame)) for a in aggs}
-        return _finish(cut, df.columns, new)
+        return _finish(cut, ids, df.columns, new)
     upto = _over(ids).rowsBetween(Window.unboundedPreceding, 0)
     sums = F.struct(
-        F.count(col).over(upto).alias("n"), F.coalesce(F.sum(col).over(upto), F.lit(0)).alias("t"),
-        F.coalesce(F.sum(square(df, col)).over(upto), F.lit(0)).alias("q"),
+        F.count(col).over(upto).alias("n"), F.coalesce(F.sum(wide(df, col)).over(upto), F.lit(0)).alias("t"),
+        (F.coalesce(F.sum(square(df, col)).over(upto), F.lit(0)) if "std" in aggs else F.lit(0)).alias("q"),
     )
     offsets = sorted({k for s, w in frames for k in (s, s + w)})
-    placed = cut.withColumn("_sums", sums).withColumns({f"_at_{k}": F.lag("_sums", k).over(_over(ids)) for k in offsets})
+    twice = {"_twice": F.lag("_pos", 1).over(_over(ids)) == F.col("_pos")}
+    placed = cut.withColumn("_sums", sums).withColumns(twice | {f"_at_{k}": F.lag("_sums", k).over(_over(ids)) for k in offsets})
 
     def between(s: int, w: int, part: str) -> Column:
         return F.col(f"_at_{s}.{part}") - F.coalesce(F.col(f"_at_{s + w}.{part}"), F.lit(0))
@@ -82,7 +102,7 @@ def rolling(
         f"{col}_{a}_{s}_{w}": F.when(F.col(f"_n_{s}_{w}") == w, from_moments(a, *(F.col(f"_{m}_{s}_{w}") for m in "ntq")))
         for s, w in frames for a in aggs
     }
-    own = placed.where("_home = _block").select(*df.columns, *[e.alias(k) for k, e in moments.items()])
+    own = placed.where(_own()).select(*df.columns, *[e.alias(k) for k, e in moments.items()])
     return own.select(*df.columns, *[e.alias(k) for k, e in new.items()])
 
 
@@ -133,20 +153,20 @@ def row_id(df: DataFrame, keys: Sequence[str], name: str = "row_id") -> DataFram
     return row_index(df, [], keys, name)
 
 
-def gini_sum(df: DataFrame, y: str, pred: str, key: Sequence[str]) -> DataFrame:
-    """Lorenz-curve area of ``y`` along falling predictions (ties by key), one row.
+def gini_sum(df: DataFrame, y: str, pred: str, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Lorenz-curve area of ``y`` along falling predictions (ties by key), one row, or one per ``by``.
 
     Each label adds itself to every later cumulative sum, so the sum of cumulative sums is the sum of
     ``y * (n - position + 1)`` and only positions are needed.
     """
-    slim = df.select(F.col(y).alias("_y"), (-F.col(pred)).alias("_neg"), *key)
-    placed = row_index(slim, [], ["_neg", *key], "_pos")
-    sums = placed.agg(
+    slim = df.select(*by, F.col(y).alias("_y"), (-F.col(pred)).alias("_neg"), *key)
+    placed = row_index(slim, by, ["_neg", *key], "_pos")
+    sums = placed.groupBy(*by).agg(
         F.sum(wide(placed, "_y")).alias("t"), F.sum(wide(placed, "_y") * wide(placed, "_pos")).alias("tp"), F.count(F.lit(1)).alias("n")
     )
     n, t = F.col("n").cast("double"), F.col("t").cast("double")
     area = (n + 1) * t - F.col("tp").cast("double")
-    return sums.select((F.try_divide(F.try_divide(area, t) - (n + 1) / 2, n)).alias("gini"))
+    return sums.select(*by, (F.try_divide(F.try_divide(area, t) - (n + 1) / 2, n)).alias("gini"))
 
 
 def rank_insert(board: DataFrame, scores: DataFrame, keys: Sequence[str], col: str, score: str, direction: str) -> DataFrame:
