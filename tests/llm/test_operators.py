@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyloom.llm import decontam, embedding, html, packing, quality, sharding, simhash, substring, suffix, urls
@@ -291,8 +292,9 @@ def test_embeddings(spark):
         want.append((r[0], sum(linked(i, j) for j in range(len(rows)) if j != i), component, r[0] is not None and r[0] == component))
     same([tuple(r) for r in embedding.near_duplicates(frame).collect()], want)
     nodes = store(spark.createDataFrame([(r[0], r[1], 1) for r in rows[:300]], "node long, v array<double>, copies long"), "test-nodes")
-    tiny = embedding.links(nodes, tile=16).groupBy("node").sum("links").collect()
-    assert {r[0]: r[1] for r in tiny if r[1]} == {rows[i][0]: n for i in range(300) if (n := sum(linked(i, j) for j in range(300) if j != i))}
+    for tile, block in ((16, 40), (7, 1000), (64, 3)):  # many tiles in a block, one block in a cell, many blocks
+        tiny = embedding.links(nodes, tile=tile, block=block).groupBy("node").sum("links").collect()
+        assert {r[0]: r[1] for r in tiny if r[1]} == {rows[i][0]: n for i in range(300) if (n := sum(linked(i, j) for j in range(300) if j != i))}
     assert embedding.near_duplicates(frame.limit(0)).count() == 0
 
 
@@ -304,6 +306,24 @@ def test_quantisation_bound_holds():
     assert (np.abs(near - u @ w.T) <= e[:, None] * (1 + f[None]) + f[None] + 1e-9).all()
 
 
+@pytest.mark.parametrize("size", [16, 1040, 1041, 5000])
+def test_no_possible_pair_is_missed_at_any_length(size):
+    rng = np.random.default_rng(size)
+    base = embedding.unit(rng.normal(size=(6, size)))
+    near = embedding.unit(np.repeat(base, 40, axis=0) + rng.normal(size=(240, size)) * 0.48 / np.sqrt(size))  # cosines around 0.9
+    may = embedding.possible(embedding.quantise(base), embedding.quantise(near), 0.9)
+    true = base @ near.T >= 0.9
+    assert true.any() and not true.all() and not (true & ~may).any() and may.mean() < 0.5
+
+
+def test_shuffled_bytes_of_codes(spark):
+    """Only codes, scales and errors go to the pairs of blocks: the stored blocks hold 24 bytes a vector beside a byte a component."""
+    rng = np.random.default_rng(2)
+    table = pa.table({"block": [4] * 50, "node": list(range(50)), "codes": [bytes(rng.integers(0, 255, 64, dtype=np.uint8)) for _ in range(50)], "scale": [0.5] * 50, "error": [0.1] * 50})
+    row = embedding._block(table).to_pylist()[0]
+    assert row["block"] == 4 and sum(len(row[c]) for c in ("ids", "codes", "scales", "errors")) == 50 * (64 + 24)
+
+
 def test_urls(spark):
     rows = ["https://a.COM/x", "http://example.com/en/1", "http://www.example.com/en/1?q", "http://m.www.example.com/en/", "http://b.net/es/", "http://b.net/esx", "http://b.net/fr/#t", "http://Z.org", None, "", "no scheme", "http://com/", "http://notcom/", "x://a.com", "http://é.org/ß?x"]
     frame = spark.createDataFrame([(i, u, 1, 2) for i, u in enumerate(rows * 2)], "page_id long, url string, text int, n int")
