@@ -336,15 +336,27 @@ def kmeans_features(s, d):
     return out.select("vec_id", sum((F.col(f"kmeans_{k}").between(0, k - 1).cast("int") for k in ks), F.lit(0)).alias("n_valid"))
 
 
-@query("svd_features", "SELECT CAST(j AS INTEGER) AS j, (SELECT COUNT(*) FROM embeddings) AS n, 1 AS standard FROM range(0, 30) r(j)")
+@query("svd_features", "SELECT CAST(j AS INTEGER) AS j, (SELECT COUNT(*) FROM embeddings) AS n, 1 AS standard, 1 AS orthogonal, 1 AS falling FROM range(0, 30) r(j)")
 def svd_features(s, d):
-    """Thirty coordinates over all vectors, each with mean zero and spread one."""
-    out = impute.svd(_vectors(s, d), [f"e{i}" for i in range(VECTOR)], 30)
+    """Thirty coordinates over all vectors: standardised, and before that at right angles over the rows and of falling length."""
+    vectors = _vectors(s, d)
+    cols, k = [f"e{i}" for i in range(VECTOR)], 30
+    raw = impute.svd(vectors, cols, k, "raw", standardised=False).select(*[f"raw_{j}" for j in range(k)])
+    out = impute.svd(vectors, cols, k)
+    length = [F.sqrt(F.sum(F.col(f"raw_{j}") * F.col(f"raw_{j}"))) for j in range(k)]
+    angles = raw.agg(F.array(*[
+        F.struct(
+            F.lit(j).alias("j"),
+            F.greatest(F.lit(0.0), *[F.abs(F.sum(F.col(f"raw_{i}") * F.col(f"raw_{j}"))) / (length[i] * length[j]) for i in range(k) if i != j]).alias("skew"),
+            (length[j] / length[max(j - 1, 0)]).alias("step"),
+        ) for j in range(k)
+    ]).alias("t")).select(F.inline("t"))
     tests = [
         F.struct(F.lit(j).alias("j"), F.count(F.lit(1)).alias("n"), ((F.abs(F.avg(f"svd_{j}")) < 1e-6) & (F.abs(F.stddev_pop(f"svd_{j}") - 1) < 1e-6)).cast("int").alias("standard"))
-        for j in range(30)
+        for j in range(k)
     ]
-    return out.agg(F.array(*tests).alias("t")).select(F.inline("t"))
+    standard = out.agg(F.array(*tests).alias("t")).select(F.inline("t"))
+    return standard.join(angles, "j").select("j", "n", "standard", (F.col("skew") < 1e-6).cast("int").alias("orthogonal"), (F.col("step") <= 1 + 1e-9).cast("int").alias("falling"))
 
 
 # --- L: candidates ------------------------------------------------------------------------------------------------

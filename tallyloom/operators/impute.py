@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -47,20 +48,94 @@ def impute_cascade(df: DataFrame, cols: Sequence[str], keys: Sequence[Sequence[s
     return df
 
 
-def impute_iterative(df: DataFrame, cols: Sequence[str], rounds: int = 3, scope: str = "all") -> DataFrame:
+MAX_MOMENTS = 1 << 22  # numbers that the driver may hold: patterns of missing columns times (columns + 1) squared
+
+
+def impute_iterative(df: DataFrame, cols: Sequence[str], rounds: int = 3, scope: str = "all", max_moments: int = MAX_MOMENTS) -> DataFrame:
     """Chained linear regressions: each column is predicted from the others, for a fixed number of rounds.
 
     The model of a column learns from the rows of the scope where the column is present; scope "split" fits training
-    and test rows each by themselves.  Every round ends in a checkpoint, so the plan does not grow with the rounds.
+    and test rows each by themselves.  A column without a value in scope is left as it is and predicts nothing.
+
+    Within the rows that miss the same columns, every filled value is one linear function of the values present.  So the
+    moments of each such pattern, taken in one pass, are all the sweeps need: they run on small matrices, and one more
+    pass fills the rows.  If the patterns counted need more than ``max_moments`` numbers, rows are swept instead, with the
+    same results: a pass per column, a checkpoint per round.
     """
     if scope == "split":
-        parts = [impute_iterative(df.where(F.col(SPLIT) == part), cols, rounds) for part in (TRAIN, TEST)]
+        parts = [impute_iterative(df.where(F.col(SPLIT) == part), cols, rounds, "all", max_moments) for part in (TRAIN, TEST)]
         return parts[0].unionByName(parts[1])
-    cols = list(cols)
+    spread = in_scope(df, scope).agg(
+        *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
+    ).first()
+    known = [i for i in range(len(cols)) if spread[f"m{i}"] is not None]
+    cols, scaling = [cols[i] for i in known], [(spread[f"m{i}"], spread[f"s{i}"] or 1.0) for i in known]
+    if not cols:
+        return df
+    pattern = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in cols])
+    seen = F.lit(True) if scope == "all" else F.col(SPLIT) == TRAIN
+    n = df.agg(F.count_distinct(pattern)).first()[0]
+    if n * (len(cols) + 1) ** 2 > max_moments:
+        return _swept_rows(df, cols, [m for m, _ in scaling], rounds, scope)
+
+    # 1 and the scaled values, 0 where missing; a row per pattern and factor holds the sums of products with all factors
+    z = F.array(F.lit(1.0), *[F.coalesce((F.col(c).cast("double") - m) / w, F.lit(0.0)) for c, (m, w) in zip(cols, scaling)])
+    size = len(cols) + 1
+    factors = df.where(F.coalesce(seen, F.lit(False))).select(pattern.alias("_pattern"), z.alias("_z")).select("_pattern", "_z", F.posexplode("_z").alias("_i", "_v"))
+    sums = factors.groupBy("_pattern", "_i").agg(*[F.sum(F.col("_v") * F.col("_z")[j]).alias(f"_{j}") for j in range(size)])
+    moments = {r[0]: np.zeros((size, size)) for r in df.select(pattern).distinct().collect()}  # n patterns, as counted
+    for r in sums.collect():  # n * (columns + 1) rows
+        moments[r[0]][r[1]] = r[2:]
+    fills = _swept_moments(list(moments), np.array(list(moments.values())), rounds)
+
+    def fill(c: int, weights: np.ndarray) -> list[float]:
+        """Offset and weights of a column in the values themselves instead of the scaled ones."""
+        mean, width = scaling[c]
+        slopes = [float(w * width / s) for w, (_, s) in zip(weights[1:], scaling)]
+        return [float(weights[0] * width + mean) - sum(w * m for w, (m, _) in zip(slopes, scaling)), *slopes]
+
+    rows = [(p, [fill(c, m[c + 1]) if p[c] == "1" else [] for c in range(len(cols))]) for p, m in fills.items() if "1" in p]
+    if not rows:
+        return df.withColumns({c: F.col(c).cast("double") for c in cols})
+    table = df.sparkSession.createDataFrame(rows, "_pattern string, _fill array<array<double>>")  # at most max_moments numbers
+    filled = df.withColumn("_pattern", pattern).join(F.broadcast(table), "_pattern", "left")
+    value = F.array(F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
+    filled = filled.withColumn("_value", value)
+
+    def guess(i: int) -> Column:
+        return F.aggregate(F.zip_with(F.col("_fill")[i], F.col("_value"), lambda w, x: w * x), F.lit(0.0), lambda t, x: t + x)
+
+    out = {c: F.when(F.col(c).isNull(), guess(i)).otherwise(F.col(c).cast("double")) for i, c in enumerate(cols)}
+    return filled.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in df.columns])
+
+
+def _swept_moments(patterns: Sequence[str], moments: np.ndarray, rounds: int) -> dict[str, np.ndarray]:
+    """Per pattern the matrix that takes (1, scaled values, 0 where missing) to (1, scaled values, all filled).
+
+    Regressions are solved by least squares on the moments of the filled rows; columns that depend on each other share
+    their weight (the shortest solution).
+    """
+    size = moments.shape[1]
+    holes = np.array([[ch == "1" for ch in p] for p in patterns]).reshape(len(patterns), size - 1)
+    maps = np.tile(np.eye(size), (len(patterns), 1, 1))
+    maps[:, 1:, :] *= ~holes[:, :, None]  # missing ones start at the mean, 0
+    for _ in range(rounds):
+        for c in range(1, size):
+            there = ~holes[:, c - 1]
+            if there.all():
+                continue
+            total = np.einsum("pij,pjk,plk->il", maps[there], moments[there], maps[there], optimize=True)
+            others = [0, *[o for o in range(1, size) if o != c]]
+            weights = np.linalg.lstsq(total[np.ix_(others, others)], total[others, c], rcond=1e-12)[0]
+            maps[~there, c, :] = np.einsum("o,poj->pj", weights, maps[~there][:, others, :])
+    return dict(zip(patterns, maps))
+
+
+def _swept_rows(df: DataFrame, cols: Sequence[str], means: Sequence[float], rounds: int, scope: str) -> DataFrame:
+    """The same regressions over the rows, for more patterns than the driver may hold."""
     holes = {c: F.col(f"_was_null_{c}") for c in cols}
     work = df.withColumns({f"_was_null_{c}": F.col(c).isNull() for c in cols})
-    start = with_scalars(work, in_scope(work, scope), {c: F.avg(F.col(c).cast("double")) for c in cols})
-    work = start.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_s.{c}")) for c in cols}).drop("_s")
+    work = work.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(m))) for c, m in zip(cols, means)})
     for _ in range(rounds):
         for c in cols:
             others = [o for o in cols if o != c]
@@ -260,16 +335,39 @@ def pca(df: DataFrame, cols: Sequence[str], k: int = 2, scope: str = "train", pr
     return _project(source, df, cols, k, [f"{prefix}_{j}" for j in range(k)], [means[c] for c in cols])
 
 
-def svd(df: DataFrame, cols: Sequence[str], k: int = 30, prefix: str = "svd") -> DataFrame:
-    """First ``k`` coordinates of the uncentred decomposition, standardised.
+def svd(df: DataFrame, cols: Sequence[str], k: int = 30, prefix: str = "svd", standardised: bool = True) -> DataFrame:
+    """First ``k`` coordinates of the uncentred decomposition, standardised unless told otherwise.
 
-    Rows and their negatives together have mean zero, so their principal directions are exactly the
-    right singular vectors of the rows.
+    The products of all columns are those of the centred columns plus the rank one part of the means, so the centred fit
+    of the rows, as they stand, gives the right singular vectors of the uncentred ones: a (columns x columns) matrix
+    summed over the partitions in a tree, the only thing that reaches the driver.  Each direction is signed so that its
+    largest entry is positive; an empty table gives no rows.
     """
-    plain = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    mirrored = plain.unionByName(plain.select(*[(-F.col(c)).alias(c) for c in cols]))
     names = [f"{prefix}_{j}" for j in range(k)]
-    return _standardised(_project(mirrored, df, cols, k, names, [0.0] * len(cols)), names)
+    plain = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    stats = plain.agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in plain.columns]).alias("mean"), F.array(*[F.var_pop(c) for c in plain.columns]).alias("var")
+    ).first()
+    if not stats["n"]:
+        return df.withColumns({n: F.lit(None).cast("double") for n in names})
+    mean, spread = np.array(stats["mean"]), float(sum(stats["var"]))
+    products = np.outer(mean, mean)
+    if spread > 0 and stats["n"] > 1:
+        packed = VectorAssembler(inputCols=plain.columns, outputCol="_x").transform(plain).select("_x")
+        model = PCA(k=len(cols), inputCol="_x", outputCol="_p").fit(packed)
+        turn = model.pc.toArray()
+        products = products + (turn * (model.explainedVariance.toArray() * spread)) @ turn.T
+    directions = np.linalg.eigh(products)[1][:, ::-1][:, :k]
+    largest = np.abs(directions).argmax(axis=0)
+    directions = directions * np.where(directions[largest, np.arange(k)] > 0, 1.0, -1.0)
+    row = F.array(*[F.col(c).cast("double") for c in cols])
+
+    def along(weights: np.ndarray) -> Column:
+        axis = F.array(*[F.lit(float(w)) for w in weights])
+        return F.aggregate(F.zip_with(F.col("_row"), axis, lambda x, w: x * w), F.lit(0.0), lambda t, x: t + x)
+
+    out = df.withColumn("_row", row).withColumns({n: along(directions[:, j]) for j, n in enumerate(names)}).drop("_row")
+    return _standardised(out, names) if standardised else out
 
 
 def _standardised(df: DataFrame, names: Sequence[str]) -> DataFrame:
