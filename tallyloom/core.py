@@ -120,14 +120,17 @@ def _threshold(spark: SparkSession) -> int:
     return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left", small: bool = False) -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left", small: bool | None = None) -> DataFrame:
     """Join a table with one row per key to every fact row.
 
-    ``small`` is a verdict of :func:`small_keys`: then the facts are not shuffled at all.  Otherwise it
+    ``small`` is a verdict of :func:`small_keys`: then the facts are not shuffled at all.  If it came out false, it
     is a sort-merge join whose oversized partitions (hot or null keys on the fact side) the adaptive
-    planner splits; one row per key keeps each split cheap.
+    planner splits; one row per key keeps each split cheap.  The verdict is passed on as a hint, since the size of a
+    compressed file says little about the rows in it.  Without a verdict Spark chooses.
     """
-    return df.join(F.broadcast(stats) if small else stats, list(keys), how)
+    if small is not None:
+        stats = F.broadcast(stats) if small else stats.hint("merge")
+    return df.join(stats, list(keys), how)
 
 
 def match(df: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
