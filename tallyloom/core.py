@@ -91,7 +91,7 @@ def small_keys(df: DataFrame, key_sets: Sequence[Sequence[str]], n_values: int =
     is compared with the session's own broadcast threshold.
     """
     sets = list(dict.fromkeys(tuple(ks) for ks in key_sets))
-    limit = _threshold(df.sparkSession)
+    limit = broadcast_limit(df.sparkSession)
     if limit <= 0:
         return dict.fromkeys(sets, False)
     row = df.agg(
@@ -106,14 +106,14 @@ def small_keys(df: DataFrame, key_sets: Sequence[Sequence[str]], n_values: int =
 
 def small_rows(table: DataFrame, kind: str, sets: Sequence[tuple[str, ...]], n_values: int = 1) -> dict[tuple[str, ...], bool]:
     """For a stored table whose column ``kind`` numbers key sets: whether each set's rows, as counted, may be broadcast."""
-    limit = _threshold(table.sparkSession)
+    limit = broadcast_limit(table.sparkSession)
     keys = [c for c in table.columns if c != kind]
     width = F.max(F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in keys])))
     found = {r[kind]: (r["n"], r["w"] or 0) for r in table.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), width.alias("w")).collect()}
     return {s: found.get(i, (0, 0))[0] * (16 * (len(s) + n_values + 1) + found.get(i, (0, 0))[1]) <= limit for i, s in enumerate(sets)}
 
 
-def _threshold(spark: SparkSession) -> int:
+def broadcast_limit(spark: SparkSession) -> int:
     """Bytes of ``spark.sql.autoBroadcastJoinThreshold``."""
     text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower().removesuffix("b")
     units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}

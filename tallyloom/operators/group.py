@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.core import attach, match, small_keys, small_rows, stat, stored, with_scalars
-from tallyloom.ordered import quantiles
+from tallyloom.ranks import quantile_tables, quantiles
 from tallyloom.spec import Fitted, in_scope
 
 
@@ -146,34 +146,30 @@ def level_counts(df: DataFrame, cols: Sequence[str], scope: str, suffix: str, so
 def stats_pack(df: DataFrame, targets: Sequence[str], groups: Sequence[str], scope: str = "all", null_std=0.0, source: DataFrame | None = None) -> DataFrame:
     """Size, mean, std, median, max and min of every target by every other group column.
 
-    One aggregation per group column covers all targets; medians of all targets come from one exact
-    histogram scan over (group, target).
+    One aggregation per group column covers all targets; medians inside large groups are selected for all
+    columns together.
     """
     source = in_scope(df, scope, source)
     small = small_keys(source, [[g] for g in groups], 6 * len(targets))
+    wanted = {g: [t for t in targets if t != g] for g in groups}
+    aggs: dict[str, list[Column]] = {g: [] for g in groups}
     for g in groups:
-        wanted = [t for t in targets if t != g]
-        aggs: list[Column] = []
-        for t in wanted:
+        for t in wanted[g]:
             base = _name(t, "by", g)
             std = stat(source, t, "std")
-            aggs += [
+            aggs[g] += [
                 stat(source, t, "size").alias(base + "_size"),
                 stat(source, t, "mean").alias(base + "_mean"),
                 (std if null_std is None else F.coalesce(std, F.lit(null_std))).alias(base + "_std"),
                 stat(source, t, "max").alias(base + "_max"),
                 stat(source, t, "min").alias(base + "_min"),
             ]
-        long = source.select(g, *[F.col(t).cast("double").alias(f"_{t}") for t in wanted]).unpivot(
-            [g], [f"_{t}" for t in wanted], "_t", "_v"
-        )
-        medians = (
-            quantiles(long, [g, "_t"], "_v", {"m": 0.5}, few=small[(g,)])
-            .groupBy(g)
-            .agg(*[F.max(F.when(F.col("_t") == f"_{t}", F.col("m"))).alias(_name(t, "by", g) + "_median") for t in wanted])
-        )
-        table = source.groupBy(g).agg(*aggs).join(medians, g, "left")
-        df = attach(df, table, [g], small=small[(g,)])
+    tables = quantile_tables(source, [([g], wanted[g]) for g in groups], {"m": 0.5}, [aggs[g] for g in groups])
+    for g, table in zip(groups, tables):
+        medians = [_name(t, "by", g) + "_median" for t in wanted[g]]
+        table = table.withColumnsRenamed(dict(zip([f"{t}|m" for t in wanted[g]], medians)))
+        order = [f"{_name(t, 'by', g)}_{s}" for s in ("size", "mean", "std", "max", "min") for t in wanted[g]]
+        df = attach(df, table.select(g, *order, *medians), [g], small=small[(g,)])
     return df
 
 
@@ -345,7 +341,7 @@ def group_median(df: DataFrame, keys: Sequence[str], col: str, name: str | None
     """Exact group median on every row."""
     source = df if source is None else source
     small = small_keys(source, [keys], 4)[tuple(keys)]
-    table = quantiles(source, keys, col, {name or _name(col, *keys, "median"): 0.5}, few=small)
+    table = quantiles(source, keys, col, {name or _name(col, *keys, "median"): 0.5})
     return attach(df, table, keys, small=small)
 
 

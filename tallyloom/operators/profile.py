@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.core import with_scalars
-from tallyloom.ordered import quantiles
+from tallyloom.ranks import quantiles
 from tallyloom.spec import SPLIT, in_scope
 
 
@@ -202,7 +202,7 @@ def iqr_filter(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     The two exact quartiles are read first, so the filter is a plain range that reaches the scan.
     """
     q = quantiles(df, [], col, {"q1": 0.25, "q3": 0.75}).first()
-    if q is None:
+    if q is None or q["q1"] is None:
         return df.limit(0)
     margin = k * (q["q3"] - q["q1"])
     return df.where(F.col(col).cast("double").between(q["q1"] - margin, q["q3"] + margin))

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from tallyloom.core import attach, cut_lineage, match, with_scalars
 from tallyloom.operators.profile import iqr_filter
 from tallyloom.operators.windows import rank_insert
-from tallyloom.ordered import quantiles, running
+from tallyloom.ordered import running
+from tallyloom.ranks import quantiles
 
 # Study axes.  Light search is a subset of extensive search.
 PREPS = ("none", "fe", "tta")
