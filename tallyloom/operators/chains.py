@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.core import cut_lineage
+from tallyloom.core import stored
 from tallyloom.operators.reshape import only_unique
 from tallyloom.operators.rowwise import tuple_key
 
@@ -22,26 +22,51 @@ def link_edges(df: DataFrame, groups: Sequence[Sequence[str]], key: str) -> Data
     return only_unique(heads, ["_h"]).join(only_unique(tails, ["_h"]), "_h").where("src <> dst").select("src", "dst")
 
 
+def _rings(edges: DataFrame, rounds: int) -> DataFrame | None:
+    """The nodes on cycles, each with the smallest of its cycle (``node``, ``low``); None without a cycle.
+
+    Pointer doubling: after r rounds the nodes 2^r steps behind some node are known.  They only become fewer, and once a round
+    leaves as many as before, they lead to one another: these are the cycles, and the smallest labels are sought among them alone.
+    """
+    jumps, before = edges.select(F.col("src").alias("node"), F.col("dst").alias("jump")), None
+    for _ in range(rounds + 1):
+        left = jumps.agg(F.count_distinct("jump")).first()[0]
+        if not left:
+            return None
+        if left == before:
+            break
+        before = left
+        jumps = stored(jumps.join(jumps.select(F.col("node").alias("jump"), F.col("jump").alias("_jump")).hint("merge"), "jump").select("node", F.col("_jump").alias("jump")), "jumps")
+    on = stored(jumps.select(F.col("jump").alias("node")).distinct(), "rings")
+    state = edges.select(F.col("src").alias("node"), F.col("dst").alias("jump")).join(on, "node", "left_semi").withColumn("low", F.col("node"))
+    for _ in range(left.bit_length()):
+        ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("low").alias("_low"))
+        state = stored(state.join(ahead.hint("merge"), "jump").select("node", F.col("_jump").alias("jump"), F.least("low", "_low").alias("low")), "rings")
+    return state.select("node", "low")
+
+
 def _follow(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
-    """Pointer doubling along the edges until no node is left with a way to go, or for ``rounds`` rounds.
+    """Pointer doubling along edges without cycles until no node is left with a way to go.
 
-    After round r a node knows the node 2^r steps ahead (``jump``, null behind the end), the smallest label on the way there
-    (``low``), and, of all paths of less than 2^r steps that lead to it from a node without an incoming edge, the longest
-    (``best``: its negative length and its start; of equal lengths the smallest start).
+    After round r a node knows the node 2^r steps ahead (``jump``, null behind the end) and, of all paths of less than 2^r
+    steps that lead to it from a node without an incoming edge, the longest (``best``: its negative length and its start; of
+    equal lengths the smallest start).  Only the nodes with a way to go are joined to what lies ahead.
     """
     first = nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
     begun = first.select("node", F.struct(F.lit(0).cast("bigint").alias("length"), F.col("node").alias("start")).alias("best"))
-    state = nodes.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("jump")), "node", "left")
-    state = cut_lineage(state.withColumn("low", F.col("node")).join(begun, "node", "left"))
+    state = nodes.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("jump")).hint("merge"), "node", "left")
+    state = stored(state.join(begun.hint("merge"), "node", "left"), "chains")
     for r in range(rounds):
-        if state.where("jump is not null").isEmpty():
+        moving = state.where("jump is not null")
+        if moving.isEmpty():
             break
-        ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("low").alias("_low"))
         longer = F.struct((F.col("best.length") - (1 << r)).alias("length"), F.col("best.start").alias("start"))
-        gained = state.where("jump is not null and best is not null").groupBy(F.col("jump").alias("node")).agg(F.min(longer).alias("_best"))
-        state = cut_lineage(
-            state.join(ahead, "jump", "left").join(gained, "node", "left")
-            .select("node", F.col("_jump").alias("jump"), F.least("low", "_low").alias("low"), F.least("best", "_best").alias("best"))
+        gained = moving.where("best is not null").groupBy(F.col("jump").alias("node")).agg(F.min(longer).alias("_best"))
+        ahead = moving.select(F.col("node").alias("jump"), F.col("jump").alias("_jump"))
+        further = moving.select("node", "jump").join(ahead.hint("merge"), "jump").select("node", "_jump")
+        state = stored(
+            state.join(further.hint("merge"), "node", "left").join(gained.hint("merge"), "node", "left")
+            .select("node", F.col("_jump").alias("jump"), F.least("best", "_best").alias("best")), "chains"
         )
     return state
 
@@ -54,25 +79,26 @@ def chain_paths(edges: DataFrame, max_rounds: int = 62) -> DataFrame:
     smallest start), and the others end there and are ``overlapped``.  Nodes on a cycle form a chain of their own that starts at
     the smallest of them, with ``cycle`` set; a chain that runs into a cycle ends there, overlapped.
 
-    Pointer doubling: a chain of n nodes takes log2(n) rounds of joins, each checkpointed.  A walk that has not ended after as
-    many steps as there are nodes is on a cycle; only then the edges are cut at the cycles and followed again.
+    Pointer doubling: a chain of n nodes takes log2(n) rounds of joins, each written to shared storage and read again (a
+    checkpoint would carry the constraints of all rounds before into every plan).  Cycles are found first and cut, and only
+    then the chains are followed.
     """
     edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    nodes = cut_lineage(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    edges = stored(edges, "edges")
+    nodes = stored(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes")
     rounds = max(1, nodes.count().bit_length())
     if rounds > max_rounds:
         raise ValueError(f"chains of up to 2^{rounds} nodes need more than {max_rounds} rounds")
-    state = _follow(edges, nodes, rounds)
-    # whoever is still on its way stands on a cycle by now: the nodes of all cycles, each with its smallest label
-    rings = state.where("jump is not null").select(F.col("jump").alias("node")).distinct().join(state.select("node", "low"), "node")
+    rings = _rings(edges, rounds)
     cut = edges
-    if not rings.isEmpty():
-        rings = cut_lineage(rings)
+    if rings is not None:
         into = rings.select(F.col("node").alias("dst"), F.col("low").alias("_low"))
         inside = rings.select(F.col("node").alias("src"), F.lit(True).alias("_inside"))
         known = edges.join(into, "dst", "left").join(inside, "src", "left")
-        cut = known.where("_low is null or (_inside and dst <> _low)").select("src", "dst")
-        state = _follow(cut, nodes, rounds)
+        cut = stored(known.where("_low is null or (_inside and dst <> _low)").select("src", "dst"), "edges")
+    else:
+        rings = nodes.where(F.lit(False))
+    state = _follow(cut, nodes, rounds)
     placed = state.select("node", F.col("best.start").alias("chain"), (-F.col("best.length")).alias("position"))
     here = placed.select(F.col("node").alias("src"), F.col("chain").alias("_from"))
     there = placed.select(F.col("node").alias("dst"), F.col("chain").alias("_to"))

@@ -187,6 +187,18 @@ def test_chains_with_cycles_and_overlaps(spark, edges):
     assert sorted(tuple(r) for r in got.collect()) == naive_chains(edges)
 
 
+def test_chains_stop_when_the_cycles_are_known(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(chains, "stored", lambda df, label, write=chains.stored: written.append(label) or write(df, label), raising=False)
+    pairs = [(i, i ^ 1) for i in range(3000)]
+    got = chains.chain_paths(spark.createDataFrame(pairs + [(3000, 0), (3001, 3000)], "src long, dst long")).cache()
+    assert 0 < written.count("jumps") <= 3  # not once for every doubling up to the number of nodes
+    assert got.where("cycle").count() == 3000
+    assert sorted(tuple(r) for r in got.where("not cycle").collect()) == [(3001, 3000, 1, False, True), (3001, 3001, 0, False, True)]
+    # the plan that is left does not carry the rounds before
+    assert len(got._jdf.queryExecution().analyzed().toString()) < 20_000
+
+
 def test_chains_of_names_and_of_nothing(spark):
     got = chains.chain_paths(spark.createDataFrame([("b", "c"), ("c", "b"), ("a", "b"), (None, "a"), ("a", "b")], "src string, dst string"))
     assert sorted(tuple(r) for r in got.collect()) == [("a", "a", 0, False, True), ("b", "b", 0, True, False), ("b", "c", 1, True, False)]
