@@ -103,7 +103,8 @@ def group_stats(df: DataFrame, targets: Sequence[str], groups: Sequence[str], to
 
 
 def property_clean(df: DataFrame, scope: str = "all") -> DataFrame:
-    """Repair, flag and fill property records, then densities and area statistics."""
+    """Repair, flag and fill property records, then densities and area statistics; the rows are written first."""
+    df = stored(df, "properties")
     out = clean.missing_flags(df, ["size"])
     out = clean.repair(out, [("floor", F.col("top") < F.col("floor"), F.col("top")), ("size", F.col("size") > 45, F.lit(None).cast("double"))])
     out = impute.impute_cascade(out, ["size"], [["brand", "kind"], ["brand"]])

@@ -4,7 +4,8 @@ Groups of at most ``BIG`` rows are aggregated as they are: their values fit one
 as all of them together, as counted, hold at most ``FITS`` values, which fit one task.  In all other large groups every
 wanted rank is selected digit by digit on an order-preserving 64-bit key: a pass counts the rows per next ``DIGIT`` bits,
 combined before the shuffle, and the digit that holds the rank is fixed.  All columns, groups and ranks take part in the
-same passes, of which 64 / DIGIT, rounded up, always suffice; values that agree end the search earlier.
+same passes, of which 64 / DIGIT, rounded up, always suffice; values that agree end the search earlier.  Before the
+first pass the keys are written, so that a pass reads numbers and does not repeat the joins that made the table.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ def order_key(df: DataFrame, col: str) -> Column:
     kind, c = df.schema[col].dataType, F.col(f"`{col}`")
     if isinstance(kind, T.IntegralType):
         key = c.cast("long")
+    elif isinstance(kind, T.DecimalType) and kind.precision <= 15:  # below 2^53 a double holds every unit
+        key = F.rint(c.cast("double") * float(10**kind.scale)).cast("long")
     elif isinstance(kind, T.DecimalType) and kind.precision <= 18:
         key = (c.cast(f"decimal({18 + kind.scale},{kind.scale})") * F.lit(10**kind.scale).cast("decimal(19,0)")).cast("long")
     else:  # exponent and fraction of a double; values too small for an exponent count in steps of the smallest one
@@ -57,7 +60,8 @@ def _owner(df: DataFrame, keys: Sequence[str]) -> Column:
 
 def _hinted(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """A table as a broadcast if its rows, or those it was taken ``of``, as counted, stay below the session's threshold, else for a merge."""
-    size = (df if of is None else of).agg(F.sum(F.octet_length("_owner") + 96)).first()[0] or 0
+    name = "_owner" if "_owner" in df.columns else "_id"
+    size = (df if of is None else of).agg(F.sum(F.octet_length(F.col(name).cast("string")) + 96)).first()[0] or 0
     return F.broadcast(df) if size <= broadcast_limit(df.sparkSession) else df.hint("merge")
 
 
@@ -75,7 +79,7 @@ def quantile_tables(
         df.select(_owner(df, keys).alias("_owner")).groupBy("_owner").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > big).select(F.lit(i).alias("_set"), "_owner", (F.col("_n") * len(mine)).alias("_values"))
         for i, (keys, mine) in enumerate(sets)
     ]
-    heavy = stored(reduce(DataFrame.union, counted), "big-groups")
+    heavy = stored(reduce(DataFrame.union, counted).withColumn("_id", F.monotonically_increasing_id()), "big-groups")
     held = {r[0]: r[1] for r in heavy.groupBy("_set").agg(F.sum("_values")).collect()}  # a row per set
     some = set(held) if sum(held.values()) > fits else set()
     picked = _selected(df, [(i, *sets[i]) for i in some], cols, qs, heavy) if some else None
@@ -101,9 +105,12 @@ def _selected(df: DataFrame, sets: Sequence[tuple[int, list[str], list[str]]], c
     """(_set, _owner, `{col}|{q}` ...) of the groups in ``heavy``."""
     keys, values = F.array(*[order_key(df, c) for c in cols]), F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
     owners = F.array(*[F.struct(F.lit(i).alias("_set"), _owner(df, by).alias("_owner")) for i, by, _ in sets])
-    rows = df.select(keys.alias("_keys"), values.alias("_values"), F.inline(owners)).join(_hinted(heavy.drop("_values")), ["_set", "_owner"])
-    rows = rows.select("_set", "_owner", "_values", F.posexplode("_keys").alias("_t", "_key")).where("_key is not null").withColumn("_v", F.col("_values")[F.col("_t")]).drop("_values")
-    owner = ["_set", "_owner", "_t"]
+    ids = heavy.select("_set", "_owner", "_id")  # few: a row per group of more than ``big``
+    rows = df.select(keys.alias("_keys"), values.alias("_values"), F.inline(owners)).join(_hinted(ids), ["_set", "_owner"])
+    wanted = reduce(lambda a, b: a | b, [(F.col("_set") == i) & F.col("_t").isin([cols.index(c) for c in mine]) for i, _, mine in sets])
+    rows = rows.select("_set", "_id", F.posexplode(F.arrays_zip("_keys", "_values")).alias("_t", "_kv")).where(wanted)
+    rows = rows.select("_id", "_t", F.col("_kv._keys").alias("_key"), F.col("_kv._values").alias("_v")).where("_key is not null")
+    owner = ["_id", "_t"]
     # the bits in which a group's keys differ at all, and the prefix they share
     begun = rows.groupBy(*owner).agg(
         F.count(F.lit(1)).alias("_n"), F.bit_or("_key").alias("_or"), F.bit_and("_key").alias("_and"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
@@ -118,6 +125,8 @@ def _selected(df: DataFrame, sets: Sequence[tuple[int, list[str], list[str]]], c
     state = stored(begun.select(*owner, "_n", "_top", "_prefix", "_low", "_high", F.inline(spots)), "ranks")
     done = [state.where(F.col("_low") == F.col("_high"))]
     state = state.where(F.col("_low") != F.col("_high"))
+    if not state.isEmpty():
+        rows = stored(rows, "big-keys")
     while not state.isEmpty():
         active = state.select(*owner, "_top", "_prefix").distinct().withColumn("_next", F.greatest(F.col("_top") - DIGIT, F.lit(0)))
         inside = F.expr("CASE WHEN _top = 64 THEN 0L ELSE shiftrightunsigned(_key, _top) END") == F.col("_prefix")
@@ -141,7 +150,8 @@ def _selected(df: DataFrame, sets: Sequence[tuple[int, list[str], list[str]]], c
         low, high, spot = at(t, j, 0, "_low"), at(t, j, 1, "_low"), F.lit(float(q)) * (at(t, j, 0, "_n") - 1)
         return F.when(low == high, low).when(F.floor(spot) == F.ceil(spot), low).otherwise((F.ceil(spot) - spot) * low + (spot - F.floor(spot)) * high)
 
-    return found.groupBy("_set", "_owner").agg(*[between(t, j, q).alias(f"{c}|{n}") for t, c in enumerate(cols) for j, (n, q) in enumerate(qs.items())])
+    table = found.groupBy("_id").agg(*[between(t, j, q).alias(f"{c}|{n}") for t, c in enumerate(cols) for j, (n, q) in enumerate(qs.items())])
+    return table.join(_hinted(ids), "_id").drop("_id")
 
 
 def quantiles(df: DataFrame, groups: Sequence[str], col: str, qs: dict[str, float], big: int = BIG, fits: int = FITS) -> DataFrame:

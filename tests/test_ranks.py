@@ -97,3 +97,27 @@ def test_a_group_of_equal_values_needs_no_pass(spark, monkeypatch):
     labels.clear()
     assert quantiles(spark.range(5000).select((F.col("id") - 2500).alias("x")), [], "x", {"m": 0.5}, big=0, fits=0).first().m == -0.5
     assert 2 <= labels.count("ranks") <= 1 - (-64 // ranks.DIGIT)
+
+
+def test_passes_do_not_make_the_rows_again(spark, table, monkeypatch):
+    from tallyloom import ranks
+
+    plans = []
+    monkeypatch.setattr(ranks, "stored", lambda df, label, write=ranks.stored: plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, label))
+    df = spark.createDataFrame(table, SCHEMA).withColumn("g", F.reverse(F.reverse("g")))
+    got = quantile_tables(df, [(["g"], ["x"])], QS, [[F.count(F.lit(1)).alias("n")]], 50, 100)[0].collect()
+    hot = next(r for r in got if r["g"] == "hot")
+    assert hot["x|c"] == np.quantile([r[3] for r in table if r[1] == "hot" and r[3] is not None], 0.5)
+    assert [label for label, plan in plans if "reverse(" in plan] == ["big-groups", "ranks", "big-keys"]  # no pass after them
+    assert [label for label, _ in plans].count("ranks") > 1
+
+
+def test_jobs_make_their_rows_once(spark):
+    from tallyloom.plans import jobs
+
+    rows = [(i, i % 3 and "train" or "test", "ab"[i % 2], "xyz"[i % 3], float(i), float(i % 4), i % 5, 2 + i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, split string, brand string, kind string, price double, size double, floor int, top int").withColumn("brand", F.reverse(F.reverse("brand")))
+    named = df.withColumnsRenamed({"brand": "brand_ind", "kind": "kind_ind"})
+    for out in (jobs.property_clean(df), jobs.group_stats(named, ["price", "size"], ["brand_ind", "kind_ind"], "_ind")):
+        assert "reverse(" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert out.count() == 60
