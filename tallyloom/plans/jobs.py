@@ -95,7 +95,11 @@ def combo_levels(df: DataFrame, cats: Sequence[str], nums: Sequence[str], y: str
 
 
 def group_stats(df: DataFrame, targets: Sequence[str], groups: Sequence[str], token: str, scope: str = "all") -> DataFrame:
-    """Statistics of every target by every group, counts of the combined level, products and ratios."""
+    """Statistics of every target by every group, counts of the combined level, products and ratios.
+
+    The rows are written first, since every set of statistics reads them.
+    """
+    df = stored(df, "grouped")
     out = group.concat_count(df, token, scope)
     out = group.stats_pack(out, targets, groups, scope, source=df)
     out = encode.count_encode(out, groups, scope, df)
