@@ -12,7 +12,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.core import cut_lineage, stat, with_scalars
+from tallyloom.core import cut_lineage, stat, stored, with_scalars
 from tallyloom.operators.group import group_median
 from tallyloom.ordered import search
 from tallyloom.spec import SPLIT, TEST, TRAIN, in_scope
@@ -38,8 +38,14 @@ def impute_mode(df: DataFrame, cols: Sequence[str], scope: str = "train", source
 
 
 def impute_cascade(df: DataFrame, cols: Sequence[str], keys: Sequence[Sequence[str]], source: DataFrame | None = None) -> DataFrame:
-    """Fill with the median of the fine group, then of the next coarser group, and so on."""
-    source = df if source is None else source
+    """Fill with the median of the fine group, then of the next coarser group, and so on.
+
+    Medians read their rows several times, so these are written once instead of being made anew each time.
+    """
+    if source is None:
+        df = source = stored(df, "cascade")
+    else:
+        source = stored(source.select(*dict.fromkeys([*cols, *[k for ks in keys for k in ks]])), "cascade")
     for c in cols:
         for i, ks in enumerate(keys):
             df = group_median(df, ks, c, f"_m{i}", source)
