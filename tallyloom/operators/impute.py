@@ -66,10 +66,14 @@ def impute_iterative(df: DataFrame, cols: Sequence[str], rounds: int = 3, scope:
     Within the rows that miss the same columns, every filled value is one linear function of the values present.  So the
     moments of each such pattern, taken in one pass, are all the sweeps need: they run on small matrices, and one more
     pass fills the rows.  If the patterns counted need more than ``max_moments`` numbers, rows are swept instead, with the
-    same results: a pass per column, a checkpoint per round.
+    same results: a pass per column, a checkpoint per round.  The rows are written first, since several passes read them.
     """
+    return _chained(stored(df, "chained"), cols, rounds, scope, max_moments)
+
+
+def _chained(df: DataFrame, cols: Sequence[str], rounds: int, scope: str, max_moments: int) -> DataFrame:
     if scope == "split":
-        parts = [impute_iterative(df.where(F.col(SPLIT) == part), cols, rounds, "all", max_moments) for part in (TRAIN, TEST)]
+        parts = [_chained(df.where(F.col(SPLIT) == part), cols, rounds, "all", max_moments) for part in (TRAIN, TEST)]
         return parts[0].unionByName(parts[1])
     spread = in_scope(df, scope).agg(
         *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]

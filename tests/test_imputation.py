@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.operators import impute
 
@@ -87,3 +88,12 @@ def test_decomposition_of_odd_tables(spark):
     assert all(r.svd_0 == pytest.approx(5.0) for r in got)
     assert all(r.svd_0 == 0 for r in impute.svd(df, ["a", "b"], 1).collect())
     assert impute.svd(df.limit(0), ["a", "b"], 1).count() == 0
+
+
+def test_rows_are_made_once(spark):
+    df = spark.createDataFrame([(i, "train", "ab"[i % 2], None if i % 5 == 0 else float(i), None if i % 7 == 0 else float(i * i)) for i in range(40)], "id int, split string, g string, a double, b double")
+    made = df.withColumns({"g": F.reverse(F.reverse("g")), "a": F.abs("a")})
+    for out in (impute.impute_cascade(made, ["a"], [["g", "split"], ["g"]]), impute.impute_iterative(made, ["a", "b"], 2), impute.impute_iterative(made, ["a", "b"], 2, "split")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "reverse(" not in plan and "abs(" not in plan
+        assert sorted(r.id for r in out.collect()) == list(range(40)) and out.where("a is null").isEmpty()
