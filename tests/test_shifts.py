@@ -87,3 +87,10 @@ def test_column_chains_of_more_rows_than_the_driver_would_take(spark):
     broken = df.withColumn("x20", F.when(F.col("row") == 1500, -1).otherwise(F.col("x20")))
     assert shifts.column_chains(broken, "row", cols, 10).groupBy("chain").count().orderBy("count").collect() == [("x19", 20), ("x43", 23)]
     assert shifts.column_chains(df.where("false"), "row", cols).count() == 0
+
+
+def test_keys_meet_in_a_hash_table(spark):
+    df = spark.createDataFrame([(1, 5, 6, 7, 8), (2, 1, 2, 5, 6)], "id long, a long, b long, c long, d long")
+    met = shifts.shifted_rows(df, [["a", "b", "c", "d"]], "id", [2])
+    assert [tuple(r) for r in met.collect()] == [(2, 1, 2, 1)]
+    assert "SortAggregate" not in met._jdf.queryExecution().executedPlan().toString()
