@@ -242,3 +242,22 @@ def test_kappa(spark, quadratic):
     score, direction = metrics.metric(name)
     assert direction == "maximize" and score(rows, "y", "p").first()[0] == pytest.approx(1 - seen / chance)
     assert score(spark.createDataFrame([(1, 1), (1, 1)], "y int, p int"), "y", "p").first()[0] is None
+
+
+def test_partitions_of_a_fit_follow_the_rows(spark, monkeypatch):
+    class Counts:
+        def setFeaturesCol(self, _):
+            return self
+
+        setLabelCol = setFeaturesCol
+
+        def hasParam(self, _):
+            return False
+
+        def fit(self, rows):
+            return rows.rdd.getNumPartitions(), rows.count()
+
+    monkeypatch.setattr(learn, "PART_ROWS", 100, raising=False)
+    df = spark.range(1000).select(F.col("id").cast("double").alias("a"), F.lit("train").alias("split"), (F.col("id") % 2).alias("fold"), F.lit(1.0).alias("y")).coalesce(1)
+    got = learn.fit_folds(df, ["a"], "y", "regression", k=2, trainer=learn.Trainer(lambda task, params: Counts(), {}, {}))
+    assert got == {0: (10, 500), 1: (10, 500)}
