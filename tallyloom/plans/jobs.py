@@ -49,14 +49,19 @@ def entity_features(df: DataFrame, scope: str = "all") -> DataFrame:
 
 
 def demand_grid(grid: DataFrame, weekly: DataFrame, key_sets: Sequence[Sequence[str]], hide: Column, ranges, first: int) -> DataFrame:
-    """Dense period grid: release filter, price ratios, lags, rolling windows, target encodings, time folds."""
+    """Dense period grid: release filter, price ratios, lags, rolling windows, target encodings, time folds.
+
+    Grid and weeks are written first, since every part of the job reads them.
+    """
+    grid, weekly = stored(grid, "grid"), stored(weekly, "weekly")
     released = weekly.groupBy("sid").agg((F.min("w") + 2).alias("release"))
     unit = F.try_divide(F.col("revenue").cast("double"), F.col("sold").cast("double"))
     priced = group.norm_by(weekly.withColumn("unit", unit), ["sid"], "unit", "max")
     priced = windows.momentum(priced, ["sid"], ["w"], "unit").select("sid", "w", "unit_over_sid_max", "unit_momentum")
     out = windows.lags(grid, ["sid"], ["w"], "sales", [4, 8], dense=True)
     rolled = windows.rolling(grid.select("sid", "w", "sales"), ["sid"], ["w"], "sales", [4], [4, 13], ["mean", "std"], dense=True).drop("sales")
-    out = relate.left_join(relate.left_join(out, rolled, ["sid", "w"]), priced, ["sid", "w"])
+    # a compressed file says little about the rows in it, so neither side is sent to every task on its account
+    out = relate.left_join(relate.left_join(out, rolled.hint("merge"), ["sid", "w"]), priced.hint("merge"), ["sid", "w"])
     out = encode.mean_std_encode(out, key_sets, "sales", hide, grid)
     out = relate.join_where(out, released, ["sid"], F.col("w") >= F.col("release")).drop("release")
     return folds.time_folds(out, "w", ranges, first)
@@ -117,7 +122,11 @@ def property_clean(df: DataFrame, scope: str = "all") -> DataFrame:
 
 
 def chain_lookup(df: DataFrame, series: Sequence[str], key: str, offsets: Sequence[int]) -> DataFrame:
-    """Rows that continue each other: chain number and position, values read along the chain, row statistics."""
+    """Rows that continue each other: chain number and position, values read along the chain, row statistics.
+
+    The rows are written first, since links, lookups and statistics read them.
+    """
+    df = stored(df, "series")
     path = chains.chain_paths(chains.link_edges(df, [series], key)).select("chain", F.col("node").alias(key), "position")
     out = shifts.offset_lookup(df, [series], key, offsets)
     out = rowwise.first_last_nonzero(rowwise.log_mean(rowwise.nonzero_stats(out, {"all": series}), series), series)
