@@ -121,3 +121,16 @@ def test_jobs_make_their_rows_once(spark):
     for out in (jobs.property_clean(df), jobs.group_stats(named, ["price", "size"], ["brand_ind", "kind_ind"], "_ind")):
         assert "reverse(" not in out._jdf.queryExecution().optimizedPlan().toString()
         assert out.count() == 60
+
+
+def test_grid_and_chain_jobs_make_their_rows_once(spark):
+    from tallyloom.plans import jobs
+
+    weeks = spark.createDataFrame([(i, w, float(1 + (i * w) % 5), float(i + w)) for i in range(1, 4) for w in range(12)], "sid long, w long, sold double, revenue double")
+    made = weeks.withColumn("sold", F.abs(F.abs("sold")))
+    grid = made.select("sid", "w", F.col("sold").alias("sales"), F.lit("n").alias("nation"))
+    out = jobs.demand_grid(grid, made, [["sid"], ["nation"]], F.col("w") > 8, [(6, 8)], 0)
+    assert "abs(" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 3 * 7  # released after two weeks
+    rows = spark.createDataFrame([(i, i + 3.0, i + 2.0, i + 1.0, i + 0.0) for i in range(1, 9)], "id long, a double, b double, c double, d double")
+    chained = jobs.chain_lookup(rows.withColumn("a", F.reverse(F.reverse(F.col("a").cast("string"))).cast("double")), ["a", "b", "c", "d"], "id", [2])
+    assert "reverse(" not in chained._jdf.queryExecution().optimizedPlan().toString() and chained.count() == 8
