@@ -94,3 +94,23 @@ def test_keys_meet_in_a_hash_table(spark):
     met = shifts.shifted_rows(df, [["a", "b", "c", "d"]], "id", [2])
     assert [tuple(r) for r in met.collect()] == [(2, 1, 2, 1)]
     assert "SortAggregate" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_open_rows_reach_later_offsets(spark, monkeypatch):
+    """Rows with a hit and rows that are not the only ones of their kind are settled by the first offset; a table of copies needs no second batch."""
+    batches, sides = [], shifts._sides
+    monkeypatch.setattr(shifts, "_sides", lambda df, groups, key, offsets, reach: batches.append(list(offsets)) or sides(df, groups, key, offsets, reach))
+    cols = [f"c{i}" for i in range(12)]
+    one = spark.range(6).select("id", *[(F.col("id") * 0 + i * i + 1).alias(c) for i, c in enumerate(cols)])
+    assert {r.looked_up for r in shifts.offset_lookup(one, [cols], "id", list(range(2, 11))).collect()} == {0}
+    assert batches == [[2]]
+    line = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7, 9, 3, 2, 3, 8, 4]
+    rows = {k: dict(zip(cols, line[at : at + 12])) for k, at in enumerate((0, 5, 6))}  # five and six steps apart
+    got = {r.id: r.looked_up for r in shifts.offset_lookup(_table(spark, rows, cols), [cols], "id", list(range(2, 11))).collect()}
+    assert got == naive_lookup(rows, [cols], list(range(2, 11))) and sum(v != 0 for v in got.values()) == 2
+
+
+def test_repeated_keys_are_looked_up_row_by_row(spark):
+    cols = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(1, 1, 2, 3, 4), (1, 8, 9, 3, 4), (2, 7, 6, 1, 2), (2, 5, 6, 8, 9)], "id long, a long, b long, c long, d long")
+    assert sorted((r.a, r.looked_up) for r in shifts.offset_lookup(df, [cols], "id", [2, 3]).collect()) == [(1, 7), (5, 0), (7, 0), (8, 5)]
