@@ -261,3 +261,17 @@ def test_partitions_of_a_fit_follow_the_rows(spark, monkeypatch):
     df = spark.range(1000).select(F.col("id").cast("double").alias("a"), F.lit("train").alias("split"), (F.col("id") % 2).alias("fold"), F.lit(1.0).alias("y")).coalesce(1)
     got = learn.fit_folds(df, ["a"], "y", "regression", k=2, trainer=learn.Trainer(lambda task, params: Counts(), {}, {}))
     assert got == {0: (10, 500), 1: (10, 500)}
+
+
+def test_trees_of_a_round_read_steps_worked_out_once(spark, monkeypatch):
+    """A tree reads its rows several times; steps and curvatures of all classes are held, not computed again by every pass."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from tallyloom.operators.boosting import SoftmaxBooster
+
+    held, tree = [], SoftmaxBooster._tree
+    monkeypatch.setattr(SoftmaxBooster, "_tree", lambda self, rows, k, i: held.append(rows.storageLevel.useMemory and {"_z", "_c"} <= set(rows.columns)) or tree(self, rows, k, i))
+    rows = VectorAssembler(inputCols=["a"], outputCol="x").transform(spark.range(60).selectExpr("cast(id as double) as a", "cast(id div 20 as double) as y"))
+    model = SoftmaxBooster(maxIter=5, maxDepth=2).setFeaturesCol("x").setLabelCol("y").fit(rows)
+    assert held == [True] * 15
+    assert model.transform(rows).where("prediction = y").count() == 60
