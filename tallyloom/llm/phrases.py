@@ -69,8 +69,11 @@ class Suffixes:
                 width = len(known)
             code = code * size + columns[-1] + 1
             width *= size
-        _, first, self.times = np.unique(code, return_index=True, return_counts=True)
-        self.rows = np.stack(columns, 1)[first]
+        order = np.argsort(code)  # any of the copies of a suffix will do
+        code = code[order]
+        at = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+        self.times = np.diff(np.r_[at, len(code)])
+        self.rows = np.stack([c[order[at]] for c in columns], 1)
 
     def strings(self, rows: np.ndarray, depth: int) -> pa.Array:
         """The first ``depth`` words of ``rows``, or as many as they have, joined by spaces."""
@@ -89,8 +92,8 @@ def packed(texts: pa.Array, times: np.ndarray, depth: np.ndarray, edges: np.ndar
     return out
 
 
-def unpacked(parts: list[bytes], langs: list[str]) -> pa.Table:
-    """The rows of :func:`packed` parts: ``lang``, ``phrase``, ``n``, ``depth``."""
+def unpacked(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of :func:`packed` parts: the bytes of all phrases, their offsets there, counts and depths."""
     press, sizes, times, depth, bodies = zstandard.ZstdDecompressor(), [], [], [], []
     for part in parts:
         raw = press.decompress(part)
@@ -99,11 +102,46 @@ def unpacked(parts: list[bytes], langs: list[str]) -> pa.Table:
         times.append(np.frombuffer(raw, np.int64, k, 4 + 4 * k))
         depth.append(np.frombuffer(raw, np.int8, k, 4 + 12 * k))
         bodies.append(raw[4 + 13 * k :])
-    names = sorted(set(langs))
-    lang = np.repeat(np.array([names.index(k) for k in langs], np.int32), [len(s) for s in sizes])
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
-    phrase = pa.Array.from_buffers(pa.large_binary(), len(lang), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(bodies))])
-    return pa.table([pa.DictionaryArray.from_arrays(pa.array(lang), names).cast(pa.string()), phrase, pa.array(np.concatenate(times)), pa.array(np.concatenate(depth))], names=["lang", "phrase", "n", "depth"])
+    return np.frombuffer(b"".join(bodies), np.uint8), offsets, np.concatenate(times), np.concatenate(depth)
+
+
+def slices(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The strings ``body[start:end]``."""
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    taken = body[np.repeat(starts - offsets[:-1], ends - starts) + np.arange(offsets[-1])]
+    kind, width = (pa.binary(), np.int32) if offsets[-1] < 1 << 31 else (pa.large_binary(), np.int64)
+    return pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets.astype(width).tobytes()), pa.py_buffer(taken.tobytes())])
+
+
+def nodes(parts: list[bytes], longest: int, least: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Phrases of two words, of three and so on that occur ``least`` times in the suffixes of a language, with their counts.
+
+    A node's count is the sum of the leaves below it, so the leaves of a node that is too rare go no deeper.
+    """
+    body, offsets, times, depth = unpacked(parts)
+    starts, ends = offsets[:-1], offsets[1:]
+    spaces = np.flatnonzero(body == 32)
+    first = np.searchsorted(spaces, starts)
+    length = np.searchsorted(spaces, ends) - first + 1
+    spaces = np.r_[spaces, np.zeros(longest, spaces.dtype)]
+    left = np.arange(len(starts))
+    for d in range(2, longest + 1):
+        left = left[length[left] >= d]
+        # a node above the prefix of its leaves lies in several groups; its count was taken with the prefixes
+        here = depth[left] <= d
+        rows = left[here]
+        stop = np.where(length[rows] > d, spaces[first[rows] + d - 1], ends[rows])
+        coded = slices(body, starts[rows], stop).dictionary_encode()
+        at = coded.indices.to_numpy()
+        order = np.argsort(at)
+        edges = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]][: len(at)])
+        totals = np.add.reduceat(times[rows][order], edges) if len(at) else times[:0]  # by number, none is left out
+        frequent = totals >= least
+        yield coded.dictionary.filter(pa.array(frequent)), totals[frequent]
+        keep = np.ones(len(left), bool)
+        keep[here] = frequent[at]
+        left = left[keep]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[str, Suffixes]]:
@@ -179,19 +217,11 @@ def subtrees(texts: DataFrame, hot: set[tuple[str, bytes]], groups: int, longest
             yield pa.RecordBatch.from_arrays([pa.array(group[edges[:-1]]), pa.array([lang] * len(blobs), pa.string()), pa.array(blobs, pa.binary())], names=["group", "lang", "suffixes"])
 
     def build(group: pa.Table) -> pa.Table:
-        every = unpacked(group.column("suffixes").to_pylist(), group.column("lang").to_pylist())
-        leaves = every.group_by(["lang", "phrase", "depth"]).aggregate([("n", "sum")])
-        words = pc.split_pattern(leaves["phrase"], " ")
-        length = pc.list_value_length(words)
+        langs, parts = group.column("lang").to_pylist(), group.column("suffixes").to_pylist()
         out = []
-        for d in range(2, longest + 1):
-            # a node above the prefix of its leaves lies in several groups; its count was taken with the prefixes
-            below = pc.and_(pc.greater_equal(length, d), pc.less_equal(leaves["depth"], d))
-            phrase = pc.binary_join(pc.list_slice(words.filter(below), 0, d), pa.scalar(b" ", pa.large_binary()))
-            nodes = pa.table([leaves["lang"].filter(below), phrase, leaves["n_sum"].filter(below)], names=["lang", "phrase", "n"])
-            nodes = nodes.group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
-            nodes = nodes.filter(pc.greater_equal(nodes["n"], least))
-            out.append(nodes.set_column(1, "phrase", nodes["phrase"].cast(pa.large_string()).cast(pa.string())))
+        for lang in sorted(set(langs)):
+            for phrase, n in nodes([part for k, part in zip(langs, parts) if k == lang], longest, least):
+                out.append(pa.table([pa.array([lang] * len(n), pa.string()), phrase.cast(pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"]))
         return pa.concat_tables(out)
 
     runs = texts.mapInArrow(scatter, "group long, lang string, suffixes binary")
@@ -213,8 +243,8 @@ def phrase_counts(texts: DataFrame, longest: int = LONGEST, least: int = LEAST,
             break
         frontier = store(prefix_counts(texts, depth, hot).where(F.col("n") > budget), "prefixes")
         found.append(frontier.where(F.col("n") >= least))
-    nodes = subtrees(texts, over, max(1, -(-2 * total // budget)), longest, least)
-    return words, store(reduce(DataFrame.unionByName, found, nodes), "phrases")
+    trees = subtrees(texts, over, max(1, -(-2 * total // budget)), longest, least)
+    return words, store(reduce(DataFrame.unionByName, found, trees), "phrases")
 
 
 def _salted(c: Column) -> Column:

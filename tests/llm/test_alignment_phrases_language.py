@@ -257,3 +257,21 @@ def test_language_ignores_labels_of_held_out_documents(spark, docs):
     wrong = docs.withColumn("lang", F.when(language.fold(F.col("doc_id")) == 2, F.lit("wrong")).otherwise(F.col("lang")))
     a, b = language.fit(docs), language.fit(store(wrong, "test-wrong"))
     assert a.langs == b.langs and all(np.array_equal(x, y) for x, y in zip(a.logs, b.logs))
+
+
+def test_nodes_of_a_group_against_brute_force():
+    """Counts of all phrases below the suffixes of some chunks; a hot word's own phrases of two were counted elsewhere."""
+    rng = random.Random(3)
+    chunks = [[b"a b c d e f".split()[rng.randrange(6)] for _ in range(400)] + [b"."] for _ in range(3)]
+    parts, want = [], Counter()
+    for words in chunks:
+        found = phrases.Suffixes(words, 3)
+        keep = found.rows[:, 1] >= 0
+        texts = found.strings(found.rows[keep], 3)
+        depth = np.array([2 if s.startswith(b"a ") else 1 for s in texts.to_pylist()], np.int8) + (np.char.count(texts.to_pylist(), b" ") > 1) * np.int8(0)
+        parts += phrases.packed(texts, found.times[keep].astype(np.int64), np.where(depth > 1, 3, 1).astype(np.int8), np.array([0, len(texts)]))
+        text = words[:-1]
+        want.update(b" ".join(text[i : i + m]) for m in (2, 3) for i in range(len(text) - m + 1) if m == 3 or text[i] != b"a")
+    for least in (1, 10, 10_000):
+        got = {p: n for found, counts in phrases.nodes(parts, 3, least) for p, n in zip(found.to_pylist(), counts.tolist())}
+        assert got == {p: n for p, n in want.items() if n >= least}
