@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.core import from_moments, is_exact, match, square, stat, wide, with_scalars
+from tallyloom.core import from_moments, is_exact, match, square, stat, stored, wide, with_scalars
 from tallyloom.ordered import row_index, running
 from tallyloom.operators.relate import nearest_join
 from tallyloom.spec import in_scope
@@ -119,14 +119,16 @@ def _ranks(hist: DataFrame, group: Sequence[str], col: str, sample: DataFrame) -
     """Average rank of each value of a (group, value, ``_c``) histogram, over the largest rank of the group."""
     cum = running(hist, group, [col], {"_hi": ("sum", F.col("_c"))}, sample=sample)
     ranked = cum.withColumn("_rank", F.col("_hi") - F.col("_c") + (F.col("_c") + 1) / F.lit(2.0))
-    top = ranked.groupBy(*group).agg(F.max("_rank").alias("_top"))
+    # the largest value has the largest rank, which needs no running sum
+    sizes = hist.groupBy(*group).agg(F.sum("_c").alias("_n"), F.max_by("_c", col).alias("_last"))
+    top = sizes.select(*group, (F.col("_n") - F.col("_last") + (F.col("_last") + 1) / F.lit(2.0)).alias("_top"))
     return match(ranked, top, group).withColumn("_p", F.col("_rank") / F.col("_top"))
 
 
 def ecdf_band(df: DataFrame, group: str, col: str, k: int, scope: str = "all", name: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """Percentile rank of a value among the rows whose integer group is within ``k`` of its own.
 
-    The (group, value) histogram is copied to its neighbours, never the rows.  With train scope a
+    The (group, value) histogram is copied to its neighbours, never the rows, and written, since ranks read it three times.  With train scope a
     test value takes the percentile of the nearest training value in its band.
     """
     name = name or f"{col}_ecdf_{k}"
@@ -135,7 +137,7 @@ def ecdf_band(df: DataFrame, group: str, col: str, k: int, scope: str = "all", n
         group, F.explode(F.sequence(F.col(group) - k, F.col(group) + k))
     )
     merged = spread.groupBy(group, col).agg(F.sum("_c").alias("_c"), F.max((F.col("_own") == F.col(group)).cast("int")).alias("_mine"))
-    ranks = _ranks(merged, [group], col, df)
+    ranks = _ranks(stored(merged, "bands"), [group], col, df)
     if scope == "all":
         table = ranks.where("_mine = 1").select(group, col, F.col("_p").alias(name))
         return df.join(table, [group, col], "left")
