@@ -115,11 +115,12 @@ def fx_weekly(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def fx_grid(spark: SparkSession, d: str) -> DataFrame:
+def fx_grid(spark: SparkSession, d: str, weekly: DataFrame | None = None) -> DataFrame:
+    """``weekly`` may be the weeks of :func:`fx_weekly` as stored, since the grid reads them three times."""
     from tallyloom.core import with_scalars
     from tallyloom.operators.relate import complete_grid
 
-    weekly = fx_weekly(spark, d)
+    weekly = fx_weekly(spark, d) if weekly is None else weekly
     entities = with_scalars(weekly.select("sid").distinct(), weekly, {"lo": F.min("w"), "hi": F.max("w")})
     grid = complete_grid(entities, "w", F.col("_s.lo"), F.col("_s.hi") + 4)
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")

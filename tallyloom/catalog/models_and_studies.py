@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.catalog.fixtures import (
     AUTO, BASE, FXB, FXG, FXL, FXO, FXP, FXS, MODELS, fx_board, fx_entries, fx_grid, fx_lines,
-    fx_orders, fx_preds, fx_scores, fx_trials, table,
+    fx_orders, fx_preds, fx_scores, fx_trials, fx_weekly, table,
 )
 from tallyloom.catalog.registry import plain, query
 from tallyloom.core import stored, with_scalars
@@ -567,8 +567,12 @@ FXM = FXG + """, fxm AS (SELECT sid * 100000 + w AS id, """ + ", ".join(f"COALES
 
 
 def _matrix(s, d, width=len(SERIES)):
-    """One row per supplier and week holding this and the weeks before: row t + 1 is row t shifted."""
-    grid = fx_grid(s, d).select("sid", "w", "sales").where("sales is not null")
+    """One row per supplier and week holding this and the weeks before: row t + 1 is row t shifted.
+
+    Weeks and grid are written first, since the grid reads the weeks and the lags read the grid more than once.
+    """
+    weekly = stored(fx_weekly(s, d).select("sid", "w", "sold"), "weeks")
+    grid = stored(fx_grid(s, d, weekly).select("sid", "w", "sales").where("sales is not null"), "grid")
     wide = lags(grid, ["sid"], ["w"], "sales", list(range(1, width)), dense=True)
     return wide.select(
         (F.col("sid") * 100000 + F.col("w")).alias("id"),

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.core import stored
 from tallyloom.operators.reshape import only_unique
-from tallyloom.operators.rowwise import tuple_key
+from tallyloom.operators.rowwise import cell_columns, tuple_longs
 
 
 def link_edges(df: DataFrame, groups: Sequence[Sequence[str]], key: str) -> DataFrame:
@@ -17,9 +18,16 @@ def link_edges(df: DataFrame, groups: Sequence[Sequence[str]], key: str) -> Data
 
     Keys that repeat are dropped before the join, so a common pattern (all zeros) cannot fan out.
     """
-    heads = tuple_key(df, [c for g in groups for c in g[:-1]], "_h").select("_h", F.col(key).alias("src"))
-    tails = tuple_key(df, [c for g in groups for c in g[1:]], "_h").select("_h", F.col(key).alias("dst"))
-    return only_unique(heads, ["_h"]).join(only_unique(tails, ["_h"]), "_h").where("src <> dst").select("src", "dst")
+    cells = cell_columns(df, groups)
+    heads, tails = ([c for g in cells for c in (g[:-1] if head else g[1:])] for head in (True, False))
+    sides = [df.select(*[c.alias(n) for c, n in zip(tuple_longs(some), ("_a", "_b"))], F.col(key).alias(end)) for some, end in ((heads, "src"), (tails, "dst"))]
+    return only_unique(sides[0], ["_a", "_b"]).join(only_unique(sides[1], ["_a", "_b"]), ["_a", "_b"]).where("src <> dst").select("src", "dst")
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """How many edges reach (``_in``) and leave (``_out``) every node."""
+    sides = edges.select(F.col("src").alias("node"), F.lit(0).alias("_to"), F.lit(1).alias("_from")).union(edges.select("dst", F.lit(1), F.lit(0)))
+    return stored(sides.groupBy("node").agg(F.sum("_to").alias("_in"), F.sum("_from").alias("_out")), "nodes")
 
 
 def _rings(edges: DataFrame, rounds: int) -> DataFrame | None:
@@ -45,6 +53,47 @@ def _rings(edges: DataFrame, rounds: int) -> DataFrame | None:
     return state.select("node", "low")
 
 
+def _walk(edges: DataFrame, first: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame | None]:
+    """Chain and position of every node behind the starts ``first``, and the edges of cycles (None without a cycle).
+
+    For edges of which no two leave or reach the same node.  After round r an open node knows the node 2^r steps behind (``back``);
+    it is settled once that one is, so a round is one join of the open nodes.  The nodes of a chain settle with every round, so a
+    round that settles none leaves cycles alone.
+    """
+    settled = [first.select("node", F.col("node").alias("chain"), F.lit(0).cast("bigint").alias("position"))]
+    whole = edges.select(F.col("dst").alias("node"), F.col("src").alias("back"))
+    left, before = whole, None
+    for r in range(rounds + 1):
+        n = left.count()
+        if not n:
+            return reduce(DataFrame.union, settled), None
+        if n == before:
+            break
+        before = n
+        known = reduce(DataFrame.union, settled).select(F.col("node").alias("back"), "chain", "position", F.lit(None).cast(edges.schema["src"].dataType).alias("_back"))
+        open_ = left.select(F.col("node").alias("back"), F.lit(None).cast(edges.schema["src"].dataType).alias("chain"), F.lit(None).cast("bigint").alias("position"), F.col("back").alias("_back"))
+        moved = stored(
+            left.join(known.union(open_).hint("merge"), "back")
+            .select("node", "chain", (F.col("position") + (1 << r)).alias("position"), F.col("_back").alias("back")), "walked"
+        )
+        settled.append(moved.where("chain is not null").select("node", "chain", "position"))
+        left = moved.where("chain is null").select("node", "back")
+    on = left.select(F.col("node").alias("dst"))
+    return reduce(DataFrame.union, settled), stored(edges.join(on, "dst", "left_semi").select("src", "dst"), "rings")
+
+
+def _apart(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
+    """The chains of edges of which no two leave or reach the same node: none overlaps, and cycles stand alone."""
+    paths, ring_edges = _walk(edges, nodes.where("_in = 0").select("node"), rounds)
+    out = paths.withColumn("cycle", F.lit(False))
+    rings = None if ring_edges is None else _rings(ring_edges, rounds)
+    if rings is not None:
+        first = rings.where("node = low").select("node")
+        around, _ = _walk(ring_edges.join(first.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), first, rounds)
+        out = out.union(around.withColumn("cycle", F.lit(True)))
+    return out.select("chain", "node", "position", "cycle", F.lit(False).alias("overlapped"))
+
+
 def _follow(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
     """Pointer doubling along edges without cycles until no node is left with a way to go.
 
@@ -80,15 +129,21 @@ def chain_paths(edges: DataFrame, max_rounds: int = 62) -> DataFrame:
     the smallest of them, with ``cycle`` set; a chain that runs into a cycle ends there, overlapped.
 
     Pointer doubling: a chain of n nodes takes log2(n) rounds of joins, each written to shared storage and read again (a
-    checkpoint would carry the constraints of all rounds before into every plan).  Cycles are found first and cut, and only
-    then the chains are followed.
+    checkpoint would carry the constraints of all rounds before into every plan).  Where no two edges leave or reach the same
+    node, every node walks back to its start, and those that never arrive are on cycles.  Otherwise cycles are found first and
+    cut, and only then the chains are followed.
     """
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    edges = stored(edges, "edges")
-    nodes = stored(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes")
-    rounds = max(1, nodes.count().bit_length())
+    edges = stored(edges.select("src", "dst").where("src is not null and dst is not null"), "edges")
+    nodes = _ends(edges)
+    n, most = nodes.agg(F.count(F.lit(1)), F.max(F.greatest("_in", "_out"))).first()
+    rounds = max(1, n.bit_length())
     if rounds > max_rounds:
         raise ValueError(f"chains of up to 2^{rounds} nodes need more than {max_rounds} rounds")
+    if (most or 0) > 1:  # chains meet, or edges repeat
+        edges = stored(edges.distinct(), "edges")
+        nodes = nodes.select("node")
+    else:
+        return _apart(edges, nodes, rounds)
     rings = _rings(edges, rounds)
     cut = edges
     if rings is not None:

@@ -37,10 +37,13 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 
 def only_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Drop every row whose key repeats; keys are combined map-side before the shuffle."""
+    """Drop every row whose key repeats; keys are combined map-side before the shuffle.
+
+    The other columns are taken one by one: plain numbers are combined in a hash table, structs would be sorted.
+    """
     rest = [c for c in df.columns if c not in keys]
-    once = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*rest)).alias("_row")).where("_n = 1")
-    return once.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+    once = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.any_value(c).alias(c) for c in rest]).where("_n = 1")
+    return once.select(*df.columns)
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str], name: str, value: str) -> DataFrame:

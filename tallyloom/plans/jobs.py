@@ -124,13 +124,13 @@ def property_clean(df: DataFrame, scope: str = "all") -> DataFrame:
 def chain_lookup(df: DataFrame, series: Sequence[str], key: str, offsets: Sequence[int]) -> DataFrame:
     """Rows that continue each other: chain number and position, values read along the chain, row statistics.
 
-    The rows are written first, since links, lookups and statistics read them.
+    The rows are written first, since links, lookups and statistics read them; statistics come last, so no join moves them.
     """
     df = stored(df, "series")
     path = chains.chain_paths(chains.link_edges(df, [series], key)).select("chain", F.col("node").alias(key), "position")
-    out = shifts.offset_lookup(df, [series], key, offsets)
+    out = relate.left_join(shifts.offset_lookup(df, [series], key, offsets), path, [key])
     out = rowwise.first_last_nonzero(rowwise.log_mean(rowwise.nonzero_stats(out, {"all": series}), series), series)
-    return relate.left_join(out, path, [key])
+    return out.select(key, *[c for c in out.columns if c not in (key, "chain", "position")], "chain", "position")
 
 
 def study_summary(scores: DataFrame, base: str, automl: str) -> DataFrame:

@@ -114,3 +114,19 @@ def test_repeated_keys_are_looked_up_row_by_row(spark):
     cols = ["a", "b", "c", "d"]
     df = spark.createDataFrame([(1, 1, 2, 3, 4), (1, 8, 9, 3, 4), (2, 7, 6, 1, 2), (2, 5, 6, 8, 9)], "id long, a long, b long, c long, d long")
     assert sorted((r.a, r.looked_up) for r in shifts.offset_lookup(df, [cols], "id", [2, 3]).collect()) == [(1, 7), (5, 0), (7, 0), (8, 5)]
+
+
+def test_few_cells_are_hashed_without_python(spark, monkeypatch):
+    """Both ways of hashing runs give the same rows, over cells of one type and of several, with nulls; the short one runs no Python."""
+    rng = random.Random(11)
+    line = [rng.choice([0, None, 1, 2, 3, 4]) for _ in range(60)]
+    cols = [f"a{i}" for i in range(7)]
+    df = _table(spark, {k: {c: line[at + i] for i, c in enumerate(cols)} for k, at in enumerate(rng.randrange(50) for _ in range(40))}, cols)
+    mixed = df.withColumn("a3", F.col("a3").cast("int")).withColumn("a5", F.col("a5").cast("string").cast("int"))
+    assert "MapInArrow" not in shifts.shifted_rows(df, [cols], "id", [2, 3, 4])._jdf.queryExecution().executedPlan().toString()
+    for table in (df, mixed):
+        few = sorted((tuple(r) for r in shifts.offset_lookup(table, [cols], "id", [2, 3, 4]).collect()), key=repr)
+        with monkeypatch.context() as m:
+            m.setattr(shifts, "FEW", 0)
+            many = sorted((tuple(r) for r in shifts.offset_lookup(table, [cols], "id", [2, 3, 4]).collect()), key=repr)
+        assert repr(few) == repr(many) and any(r[-1] for r in few)
