@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom import core
 from tallyloom.operators import shifts
 
 
@@ -130,3 +131,37 @@ def test_few_cells_are_hashed_without_python(spark, monkeypatch):
             m.setattr(shifts, "FEW", 0)
             many = sorted((tuple(r) for r in shifts.offset_lookup(table, [cols], "id", [2, 3, 4]).collect()), key=repr)
         assert repr(few) == repr(many) and any(r[-1] for r in few)
+
+
+def _plans(monkeypatch, module) -> list[str]:
+    """The plans of whatever the module stores from now on."""
+    seen, stored = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, label: seen.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, label))
+    return seen
+
+
+def test_rows_in_small_files_are_not_broadcast(spark, monkeypatch):
+    """Thousands of rows that repeat one pattern make a file of a few kilobytes, which would pass the limit; as counted they do not."""
+    cols = [f"c{i}" for i in range(6)]
+    df = spark.range(4000).select("id", *[(F.floor((F.col("id") + i) / 2) % 1999).alias(c) for i, c in enumerate(cols)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60k")
+    try:
+        plans = _plans(monkeypatch, shifts)
+        got = shifts.offset_lookup(df, [cols], "id", [2])
+        plans.append(got._jdf.queryExecution().executedPlan().toString())
+        found = {r.id: r.looked_up for r in got.collect()}
+        sent = [core.by_size(core.stored(spark.range(n), "ids"))._jdf.queryExecution().analyzed().toString() for n in (900, 1000)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == naive_lookup({r.id: r.asDict() for r in df.collect()}, [cols], [2]) and any(found.values())
+    assert sum("SortMergeJoin" in p for p in plans) == 2 and not any("BroadcastHashJoin" in p for p in plans)
+    assert ["broadcast" in p for p in sent] == [True, False] and "merge" in sent[1]
+
+
+def test_weeks_of_the_grid_are_not_broadcast(spark, monkeypatch):
+    from tallyloom.catalog import models_and_studies as m
+    from tests.conftest import SF
+
+    plans = _plans(monkeypatch, m)
+    m._matrix(spark, SF, 4)
+    assert [p.count("SortMergeJoin [sid") for p in plans] == [0, 1]
