@@ -165,3 +165,15 @@ def test_weeks_of_the_grid_are_not_broadcast(spark, monkeypatch):
     plans = _plans(monkeypatch, m)
     m._matrix(spark, SF, 4)
     assert [p.count("SortMergeJoin [sid") for p in plans] == [0, 1]
+
+
+def test_the_lookup_query_takes_all_offsets_of_forty_weeks(spark, monkeypatch):
+    from tallyloom.catalog import ORACLES, QUERIES
+    from tallyloom.catalog import models_and_studies as m
+
+    asked = []
+    monkeypatch.setattr(m, "_matrix", lambda s, d, width=6: s.range(3).select("id", *[F.lit(i).alias(f"s{i}") for i in range(width)]))
+    monkeypatch.setattr(shifts, "offset_lookup", lambda df, groups, key, offsets: asked.append((groups, offsets)) or df.withColumn("looked_up", F.lit(0)))
+    assert QUERIES["q_offset_lookup"](spark, "nowhere").count() == 3
+    assert asked == [([[f"s{i}" for i in range(40)]], list(range(2, 39)))]
+    assert ORACLES["q_offset_lookup"] == ORACLES["q_offset_lookup_far"]
